@@ -48,9 +48,17 @@ def _two_word_code(token: Column, following: Column) -> Column:
     return code
 
 
+def entry_pattern(entries: list[str]) -> str:
+    """One alternation, grouped by first letter so that most positions fail at once."""
+    by_letter: dict[str, list[str]] = {}
+    for entry in entries:
+        by_letter.setdefault(entry[0], []).append(entry[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+
+
 def _code_array(tokens: Column) -> Column:
     """Per token: null, or its codes in both lexicons."""
-    any_entry = "|".join(e for _, e in _single_words(POSITIVE_LEXICON) + _single_words(NEGATIVE_LEXICON))
+    any_entry = entry_pattern([e for _, e in _single_words(POSITIVE_LEXICON) + _single_words(NEGATIVE_LEXICON)])
     return F.transform(
         tokens,
         lambda t: F.when(
@@ -114,9 +122,15 @@ def label_of(score: Column) -> Column:
 
 def sentiment(text: Column) -> Column:
     """STRUCT<label, score, positive, negative> of a text; blank or null is neutral."""
-    totals = let(
-        sentiment_tokens(F.coalesce(text, F.lit(""))),
-        lambda tokens: let(_code_array(tokens), lambda codes: _totals(tokens, codes)),
+    content = F.coalesce(text, F.lit(""))
+    any_entry = entry_pattern([*POSITIVE_LEXICON, *NEGATIVE_LEXICON, *[e.split(" ")[0] for e in NEGATIVE_LEXICON if " " in e]])
+    nothing = F.struct(F.lit(-1).alias("used"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
+    # Most texts hold no entry at all and are not even tokenised.
+    totals = F.when(~F.lower(content).rlike(any_entry), nothing).otherwise(
+        let(
+            sentiment_tokens(content),
+            lambda tokens: let(_code_array(tokens), lambda codes: _totals(tokens, codes)),
+        )
     )
 
     def finish(t: Column) -> Column:

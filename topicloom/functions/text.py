@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed patterns. WORD is one word character: a letter, a digit or an underscore.
 WORD = r"[\p{L}\p{N}_]"
-BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-TERM_PATTERN = rf"{BOUNDARY}[a-z][a-z0-9\-]{{2,}}{BOUNDARY}"
+# A term starts where no word character precedes and ends on a word boundary.
+TERM_PATTERN = rf"(?<!{WORD})[a-z][a-z0-9\-]{{2,}}(?:(?<!-)(?!{WORD})|(?<=-)(?={WORD}))"
 COUNTED_WORD_PATTERN = r"[a-z0-9\-]+"
 SENTIMENT_TOKEN_PATTERN = r"[a-z][a-z0-9\-']*"
 PREVIEW_CHARS = 200
@@ -26,6 +26,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+# Characters counted as white space at the ends of a text.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.scoring import baseline_engagement, total_engagement
-from topicloom.functions.text import content_hash
+from topicloom.functions.text import content_hash, strip
 from topicloom.operators.ranking import first_per_group
 
 
 def rejection_reason(content: Column, url: Column) -> Column:
     """Null for a usable record."""
-    return F.when(F.trim(F.coalesce(content, F.lit(""))) == "", "empty content").when(
-        F.trim(F.coalesce(url, F.lit(""))) == "", "missing url"
+    return F.when(strip(F.coalesce(content, F.lit(""))) == "", "empty content").when(
+        strip(F.coalesce(url, F.lit(""))) == "", "missing url"
     )
 
 
@@ -38,9 +38,9 @@ def validate_posts(records: DataFrame, arrival: str, as_of: Column | None = None
     current = F.col("engagement_score") if "engagement_score" in records.columns else F.lit(0.0)
     usable = (
         records.where(rejection_reason(F.col("content"), F.col("url")).isNull())
-        .withColumn("content", F.trim("content"))
-        .withColumn("url", F.trim("url"))
-        .withColumn("source", F.trim(F.coalesce("source", F.lit(""))))
+        .withColumn("content", strip(F.col("content")))
+        .withColumn("url", strip(F.col("url")))
+        .withColumn("source", strip(F.coalesce("source", F.lit(""))))
         .withColumn("engagement_score", baseline_engagement(current, total))
     )
     if as_of is not None:

@@ -16,6 +16,7 @@ def quoted(words) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in words)
 
 
+RECURSIVE = "WITH RECURSIVE "
 BLOCKS: dict[str, str] = {}
 
 
@@ -36,7 +37,10 @@ def oracle(body: str) -> str:
     visit(body)
     if not found:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in found) + "\n" + body
+    blocks = ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in found)
+    if body.startswith(RECURSIVE):
+        return f"{RECURSIVE}{blocks},\n{body.removeprefix(RECURSIVE)}"
+    return f"WITH {blocks}\n{body}"
 
 
 block("posts_v", """

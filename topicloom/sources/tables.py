@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators.ranking import ordered_list, top_per_group
 from topicloom.operators.trends import MAX_TRENDS
+from topicloom.session import spread
 
 
 class Tables:
@@ -22,7 +23,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def posts(self, urls: bool = True, engagement: bool = True) -> DataFrame:
-        d = self.read("documents")
+        d = spread(self.read("documents").select("doc_id", "text", "lang"), "doc_id")
         columns = [
             F.col("doc_id").alias("post_id"),
             F.col("lang").alias("topic"),
