@@ -101,4 +101,4 @@ def passes_gate(threshold: float = ENGAGEMENT_GATE) -> Column:
 
 
 def gate_posts(posts: DataFrame, scores: DataFrame, threshold: float = ENGAGEMENT_GATE) -> DataFrame:
-    return posts.join(scores, ["topic", "post_id"]).where(passes_gate(threshold))
+    return posts.drop("engagement_score").join(scores, ["topic", "post_id"]).where(passes_gate(threshold))

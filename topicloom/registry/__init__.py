@@ -5,7 +5,17 @@ from __future__ import annotations
 
 def all_queries():
     """(queries, oracle SQL), both by name."""
-    from topicloom.registry import analysis, history, ingest, insights, market, posts, topics  # noqa: F401
+    from topicloom.registry import (  # noqa: F401
+        analyses,
+        analysis,
+        history,
+        ingest,
+        insights,
+        market,
+        posts,
+        streams,
+        topics,
+    )
     from topicloom.registry.base import ORACLES, QUERIES
 
     return QUERIES, ORACLES

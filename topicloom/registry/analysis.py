@@ -266,11 +266,11 @@ def tk3(t):
 
 @query(
     "ag15_cluster_trends",
-    "SELECT topic, cluster, label, array_to_string(keywords, ', ') AS keywords, round(score, 4) AS score FROM clustertrend_v",
+    "SELECT topic, cluster, label, array_to_string(keywords, ', ') AS keywords, score FROM clustertrend_v",
 )
 def ag15(t):
     k = trends.cluster_trends(_cluster_keywords(t))
-    return k.select("topic", "cluster", "label", F.concat_ws(", ", "keywords").alias("keywords"), F.round("score", 4).alias("score"))
+    return k.select("topic", "cluster", "label", F.concat_ws(", ", "keywords").alias("keywords"), "score")
 
 
 @query("tk4_ranked_trends", "SELECT topic, trend_rank, cluster, label FROM clustertrend_v WHERE trend_rank <= 12")

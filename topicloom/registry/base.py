@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicloom.registry.sqltext import oracle
+from topicloom.registry.sqltext import RECURSIVE, oracle
 from topicloom.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``f(tables) -> DataFrame`` under ``name``, compared with ``sql`` if given."""
+def query(name: str, sql: str | None = None, blocks: dict[str, str] | None = None):
+    """Register ``f(tables) -> DataFrame`` under ``name``, compared with ``sql`` if given;
+    ``blocks`` replaces SQL building blocks."""
 
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            ORACLES[name] = sql if sql.startswith('WITH ') and not sql.startswith(RECURSIVE) else oracle(sql, blocks)
         return f
 
     return add

@@ -42,7 +42,7 @@ def _fmt(template: str, *values: str) -> str:
 
 
 def _dec(x: str) -> str:
-    return f"printf('%.2f', round({x}, 2))"
+    return f"CAST(round(CAST({x} AS DECIMAL(18, 6)), 2) AS DECIMAL(18, 2))"
 
 
 def _three(x: str) -> str:
@@ -151,7 +151,7 @@ def ag20(t):
     JOIN (SELECT topic, string_agg(keyword, ', ' ORDER BY place) AS kw FROM (
         SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place) AS r FROM (SELECT topic, keyword, min(trend_rank * 1000 + pos) AS place FROM (
           SELECT topic, trend_rank, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS pos FROM clustertrend_v) u GROUP BY 1, 2) g) q WHERE r <= 8 GROUP BY 1) k USING (topic)
-    JOIN (SELECT topic, string_agg(label || ':' || array_to_string(list_slice(keywords, 1, 4), '/') || ':' || printf('%.3f', round(score, 3)), '; ' ORDER BY trend_rank) AS tr
+    JOIN (SELECT topic, string_agg(label || ':' || array_to_string(list_slice(keywords, 1, 4), '/') || ':' || CAST(round(CAST(score AS DECIMAL(18, 6)), 3) AS DECIMAL(18, 3)), '; ' ORDER BY trend_rank) AS tr
       FROM clustertrend_v WHERE trend_rank <= 6 GROUP BY 1) t USING (topic)
     JOIN (SELECT topic, string_agg(source || ':' || printf('%.2f', engagement_score) || ':' || substring(content, 1, 100), '; ' ORDER BY rank) AS docs FROM top3_v GROUP BY 1) d USING (topic)""",
 )

@@ -24,20 +24,21 @@ def block(name: str, sql: str) -> None:
     BLOCKS[name] = sql
 
 
-def oracle(body: str) -> str:
+def oracle(body: str, replace: dict[str, str] | None = None) -> str:
+    texts = {**BLOCKS, **(replace or {})}
     found: list[str] = []
 
     def visit(sql: str) -> None:
-        for name in BLOCKS:
+        for name in texts:
             if name not in found and re.search(rf"\b{name}\b", sql):
-                visit(BLOCKS[name])
+                visit(texts[name])
                 if name not in found:
                     found.append(name)
 
     visit(body)
     if not found:
         return body
-    blocks = ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in found)
+    blocks = ",\n".join(f"{n} AS ({texts[n]})" for n in found)
     if body.startswith(RECURSIVE):
         return f"{RECURSIVE}{blocks},\n{body.removeprefix(RECURSIVE)}"
     return f"WITH {blocks}\n{body}"
@@ -296,3 +297,26 @@ SELECT t.topic, t.cluster, coalesce(label, 'Emerging Topic') AS label, keywords,
   row_number() OVER (PARTITION BY t.topic ORDER BY score DESC, t.cluster) AS trend_rank FROM (
   SELECT topic, cluster, list(term ORDER BY rank) AS keywords, round(avg(mean_weight) * sum(frequency), 5) AS score
   FROM clusterkw_v GROUP BY 1, 2) t LEFT JOIN clusterlabel_v l ON l.topic = t.topic AND l.cluster = t.cluster""")
+
+
+# ---- the full analysis: gate in a first pass, everything else over the survivors -----
+
+
+def two_pass(body: str, posts: str | None = None) -> str:
+    """``body`` over the posts that survive the engagement gate.
+
+    The blocks of the first pass get a suffix; the second pass reads its posts and their
+    scores from the first.
+    """
+    first = dict(BLOCKS)
+    if posts:
+        first["posts_v"] = posts
+    names = sorted(first, key=len, reverse=True)
+    pattern = re.compile(r"\b(" + "|".join(names) + r")\b")
+    earlier = {f"{n}_1": pattern.sub(lambda m: m.group(1) + "_1", sql) for n, sql in first.items()}
+    later = {
+        "posts_v": "SELECT post_id, topic, query, source, content, url, collected_at, likes, comments, shares, engagement_score"
+        " FROM postscore_v_1 WHERE engagement_score >= 5.0 OR (source = 'linkedin' AND likes + comments + shares > 0)",
+        "postscore_v": "SELECT * FROM posts_v",
+    }
+    return oracle(body, {**earlier, **later})
