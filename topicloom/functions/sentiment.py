@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import let, sentiment_tokens
-from topicloom.functions.wordlists import INTENSIFIERS, NEGATIVE_LEXICON, NEGATORS, POSITIVE_LEXICON
+from topicloom.functions.wordlists import INTENSIFIERS, NEGATIVE_LEXICON, NEGATORS, POSITIVE_LEXICON, sql_list
 
 LABEL_MARGIN = 0.08
 
@@ -31,14 +31,12 @@ def two_word_entries() -> list[tuple[int, str, str]]:
 
 
 def _words(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({sql_list(values)})")
 
 
 def _first_entry(token: Column, lexicon: dict[str, int]) -> Column:
-    entries = F.array(
-        *[F.struct(F.lit(code).alias("code"), F.lit(entry).alias("entry")) for code, entry in _single_words(lexicon)]
-    )
-    return F.get(F.filter(entries, lambda e: F.contains(token, e["entry"])), 0)["code"]
+    entries = ", ".join(f"named_struct('code', {code}, 'entry', '{entry}')" for code, entry in _single_words(lexicon))
+    return F.get(F.filter(F.expr(f"array({entries})"), lambda e: F.contains(token, e["entry"])), 0)["code"]
 
 
 def _two_word_code(token: Column, following: Column) -> Column:

@@ -105,8 +105,10 @@ def decimal_text(value: Column, places: int = 2) -> Column:
 
 
 def occurrences(haystack: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of ``needle``."""
-    return (F.length(haystack) - F.length(F.replace(haystack, needle, F.lit("")))) / F.length(needle)
+    """Non-overlapping occurrences of ``needle``. Byte lengths are known without a scan."""
+    rest = F.replace(haystack, needle, F.lit(""))
+    counted = (F.octet_length(haystack) - F.octet_length(rest)) / F.octet_length(needle)
+    return F.when(F.contains(haystack, needle), counted.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def whole_word_count(text: Column, term: Column) -> Column:

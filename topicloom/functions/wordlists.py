@@ -113,6 +113,11 @@ REGIONS = ["india", "asia_pacific", "southeast_asia", "north_america", "europe",
 # ---- end of fixed values ----------------------------------------------------
 
 
+def sql_list(words) -> str:
+    """Words as the inside of a SQL IN list."""
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 @lru_cache(maxsize=1)
 def stop_words() -> tuple[str, ...]:
     """MLlib's English list with the differences above applied; the default of every

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.ranking import first_per_group, top_per_group
@@ -46,35 +46,30 @@ def candidate_ks(n_docs: int) -> list[int]:
     return [k for k in range(MIN_K, min(MAX_K, n_docs) + 1) if k < n_docs]
 
 
-def blocks_of(documents: DataFrame, weights: DataFrame, sizes: DataFrame, vocab: DataFrame,
-              key: str = "post_id") -> DataFrame:
+def blocks_of(posts: DataFrame, documents: DataFrame, sizes: DataFrame, key: str = "post_id") -> DataFrame:
     """(topic, block, n_docs, ids, idx, w): sparse documents as parallel arrays.
 
-    ``documents``: topic, key. A document without vocabulary terms has one entry with
-    ``idx`` -1. Topics of one document are left out.
+    ``posts``: topic, key; ``documents``: weighted documents of their term model. A
+    document without vocabulary terms has one entry with ``idx`` -1. Topics of one
+    document are left out.
     """
-    position = F.row_number().over(Window.partitionBy("topic").orderBy("term")) - 1
-    numbered = vocab.select("topic", "term", position.alias("idx"))
-    entries = (
-        weights.where(F.col("weight") > 0)
-        .join(numbered, ["topic", "term"])
-        .select("topic", F.col(key).alias("id"), "idx", "weight")
-    )
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n_docs") / BLOCK_DOCS))
+    nothing = F.array(F.struct(F.lit(-1).alias("idx"), F.lit(0.0).alias("w")))
+    heavy = F.transform(
+        F.filter("items", lambda i: i["weight"] > 0), lambda i: F.struct(i["idx"].alias("idx"), i["weight"].alias("w"))
+    )
+    vectors = documents.select("topic", F.col(key).alias("id"), heavy.alias("v"))
+    entries = F.transform(
+        F.when(F.size("v") > 0, F.col("v")).otherwise(nothing),
+        lambda x: F.struct(F.col("id").alias("id"), x["idx"].alias("idx"), x["w"].alias("w")),
+    )
     return (
-        documents.select("topic", F.col(key).cast("bigint").alias("id"))
+        posts.select("topic", F.col(key).cast("bigint").alias("id"))
         .join(sizes.where("n_docs > 1"), "topic")
-        .join(entries, ["topic", "id"], "left")
+        .join(vectors, ["topic", "id"], "left")
         .groupBy("topic", block.alias("block"), "n_docs")
-        .agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("idx", F.lit(-1)).alias("idx"), F.coalesce("weight", F.lit(0.0)).alias("w")))).alias("e"))
-        .select(
-            "topic",
-            "block",
-            "n_docs",
-            F.transform("e", lambda e: e["id"]).alias("ids"),
-            F.transform("e", lambda e: e["idx"]).alias("idx"),
-            F.transform("e", lambda e: e["w"]).alias("w"),
-        )
+        .agg(F.flatten(F.array_sort(F.collect_list(entries))).alias("e"))
+        .select("topic", "block", "n_docs", F.col("e.id").alias("ids"), F.col("e.idx").alias("idx"), F.col("e.w").alias("w"))
     )
 
 
@@ -310,10 +305,10 @@ def choose_k(scores: DataFrame) -> DataFrame:
     return first_per_group(scores, ["topic"], [F.desc(F.round("silhouette", 9)), F.asc("k")]).select("topic", "k")
 
 
-def cluster_documents(documents: DataFrame, weights: DataFrame, sizes: DataFrame, vocab: DataFrame,
+def cluster_documents(posts: DataFrame, documents: DataFrame, sizes: DataFrame,
                       restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """(topic, post_id, cluster): the best clustering of each topic of two or more documents."""
-    blocks = stage(blocks_of(documents, weights, sizes, vocab), "blocks")
+    blocks = stage(blocks_of(posts, documents, sizes), "blocks")
     labels = stage(labelled(blocks, restarts, max_iterations), "labels")
     best = choose_k(silhouettes(labels))
     return (

@@ -37,7 +37,7 @@ def keyword_hits(text: Column, items: Column) -> Column:
                     k["keyword"].alias("keyword"),
                     k["score"].alias("score"),
                     k["important"].alias("important"),
-                    occurrences(low, k["keyword"]).cast("bigint").alias("hits"),
+                    occurrences(low, k["keyword"]).alias("hits"),
                 ),
             ),
             lambda h: h["hits"] > 0,

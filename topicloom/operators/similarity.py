@@ -45,49 +45,44 @@ def pair_moments(documents: DataFrame) -> DataFrame:
     per_size = (
         sets.select("topic", "copies", F.size("keywords").alias("a"), F.inline(subsets(F.col("keywords"))))
         .groupBy("topic", "key", "t", "a")
-        .agg(F.sum("copies").cast(_BIG).alias("n"))
+        .agg(F.sum("copies").alias("n"))
     )
-    # At most MAX_SET sizes per subset: a bounded map, combined inside the row.
-    by_subset = per_size.groupBy("topic", "key", "t").agg(
-        F.array_sort(F.collect_list(F.struct("a", "n"))).alias("counts")
+    # At most MAX_SET sizes per subset: a bounded array, combined inside the row. A subset
+    # of a single document pairs with nothing.
+    by_subset = (
+        per_size.groupBy("topic", "key", "t")
+        .agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("counts"), F.sum("n").alias("holders"))
+        .where("holders > 1")
     )
-    pairs = F.flatten(
-        F.transform(
-            F.col("counts"),
-            lambda x: F.transform(
-                F.filter(F.col("counts"), lambda y: y["a"] >= x["a"]),
-                lambda y: F.struct(
-                    x["a"].alias("a"),
-                    y["a"].alias("b"),
-                    F.when(x["a"] == y["a"], (x["n"] * (x["n"] - 1) / 2).cast(_BIG))
-                    .otherwise((x["n"] * y["n"]).cast(_BIG))
-                    .alias("m"),
-                ),
-            ),
-        )
+    pairs = F.expr(
+        f"""flatten(transform(counts, x -> transform(filter(counts, y -> y.a >= x.a), y -> named_struct(
+            'a', x.a, 'b', y.a, 'm', IF(x.a = y.a,
+              cast(cast(x.n AS {_BIG}) * (x.n - 1) / 2 AS {_BIG}), cast(cast(x.n AS {_BIG}) * y.n AS {_BIG}))))))"""
     )
     return (
         by_subset.select("topic", "t", F.inline(pairs)).groupBy("topic", "a", "b", "t").agg(F.sum("m").alias("moment"))
     )
 
 
+def _jaccard_sum() -> Column:
+    """Sum of Jaccard values of all pairs with sizes a and b, from their moments ``m``."""
+    terms = []
+    for i in range(1, MAX_SET + 1):
+        pairs = " + ".join(
+            f"{(-1) ** (t - i) * comb(t, i)} * coalesce(try_element_at(m, {t}), cast(0 AS {_BIG}))"
+            for t in range(i, MAX_SET + 1)
+        )
+        terms.append(f"cast({pairs} AS double) * {i} / greatest(a + b - {i}, 1)")
+    return F.expr(" + ".join(terms))
+
+
 def consistency(documents: DataFrame) -> DataFrame:
     """(topic, sets, consistency): mean Jaccard over all pairs of non-empty keyword sets."""
     totals = documents.where(F.size("keywords") > 0).groupBy("topic").agg(F.count("*").alias("sets"))
     by_sizes = pair_moments(documents).groupBy("topic", "a", "b").agg(
         F.map_from_entries(F.collect_list(F.struct("t", "moment"))).alias("m")
     )
-
-    def at(t: int) -> Column:
-        return F.coalesce(F.try_element_at(F.col("m"), F.lit(t)), F.lit(0).cast(_BIG))
-
-    jaccard_sum = F.lit(0.0)
-    for i in range(1, MAX_SET + 1):
-        pairs = F.lit(0).cast(_BIG)
-        for t in range(i, MAX_SET + 1):
-            pairs = pairs + F.lit((-1) ** (t - i) * comb(t, i)) * at(t)
-        jaccard_sum = jaccard_sum + pairs.cast("double") * i / F.greatest(F.col("a") + F.col("b") - i, F.lit(1))
-    sums = by_sizes.select("topic", jaccard_sum.alias("s")).groupBy("topic").agg(F.sum("s").alias("s"))
+    sums = by_sizes.select("topic", _jaccard_sum().alias("s")).groupBy("topic").agg(F.sum("s").alias("s"))
     n = F.col("sets").cast("double")
     mean = F.when(F.col("sets") < 2, F.lit(0.0)).otherwise(F.coalesce(F.col("s"), F.lit(0.0)) / (n * (n - 1) / 2))
     return totals.join(sums, "topic", "left").select("topic", "sets", mean.alias("consistency"))

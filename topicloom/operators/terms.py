@@ -1,8 +1,9 @@
 """Vocabulary, TF-IDF weights, literal frequencies and keyword ranking, per topic.
 
-Texts are cut in one narrow pass; only counts of vocabulary terms are shuffled. The
-vocabulary is at most ``max_terms`` rows per topic and is staged, so Catalyst knows its
-size and decides between broadcasting it and shuffling.
+Texts are cut in narrow passes. The vocabulary, at most ``max_terms`` rows per topic, is
+staged, so Catalyst knows its size and decides between broadcasting it and shuffling.
+Counts of vocabulary terms are shuffled once, by document, and kept as one row per
+document; weights and document keywords are then arithmetic inside that row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.labels import is_low_signal
-from topicloom.functions.text import WORD, let, term_tokens, whole_word_count
+from topicloom.functions.text import TERM_PATTERN, WORD, let, whole_word_count
+from topicloom.functions.wordlists import sql_list
 from topicloom.functions.wordlists import stop_words as default_stop_words
 from topicloom.operators.ranking import ordered_list, top_per_group
 from topicloom.session import stage
@@ -31,23 +33,20 @@ PLAIN_TERM = r"^[a-z0-9]+( [a-z0-9]+)?$"
 
 
 def _pairs(words: Column) -> Column:
-    return F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def document_terms(text: Column, stop_words: Sequence[str] | None = None) -> Column:
-    """All unigrams and bigrams of a text; stop words go before pairs are formed."""
-    stops = list(stop_words or default_stop_words())
-    kept = F.filter(term_tokens(text), lambda t: ~t.isin(stops))
+def document_terms(text: str = "content", stop_words: Sequence[str] | None = None) -> Column:
+    """All unigrams and bigrams of a text column; stop words go before pairs are formed."""
+    stops = sql_list(stop_words or default_stop_words())
+    kept = F.expr(f"filter(regexp_extract_all(lower({text}), r'{TERM_PATTERN}', 0), t -> t NOT IN ({stops}))")
     return let(kept, lambda ts: F.concat(ts, _pairs(ts)))
 
 
-def literal_terms(text: Column) -> Column:
+def literal_terms(text: str = "content") -> Column:
     """Every plain word run of three or more characters, and every pair of runs with
-    exactly one space between them, as they stand in the text."""
+    exactly one space between them, as they stand in the text column."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(RUN_PATTERN), F.lit(0))
 
     def cut(rs: Column) -> Column:
@@ -64,13 +63,15 @@ def literal_terms(text: Column) -> Column:
 
 
 def vocabulary(posts: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """(topic, term, total): the ``max_terms`` most frequent terms of each topic."""
+    """(topic, term, total, idx): the ``max_terms`` most frequent terms of each topic,
+    numbered from 0."""
     counts = (
-        posts.select("topic", F.explode(document_terms(F.col("content"), stop_words)).alias("term"))
+        posts.select("topic", F.explode(document_terms("content", stop_words)).alias("term"))
         .groupBy("topic", "term")
         .agg(F.count("*").alias("total"))
     )
-    return top_per_group(counts, ["topic"], [F.desc("total"), F.asc("term")], max_terms).drop("rank")
+    best = top_per_group(counts, ["topic"], [F.desc("total"), F.asc("term")], max_terms)
+    return best.select("topic", "term", "total", (F.col("rank") - 1).alias("idx"))
 
 
 def _is_irregular(term: Column) -> Column:
@@ -79,79 +80,113 @@ def _is_irregular(term: Column) -> Column:
     return ~term.rlike(PLAIN_TERM) | ((F.size(words) == 2) & (F.get(words, 0) == F.get(words, 1)))
 
 
-def term_counts(posts: DataFrame, vocab: DataFrame, key: str = "post_id", stop_words: Sequence[str] | None = None) -> DataFrame:
-    """(topic, key, term, tf, literal): vectoriser count and whole-word literal count.
+def document_counts(posts: DataFrame, vocab: DataFrame, key: str = "post_id",
+                    stop_words: Sequence[str] | None = None) -> DataFrame:
+    """(topic, key, items): per document the vectoriser count ``tf`` and the whole-word
+    ``literal`` count of each vocabulary term, as ARRAY<STRUCT<idx, tf, literal>>.
 
     One pass over the texts gives both counts for plain terms. The few irregular terms
-    of a topic travel as one array per topic and are counted inside the row.
+    of a topic travel as one array per topic and are counted inside the row. The one
+    shuffle is by document, so both groupings after it stay in place.
     """
-    text = F.col("content")
-    wanted = vocab.select("topic", "term", _is_irregular(F.col("term")).alias("irregular"))
-
-    def occurrences(terms: Column, kind: str) -> DataFrame:
-        return posts.select("topic", key, F.explode(terms).alias("term"), F.lit(kind).alias("kind"))
-
+    wanted = vocab.select("topic", "term", "idx", _is_irregular(F.col("term")).alias("irregular"))
     tagged = F.concat(
-        F.transform(document_terms(text, stop_words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"))),
-        F.transform(literal_terms(text), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"))),
+        F.transform(document_terms("content", stop_words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"))),
+        F.transform(literal_terms("content"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"))),
     )
     plain = (
         posts.select("topic", key, F.inline(tagged))
         .join(wanted, ["topic", "term"])
         .where((F.col("tf") == 1) | ~F.col("irregular"))
-        .select("topic", key, "term", F.col("tf").cast("bigint"), (1 - F.col("tf")).cast("bigint").alias("literal"))
+        .select("topic", key, "idx", "tf", (1 - F.col("tf")).alias("literal"))
     )
-    irregular_lists = wanted.where("irregular").groupBy("topic").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    listed = wanted.where("irregular").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("idx", "term"))).alias("terms"))
     counted = F.filter(
         let(
-            F.lower(text),
+            F.lower("content"),
             lambda low: F.transform(
-                F.col("terms"), lambda t: F.struct(t.alias("term"), whole_word_count(low, t).alias("literal"))
+                F.col("terms"),
+                lambda t: F.struct(t["idx"].alias("idx"), whole_word_count(low, t["term"]).alias("literal")),
             ),
         ),
         lambda c: c["literal"] > 0,
     )
     irregular = (
         posts.select("topic", key, "content")
-        .join(irregular_lists, "topic")
+        .join(listed, "topic")
         .select("topic", key, F.inline(counted))
-        .select("topic", key, "term", F.lit(0).cast("bigint").alias("tf"), F.col("literal").cast("bigint"))
+        .select("topic", key, "idx", F.lit(0).alias("tf"), "literal")
     )
     return (
         plain.unionByName(irregular)
-        .groupBy("topic", key, "term")
-        .agg(F.sum("tf").alias("tf"), F.sum("literal").alias("literal"))
+        .repartition("topic", key)
+        .groupBy("topic", key, "idx")
+        .agg(F.sum("tf").cast("int").alias("tf"), F.sum("literal").cast("int").alias("literal"))
+        .groupBy("topic", key)
+        .agg(F.array_sort(F.collect_list(F.struct("idx", "tf", "literal"))).alias("items"))
     )
 
 
-def term_statistics(counts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(topic, term, df, frequency, idf) from term counts and (topic, n_docs)."""
+def term_statistics(documents: DataFrame, vocab: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(topic, idx, term, df, frequency, idf, n_docs)."""
     return (
-        counts.groupBy("topic", "term")
+        documents.select("topic", F.inline("items"))
+        .groupBy("topic", "idx")
         .agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("literal").alias("frequency"))
+        .join(vocab.select("topic", "idx", "term"), ["topic", "idx"])
         .join(sizes, "topic")
         .withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
     )
 
 
-def term_weights(counts: DataFrame, statistics: DataFrame, key: str = "post_id") -> DataFrame:
-    """Counts with ``weight``: tf x idf, scaled to unit length per document."""
-    document = Window.partitionBy("topic", key)
-    raw = F.col("tf") * F.col("idf")
-    return (
-        counts.join(statistics.select("topic", "term", "idf"), ["topic", "term"])
-        .withColumn("raw", raw)
-        .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(document)))
-        .withColumn("weight", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(0.0))
-        .drop("raw", "norm", "idf")
-    )
+def topic_arrays(statistics: DataFrame) -> DataFrame:
+    """One row per topic: its terms by number, as an array of (idx, term, idf, low)."""
+    item = F.struct("idx", "term", "idf", is_low_signal("term").alias("low"))
+    return statistics.groupBy("topic").agg(F.array_sort(F.collect_list(item)).alias("_terms"))
+
+
+def weighted_documents(documents: DataFrame, statistics: DataFrame, key: str = "post_id") -> DataFrame:
+    """(topic, key, items): the counts with ``term``, ``low`` and ``weight``: tf x idf,
+    scaled to unit length per document."""
+
+    def named(terms: Column, items: Column) -> Column:
+        # Terms are sorted by idx, and every number of the vocabulary has its entry.
+        return F.transform(
+            items,
+            lambda i: F.struct(
+                i["idx"].alias("idx"),
+                F.get(terms, i["idx"])["term"].alias("term"),
+                F.get(terms, i["idx"])["low"].alias("low"),
+                i["tf"].alias("tf"),
+                i["literal"].alias("literal"),
+                (i["tf"] * F.get(terms, i["idx"])["idf"]).alias("raw"),
+            ),
+        )
+
+    def scaled(items: Column) -> Column:
+        norm = F.sqrt(F.aggregate(items, F.lit(0.0), lambda acc, i: acc + i["raw"] * i["raw"]))
+        return let(
+            norm,
+            lambda n: F.transform(
+                items,
+                lambda i: F.struct(
+                    i["idx"], i["term"], i["low"], i["tf"], i["literal"],
+                    F.when(n > 0, i["raw"] / n).otherwise(0.0).alias("weight"),
+                ),
+            ),
+        )
+
+    both = documents.join(topic_arrays(statistics), "topic")
+    return both.select("topic", key, let(named(F.col("_terms"), F.col("items")), scaled).alias("items"))
 
 
 class TermModel:
-    """The staged term tables of one set of posts.
+    """The term tables of one set of posts (topic, key, content).
 
-    ``counts``: topic, key, term, tf, literal, weight; ``statistics``: topic, term, df,
-    frequency, idf, n_docs; ``sizes``: topic, n_docs.
+    ``sizes``: topic, n_docs; ``vocabulary``: topic, term, total, idx; ``statistics``:
+    topic, idx, term, df, frequency, idf, n_docs; ``documents``: topic, key, items with
+    idx, term, low, tf, literal and weight. Documents without vocabulary terms are absent
+    from ``documents``.
     """
 
     def __init__(self, posts: DataFrame, key: str = "post_id", max_terms: int = MAX_TERMS,
@@ -160,34 +195,43 @@ class TermModel:
         self.posts = posts
         self.sizes = stage(posts.groupBy("topic").agg(F.count("*").alias("n_docs")), "sizes")
         self.vocabulary = stage(vocabulary(posts, max_terms, stop_words), "vocabulary")
-        raw = stage(term_counts(posts, self.vocabulary, key, stop_words), "term-counts")
-        self.statistics = stage(term_statistics(raw, self.sizes), "term-statistics")
-        self.counts = term_weights(raw, self.statistics, key)
+        counts = stage(document_counts(posts, self.vocabulary, key, stop_words), "document-counts")
+        self.statistics = stage(term_statistics(counts, self.vocabulary, self.sizes), "term-statistics")
+        self.documents = weighted_documents(counts, self.statistics, key)
+
+    def weights(self) -> DataFrame:
+        """The long form: topic, key, term, tf, literal, weight."""
+        rows = self.documents.select("topic", self.key, F.inline("items"))
+        return rows.select("topic", self.key, "term", "tf", "literal", "weight")
 
     def keywords(self, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
-        return rank_keywords(self.counts, self.statistics, max_keywords)
+        return rank_keywords(self.documents, self.statistics, max_keywords)
 
     def document_keywords(self, n: int = DOC_KEYWORDS) -> DataFrame:
-        return document_keywords(self.counts, self.key, n)
+        return document_keywords(self.documents, self.key, n)
 
 
-def mean_weights(counts: DataFrame, statistics: DataFrame) -> DataFrame:
+def mean_weights(documents: DataFrame, statistics: DataFrame) -> DataFrame:
     """Mean weight of each term over all documents of its topic, zeros included."""
-    sums = counts.groupBy("topic", "term").agg(F.sum("weight").alias("weight_sum"))
-    return statistics.join(sums, ["topic", "term"]).withColumn("mean_weight", F.col("weight_sum") / F.col("n_docs"))
+    sums = (
+        documents.select("topic", F.inline("items"))
+        .groupBy("topic", "idx")
+        .agg(F.sum("weight").alias("weight_sum"))
+    )
+    return statistics.join(sums, ["topic", "idx"]).withColumn("mean_weight", F.col("weight_sum") / F.col("n_docs"))
 
 
-def score_keywords(counts: DataFrame, statistics: DataFrame) -> DataFrame:
+def score_keywords(documents: DataFrame, statistics: DataFrame) -> DataFrame:
     """Combined score of every vocabulary term (a group is one topic's vocabulary)."""
     topic = Window.partitionBy("topic")
     mean_part = F.col("mean_weight") / F.greatest(F.max("mean_weight").over(topic), F.lit(1e-9))
     frequency_part = F.col("frequency") / F.greatest(F.max("frequency").over(topic).cast("double"), F.lit(1.0))
-    return mean_weights(counts, statistics).withColumn("combined", 0.65 * mean_part + 0.35 * frequency_part)
+    return mean_weights(documents, statistics).withColumn("combined", 0.65 * mean_part + 0.35 * frequency_part)
 
 
-def rank_keywords(counts: DataFrame, statistics: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
+def rank_keywords(documents: DataFrame, statistics: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
     """The best keywords of each topic: topic, rank, keyword, tfidf_score, frequency, score."""
-    useful = score_keywords(counts, statistics).where(~is_low_signal(F.col("term")))
+    useful = score_keywords(documents, statistics).where(~is_low_signal("term"))
     order = [F.desc(F.round("combined", RANK_PLACES)), F.asc("term")]
     return top_per_group(useful, ["topic"], order, max_keywords).select(
         "topic",
@@ -199,12 +243,15 @@ def rank_keywords(counts: DataFrame, statistics: DataFrame, max_keywords: int =
     )
 
 
-def document_keywords(counts: DataFrame, key: str = "post_id", n: int = DOC_KEYWORDS) -> DataFrame:
-    """(topic, key, keywords): the ``n`` heaviest terms, of which low-signal ones are then dropped."""
-    order = [F.desc(F.round("weight", RANK_PLACES)), F.asc("term")]
-    top = top_per_group(counts.where(F.col("weight") > 0), ["topic", key], order, n)
-    return (
-        top.where(~is_low_signal(F.col("term")))
-        .groupBy("topic", key)
-        .agg(ordered_list(F.col("rank"), F.col("term")).alias("keywords"))
+def document_keywords(documents: DataFrame, key: str = "post_id", n: int = DOC_KEYWORDS) -> DataFrame:
+    """(topic, key, keywords): the ``n`` heaviest terms, of which low-signal ones are then
+    dropped; documents left without any are absent."""
+    ordered = F.array_sort(
+        F.transform(
+            F.filter("items", lambda i: i["weight"] > 0),
+            lambda i: F.struct((-F.round(i["weight"], RANK_PLACES)).alias("o"), i["term"].alias("term"), i["low"].alias("low")),
+        )
     )
+    best = F.filter(F.slice(ordered, 1, n), lambda i: ~i["low"])
+    rows = documents.select("topic", key, F.transform(best, lambda i: i["term"]).alias("keywords"))
+    return rows.where(F.size("keywords") > 0)

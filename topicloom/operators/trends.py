@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.functions.labels import cluster_label, is_low_signal
+from topicloom.functions.labels import cluster_label
 from topicloom.operators.ranking import ordered_list, top_per_group
 from topicloom.operators.terms import RANK_PLACES
 
@@ -13,15 +13,17 @@ CLUSTER_KEYWORDS = 8
 MAX_TRENDS = 12
 
 
-def cluster_terms(counts: DataFrame, assignments: DataFrame, key: str = "post_id") -> DataFrame:
-    """(topic, cluster, term, mean_weight, frequency) over each cluster's members.
+def cluster_terms(documents: DataFrame, assignments: DataFrame, key: str = "post_id") -> DataFrame:
+    """(topic, cluster, term, low, mean_weight, frequency) over each cluster's members.
 
-    ``assignments``: topic, key, cluster.
+    ``documents``: weighted documents of a term model; ``assignments``: topic, key, cluster.
+    Whole documents are joined; their terms are spread out and added up after that.
     """
     sizes = assignments.groupBy("topic", "cluster").agg(F.count("*").alias("members"))
     return (
-        counts.join(assignments, ["topic", key])
-        .groupBy("topic", "cluster", "term")
+        documents.join(assignments, ["topic", key])
+        .select("topic", "cluster", F.inline("items"))
+        .groupBy("topic", "cluster", "term", "low")
         .agg(F.sum("weight").alias("weight_sum"), F.sum("literal").alias("frequency"))
         .join(sizes, ["topic", "cluster"])
         .withColumn("mean_weight", F.col("weight_sum") / F.col("members"))
@@ -30,7 +32,7 @@ def cluster_terms(counts: DataFrame, assignments: DataFrame, key: str = "post_id
 
 def cluster_keywords(terms: DataFrame, k: int = CLUSTER_KEYWORDS) -> DataFrame:
     """Filtered first, then the ``k`` heaviest terms of each cluster."""
-    useful = terms.where((F.col("frequency") > 0) & ~is_low_signal(F.col("term")))
+    useful = terms.where((F.col("frequency") > 0) & ~F.col("low"))
     order = [F.desc(F.round("mean_weight", RANK_PLACES)), F.asc("term")]
     return top_per_group(useful, ["topic", "cluster"], order, k)
 
@@ -43,7 +45,7 @@ def cluster_trends(keywords: DataFrame) -> DataFrame:
             ordered_list(F.col("rank"), F.col("term")).alias("keywords"),
             F.round(F.avg("mean_weight") * F.sum("frequency"), 5).alias("score"),
         )
-        .withColumn("label", cluster_label(F.col("keywords")))
+        .withColumn("label", cluster_label("keywords"))
     )
 
 
@@ -52,8 +54,8 @@ def rank_trends(trends: DataFrame, max_trends: int = MAX_TRENDS) -> DataFrame:
     return top_per_group(trends, ["topic"], [F.desc("score"), F.asc("cluster")], max_trends, "trend_rank")
 
 
-def trends_of(counts: DataFrame, assignments: DataFrame, key: str = "post_id", max_trends: int = MAX_TRENDS) -> DataFrame:
-    return rank_trends(cluster_trends(cluster_keywords(cluster_terms(counts, assignments, key))), max_trends)
+def trends_of(documents: DataFrame, assignments: DataFrame, key: str = "post_id", max_trends: int = MAX_TRENDS) -> DataFrame:
+    return rank_trends(cluster_trends(cluster_keywords(cluster_terms(documents, assignments, key))), max_trends)
 
 
 def single_cluster(posts: DataFrame, sizes: DataFrame, key: str = "post_id") -> DataFrame:

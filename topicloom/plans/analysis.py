@@ -24,7 +24,7 @@ def kmeans_clusters(restarts: int = cluster.RESTARTS, max_iterations: int = clus
 
     def assign(posts: DataFrame, model: TermModel) -> DataFrame:
         many = cluster.cluster_documents(
-            posts, model.counts, model.sizes, model.vocabulary, restarts, max_iterations
+            posts, model.documents, model.sizes, restarts, max_iterations
         )
         return many.unionByName(trends.single_cluster(posts, model.sizes))
 
@@ -71,7 +71,7 @@ class Processed:
         )
         assign = clustering or kmeans_clusters()
         self.assignments = assign(self.posts, self.model)
-        self.trends = stage(trends.trends_of(self.model.counts, self.assignments), "trends")
+        self.trends = stage(trends.trends_of(self.model.documents, self.assignments), "trends")
 
     def top_keywords(self) -> DataFrame:
         return trends.top_keywords(self.trends)

@@ -23,7 +23,7 @@ AS_OF = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
 def _blocks(t):
     posts = t.posts(urls=False, engagement=False)
     m = terms.TermModel(posts)
-    return posts, m, stage(cluster.blocks_of(posts, m.counts, m.sizes, m.vocabulary), "blocks")
+    return posts, m, stage(cluster.blocks_of(posts, m.documents, m.sizes), "blocks")
 
 
 @query("ml1_kmeans")
@@ -63,7 +63,7 @@ def ml3(t):
     posts = t.posts(False, False).withColumn("topic", topic).select("topic", "post_id", "content")
     m = terms.TermModel(posts)
     alone = stage(trends.single_cluster(posts, m.sizes), "alone")
-    rows = trends.trends_of(m.counts, alone)
+    rows = trends.trends_of(m.documents, alone)
     return rows.join(alone.select("topic", "post_id"), "topic").select(
         "topic", "post_id", "label", F.concat_ws(", ", "keywords").alias("keywords"), "score"
     )

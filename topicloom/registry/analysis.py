@@ -10,6 +10,7 @@ from topicloom.operators.ranking import ordered_list
 from topicloom.operators.validation import validate_posts
 from topicloom.registry.base import query
 from topicloom.registry.sqltext import cluster_label, label_tokens, low_signal
+from topicloom.session import stage
 from topicloom.sources.tables import Tables
 
 # ---- sentiment ---------------------------------------------------------------
@@ -116,26 +117,26 @@ def sc20(t):
 
 @query("ag1_vocabulary", "SELECT topic, term, total FROM vocab_v")
 def ag1(t):
-    return terms.vocabulary(t.posts(False, False))
+    return terms.vocabulary(t.posts(False, False)).drop("idx")
 
 
 @query("ag2_term_weights", "SELECT topic, post_id, term, tf, round(weight, 8) AS weight FROM weights_v WHERE tf > 0")
 def ag2(t):
-    counts = _model(t).counts.where("tf > 0")
+    counts = _model(t).weights().where("tf > 0")
     return counts.select("topic", "post_id", "term", "tf", F.round("weight", 8).alias("weight"))
 
 
 @query("ag3_mean_weights", "SELECT topic, term, df, round(idf, 8) AS idf, round(mean_weight, 8) AS mean_weight FROM scored_v")
 def ag3(t):
     m = _model(t)
-    means = terms.mean_weights(m.counts, m.statistics)
+    means = terms.mean_weights(m.documents, m.statistics)
     return means.select("topic", "term", "df", F.round("idf", 8).alias("idf"), F.round("mean_weight", 8).alias("mean_weight"))
 
 
 @query("ag4_keyword_scores", "SELECT topic, term, frequency, round(combined, 6) AS combined FROM scored_v")
 def ag4(t):
     m = _model(t)
-    return terms.score_keywords(m.counts, m.statistics).select(
+    return terms.score_keywords(m.documents, m.statistics).select(
         "topic", "term", "frequency", F.round("combined", 6).alias("combined")
     )
 
@@ -154,8 +155,9 @@ def tk2(t):
 @query("jn9_literal_counts", "SELECT topic, post_id, term, literal FROM counts_v WHERE literal > 0")
 def jn9(t):
     posts = t.posts(False, False)
-    counts = terms.term_counts(posts, terms.stage(terms.vocabulary(posts), "vocabulary"))
-    return counts.where("literal > 0").select("topic", "post_id", "term", "literal")
+    vocab = stage(terms.vocabulary(posts), "vocabulary")
+    counts = terms.document_counts(posts, vocab).select("topic", "post_id", F.inline("items"))
+    return counts.where("literal > 0").join(vocab, ["topic", "idx"]).select("topic", "post_id", "term", "literal")
 
 
 @query(
@@ -164,7 +166,7 @@ def jn9(t):
 )
 def sc21(t):
     v = terms.vocabulary(t.posts(False, False))
-    return v.select("topic", "term", labels.is_low_signal(F.col("term")).alias("low_signal"))
+    return v.select("topic", "term", labels.is_low_signal("term").alias("low_signal"))
 
 
 @query(
@@ -173,7 +175,7 @@ def sc21(t):
 )
 def fl11(t):
     stats = _model(t).statistics
-    return stats.where(~labels.is_low_signal(F.col("term")) & (F.col("frequency") > 0)).select("topic", "term", "frequency")
+    return stats.where(~labels.is_low_signal("term") & (F.col("frequency") > 0)).select("topic", "term", "frequency")
 
 
 # ---- engagement --------------------------------------------------------------
@@ -241,20 +243,20 @@ def fl5(t):
 @query("sc22_clean_labels", f"SELECT topic, term, array_to_string({label_tokens('term')}, ' ') AS label FROM vocab_v")
 def sc22(t):
     v = terms.vocabulary(t.posts(False, False))
-    return v.select("topic", "term", labels.clean_label(F.col("term")).alias("label"))
+    return v.select("topic", "term", labels.clean_label("term").alias("label"))
 
 
 @query("sc23_cluster_labels", "SELECT topic, cluster, label FROM clustertrend_v")
 def sc23(t):
     k = _cluster_keywords(t)
     lists = k.groupBy("topic", "cluster").agg(ordered_list(F.col("rank"), F.col("term")).alias("keywords"))
-    return lists.select("topic", "cluster", labels.cluster_label(F.col("keywords")).alias("label"))
+    return lists.select("topic", "cluster", labels.cluster_label("keywords").alias("label"))
 
 
 def _cluster_keywords(t: Tables):
     m = _model(t)
     by_source = m.posts.select("topic", "post_id", F.col("source").alias("cluster"))
-    return trends.cluster_keywords(trends.cluster_terms(m.counts, by_source))
+    return trends.cluster_keywords(trends.cluster_terms(m.documents, by_source))
 
 
 @query("tk3_cluster_keywords", "SELECT topic, cluster, rank, term, round(mean_weight, 8) AS mean_weight, frequency FROM clusterkw_v")

@@ -73,7 +73,7 @@ class Parts:
 
     def trends(self):
         by_source = self.posts.select("topic", "post_id", F.col("source").alias("cluster"))
-        return trends.trends_of(self.model.counts, by_source)
+        return trends.trends_of(self.model.documents, by_source)
 
     def documents(self):
         scores = engagement.score_posts(self.posts, self.model.keywords())
