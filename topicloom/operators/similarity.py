@@ -14,6 +14,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.session import fan_out
+
 
 MAX_SET = 12  # 2**12 subsets; sets come from top-8 lists
 _BIG = "decimal(38,0)"
@@ -42,20 +44,18 @@ def pair_moments(documents: DataFrame) -> DataFrame:
         .groupBy("topic", "keywords")
         .agg(F.count("*").alias("copies"))
     )
-    per_size = (
-        sets.select("topic", "copies", F.size("keywords").alias("a"), F.inline(subsets(F.col("keywords"))))
-        .groupBy("topic", "key", "t", "a")
-        .agg(F.sum("copies").alias("n"))
-    )
-    # At most MAX_SET sizes per subset: a bounded array, combined inside the row. A subset
-    # of a single document pairs with nothing.
+    sizes = range(1, MAX_SET + 1)
+    spread = fan_out(sets, "topic", "keywords").select("topic", "copies", F.size("keywords").alias("a"), F.inline(subsets(F.col("keywords"))))
+    # One counter per set size. A subset of a single document pairs with nothing.
     by_subset = (
-        per_size.groupBy("topic", "key", "t")
-        .agg(F.array_sort(F.collect_list(F.struct("a", "n"))).alias("counts"), F.sum("n").alias("holders"))
+        spread.groupBy("topic", "key", "t")
+        .agg(*[F.sum(F.when(F.col("a") == s, F.col("copies")).otherwise(0)).alias(f"n{s}") for s in sizes],
+             F.sum("copies").alias("holders"))
         .where("holders > 1")
     )
+    counts = "filter(array(" + ", ".join(f"named_struct('a', {s}, 'n', n{s})" for s in sizes) + "), c -> c.n > 0)"
     pairs = F.expr(
-        f"""flatten(transform(counts, x -> transform(filter(counts, y -> y.a >= x.a), y -> named_struct(
+        f"""flatten(transform({counts}, x -> transform(filter({counts}, y -> y.a >= x.a), y -> named_struct(
             'a', x.a, 'b', y.a, 'm', IF(x.a = y.a,
               cast(cast(x.n AS {_BIG}) * (x.n - 1) / 2 AS {_BIG}), cast(cast(x.n AS {_BIG}) * y.n AS {_BIG}))))))"""
     )

@@ -68,3 +68,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over the session's shuffle partitions ahead of a step that turns each
+    into many; adaptive execution would otherwise merge small inputs into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
