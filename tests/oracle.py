@@ -48,9 +48,9 @@ def _rows(columns, rows) -> Counter:
 
 
 def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
-    from topicloom.registry import all_queries
+    from topicloom.registry import all_queries, all_sql
 
-    queries, oracles = all_queries()
+    queries, oracles = all_queries()[0], all_sql()
     t0 = time.time()
     df = queries[name](spark, sf_dir)
     got = [tuple(r) for r in df.collect()]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from topicloom.functions.text import BLOCK_CAP
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def chunks(texts: pd.Series) -> pd.Series:
     """Pieces of at most 1990 characters, each ending after the last full stop that fits
     (a hard cut without one). Each cut depends on the one before, so this runs in Arrow

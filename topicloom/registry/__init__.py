@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries():
-    """(queries, oracle SQL), both by name."""
+    """(queries, comparison SQL), both by name. Needs no running session."""
     from topicloom.registry import (  # noqa: F401
         analyses,
         analysis,
@@ -19,3 +19,10 @@ def all_queries():
     from topicloom.registry.base import ORACLES, QUERIES
 
     return QUERIES, ORACLES
+
+
+def all_sql() -> dict[str, str]:
+    """The comparison SQL, complete."""
+    from topicloom.registry.sqltext import complete
+
+    return {name: complete(sql) for name, sql in all_queries()[1].items()}

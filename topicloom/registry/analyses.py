@@ -13,11 +13,10 @@ from topicloom.plans.collect import collect
 from topicloom.operators.evolution import TREND_TYPE
 from topicloom.registry.base import query
 from topicloom.registry import insights as _insights  # noqa: F401  (its SQL blocks)
-from topicloom.registry.posts import strip_sql
+from topicloom.registry.posts import as_of, strip_sql
 from topicloom.registry.sqltext import BLOCKS, block, two_pass
 from topicloom.session import stage
 
-AS_OF = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
 
 
 def _blocks(t):
@@ -112,7 +111,7 @@ def _no_history(t):
 @query("cq1_analyse")
 def cq1(t):
     """The full analysis per topic, with k-means clusters."""
-    return _flat(analysis.analyse(t.posts(), _no_history(t), AS_OF))
+    return _flat(analysis.analyse(t.posts(), _no_history(t), as_of()))
 
 
 VALIDATED = f"""SELECT * EXCLUDE (r) FROM (SELECT * REPLACE ({strip_sql('content')} AS content, coalesce(collected_at, TIMESTAMP '2024-01-31') AS collected_at),
@@ -147,7 +146,7 @@ JOIN (SELECT topic, round(CAST(sum(CAST(round(score * 1000) AS BIGINT)) AS DOUBL
 @query("cq1_analyse_by_source", CQ1_SQL)
 def cq1_by_source(t):
     """The full analysis with the posts' source as the cluster."""
-    return _flat(analysis.analyse(t.posts(), _no_history(t), AS_OF, clustering=analysis.column_clusters("source")))
+    return _flat(analysis.analyse(t.posts(), _no_history(t), as_of(), clustering=analysis.column_clusters("source")))
 
 
 @query("cq1_analyse_with_history")
@@ -156,9 +155,9 @@ def cq1_history(t):
     posts = t.posts()
     earlier = analysis.process(posts.where("post_id % 2 = 0"), analysis.column_clusters("source"))
     stored = trends.trend_lists(earlier.trends).select(
-        F.lit(1).alias("id"), "topic", AS_OF.alias("captured_at"), "trends"
+        F.lit(1).alias("id"), "topic", as_of().alias("captured_at"), "trends"
     )
-    rows = analysis.analyse(posts, latest_trends(stored), AS_OF, clustering=analysis.column_clusters("source"))
+    rows = analysis.analyse(posts, latest_trends(stored), as_of(), clustering=analysis.column_clusters("source"))
     return _flat(rows)
 
 
@@ -199,7 +198,7 @@ def cq4(t):
         answered.where("source = 'newsapi'"),
         answered.where("source = 'mock'"),
         social.withColumn("provider_rank", (i % 2).cast("int")),
-        AS_OF,
+        as_of(),
     )
     per_query = result.groups.groupBy("query").agg(F.count("*").alias("posts"))
     retry = result.retry.select("topic", F.lit(True).alias("retry"))

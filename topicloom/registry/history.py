@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from topicloom.functions import text
 from topicloom.operators import evolution, explore, history, reports
 from topicloom.registry.base import query
-from topicloom.registry.posts import stamp
+from topicloom.registry.posts import as_of, stamp
 from topicloom.session import new_folder
 from topicloom.sources import store
 
-USAGE_AS_OF = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
-CACHE_AS_OF = F.to_timestamp_ntz(F.lit("1998-06-30 00:00:00"))
+def cache_as_of():
+    return F.to_timestamp_ntz(F.lit("1998-06-30 00:00:00"))
 
 
 def _ts(c: str = "captured_at") -> str:
@@ -72,7 +72,7 @@ def tk8(t):
 )
 def fl9(t):
     runs = t.runs(counts=False).where("topic = 'topic-7'").select(F.lit("run").alias("kind"), "id")
-    calls = t.api_usage().where(F.col("logged_at") >= USAGE_AS_OF - F.expr("INTERVAL 7 DAYS"))
+    calls = t.api_usage().where(F.col("logged_at") >= as_of() - F.expr("INTERVAL 7 DAYS"))
     return runs.unionByName(calls.select(F.lit("call").alias("kind"), "id"))
 
 
@@ -158,17 +158,17 @@ def snk2(t):
     log = t.api_usage()
     for part in (0, 1):
         store.append_usage(log.where(F.col("id") % 2 == part), path)
-    return history.usage_summary(store.read_usage(t.spark, path), USAGE_AS_OF)
+    return history.usage_summary(store.read_usage(t.spark, path), as_of())
 
 
 @query("ag10_usage_summary", USAGE_SQL)
 def ag10(t):
-    return history.usage_summary(t.api_usage(), USAGE_AS_OF)
+    return history.usage_summary(t.api_usage(), as_of())
 
 
 @query("tk10_usage_order", f"SELECT source, total_calls FROM ({USAGE_SQL}) u ORDER BY total_calls DESC, source")
 def tk10(t):
-    return history.usage_summary(t.api_usage(), USAGE_AS_OF).select("source", "total_calls")
+    return history.usage_summary(t.api_usage(), as_of()).select("source", "total_calls")
 
 
 @query(
@@ -189,7 +189,7 @@ def snk3(t):
         text.fingerprint(F.concat(F.lit("topic-"), F.col("o_custkey").cast("string"))).alias("key"),
         F.col("o_orderdate").alias("deleted_at"),
     )
-    fresh = store.fresh_snapshots(t.spark.read.parquet(path), CACHE_AS_OF, 90 * store.SNAPSHOT_TTL_SECONDS, deleted)
+    fresh = store.fresh_snapshots(t.spark.read.parquet(path), cache_as_of(), 90 * store.SNAPSHOT_TTL_SECONDS, deleted)
     return fresh.select("key", stamp("captured_at").alias("captured_at"), "result")
 
 
@@ -198,7 +198,7 @@ def snk3(t):
 def cq3(t):
     from topicloom.plans.reports import history_report
 
-    return history_report(t.runs(), t.api_usage(), USAGE_AS_OF)
+    return history_report(t.runs(), t.api_usage(), as_of())
 
 
 # ---- evolution and opportunities ----------------------------------------------

@@ -11,7 +11,12 @@ from topicloom.operators.sentiments import with_sentiment
 from topicloom.registry.base import query
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
-AS_OF_COL = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
+
+
+def as_of():
+    return F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8232) || chr(8233) || chr(12288)"
 
 
@@ -137,7 +142,7 @@ def fl4(t):
     rows = t.read("events").select("event_id", F.col("ts").alias("collected_at"))
     union = None
     for name in [*scoring.TIMELINES, "other"]:
-        part = since(rows, name, AS_OF_COL).select(F.lit(name).alias("timeline"), "event_id")
+        part = since(rows, name, as_of()).select(F.lit(name).alias("timeline"), "event_id")
         union = part if union is None else union.unionByName(part)
     return union
 
@@ -178,7 +183,7 @@ def fl6(t):
     f"SELECT post_id, strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at FROM posts_v WHERE coalesce(collected_at, TIMESTAMP '1970-01-01') >= {AS_OF} - INTERVAL 7 DAYS",
 )
 def fl7(t):
-    hits = explore.by_date_range(t.posts(urls=False), "7d", AS_OF_COL)
+    hits = explore.by_date_range(t.posts(urls=False), "7d", as_of())
     return hits.select("post_id", stamp("collected_at").alias("collected_at"))
 
 
@@ -246,6 +251,6 @@ def snk4(t):
 )
 def cq5(t):
     hits = explore.explore(
-        with_sentiment(t.posts(urls=False)), AS_OF_COL, "post_id", show="neutral", date_range="30d", likes=10, order="date"
+        with_sentiment(t.posts(urls=False)), as_of(), "post_id", show="neutral", date_range="30d", likes=10, order="date"
     )
     return hits.select("post_id", "source", "sentiment.label", stamp("collected_at").alias("collected_at"))

@@ -24,6 +24,13 @@ def block(name: str, sql: str) -> None:
     BLOCKS[name] = sql
 
 
+def complete(sql: str) -> str:
+    """Fill in the stop words, which come from the running session's MLlib."""
+    stops = w.stop_words()
+    dropped = sorted(set(stops) | set(w.LOW_SIGNAL_TERMS) | set(w.GENERIC_LABEL_TERMS))
+    return sql.replace("@STOP_WORDS@", quoted(stops)).replace("@LABEL_DROPPED@", quoted(dropped))
+
+
 def oracle(body: str, replace: dict[str, str] | None = None) -> str:
     texts = {**BLOCKS, **(replace or {})}
     found: list[str] = []
@@ -152,7 +159,7 @@ FROM (SELECT post_id, positive, negative,
 block("kept_v", rf"""
 SELECT post_id, topic, list_filter(list_transform(
     regexp_extract_all(lower(content), '[\p{{L}}\p{{M}}\p{{N}}_\-]+'), lambda x: trim(x, '-')),
-  lambda x: regexp_matches(x, '^[a-z][a-z0-9\-]{{2,}}$') AND x NOT IN ({quoted(w.stop_words())})) AS toks
+  lambda x: regexp_matches(x, '^[a-z][a-z0-9\-]{{2,}}$') AND x NOT IN (@STOP_WORDS@)) AS toks
 FROM posts_v""")
 block("kept_tok_v", """
 SELECT post_id, topic, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM kept_v""")
@@ -204,7 +211,7 @@ def low_signal(term: str) -> str:
     return (
         f"(length({term}) < 3 OR regexp_matches({term}, '^[0-9]+$')"
         f" OR len(list_filter({parts}, lambda t: t IN ({quoted(w.LOW_SIGNAL_TERMS)}) OR length(t) < 3)) > 0"
-        f" OR len(list_filter({parts}, lambda t: t NOT IN ({quoted(w.stop_words())}))) = 0)"
+        f" OR len(list_filter({parts}, lambda t: t NOT IN (@STOP_WORDS@))) = 0)"
     )
 
 
@@ -266,9 +273,8 @@ SELECT topic, cluster, term, mean_weight, frequency, rank FROM (
 
 
 def label_tokens(keyword: str) -> str:
-    dropped = sorted(set(w.stop_words()) | set(w.LOW_SIGNAL_TERMS) | set(w.GENERIC_LABEL_TERMS))
     return (
-        f"list_slice(list_filter(string_split(lower({keyword}), ' '), lambda t: t NOT IN ({quoted(dropped)})"
+        f"list_slice(list_filter(string_split(lower({keyword}), ' '), lambda t: t NOT IN (@LABEL_DROPPED@)"
         " AND length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$')), 1, 3)"
     )
 
