@@ -166,12 +166,12 @@ def score_opportunities(runs: DataFrame) -> DataFrame:
 
 
 def previous_snapshot(runs: DataFrame, value: str = "trends", at: str = "captured_at", tie: str = "id",
-                      bucket: str = "month") -> DataFrame:
+                      bucket: str = "week") -> DataFrame:
     """Each run with the ``value`` of the run before it on the same topic.
 
-    The look-back runs inside (topic, month) slices, and the first run of a slice takes
+    The look-back runs inside (topic, week) slices, and the first run of a slice takes
     the last value of the topic's previous slice from a small table of slice ends; one
-    hot topic is thus spread over its months.
+    hot topic is thus spread over its weeks.
     """
     sliced = runs.withColumn("_slice", F.date_trunc(bucket, F.col(at)))
     inside = Window.partitionBy("topic", "_slice").orderBy(at, tie)

@@ -245,7 +245,7 @@ def rank_keywords(documents: DataFrame, statistics: DataFrame, max_keywords: int
 
 def document_keywords(documents: DataFrame, key: str = "post_id", n: int = DOC_KEYWORDS) -> DataFrame:
     """(topic, key, keywords): the ``n`` heaviest terms, of which low-signal ones are then
-    dropped; documents left without any are absent."""
+    dropped, so a document may be left with none."""
     ordered = F.array_sort(
         F.transform(
             F.filter("items", lambda i: i["weight"] > 0),
@@ -253,5 +253,4 @@ def document_keywords(documents: DataFrame, key: str = "post_id", n: int = DOC_K
         )
     )
     best = F.filter(F.slice(ordered, 1, n), lambda i: ~i["low"])
-    rows = documents.select("topic", key, F.transform(best, lambda i: i["term"]).alias("keywords"))
-    return rows.where(F.size("keywords") > 0)
+    return documents.select("topic", key, F.transform(best, lambda i: i["term"]).alias("keywords"))

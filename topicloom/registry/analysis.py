@@ -149,7 +149,7 @@ def tk1(t):
 @query("tk2_document_keywords", "SELECT topic, post_id, array_to_string(keywords, ', ') AS keywords FROM dockw_v")
 def tk2(t):
     d = _model(t).document_keywords()
-    return d.withColumn("keywords", F.concat_ws(", ", "keywords"))
+    return d.where(F.size("keywords") > 0).withColumn("keywords", F.concat_ws(", ", "keywords"))
 
 
 @query("jn9_literal_counts", "SELECT topic, post_id, term, literal FROM counts_v WHERE literal > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions import payload as P
-from topicloom.functions.text import blank_to_null, cap_content, strip
+from topicloom.functions.text import blank_to_null, cap_content, let, strip
 
 RESULTS_PER_PAYLOAD = 5
 JOBS_PER_PAYLOAD = 8
@@ -65,8 +65,9 @@ def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
 
 def raw_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """As ``read_raw_records``, for JSON text already in a table."""
-    parsed = lines.select(*[c for c in lines.columns if c != column], F.from_json(column, RAW_RECORD).alias("_r"))
-    return usable_records(parsed.select("*", "_r.*").drop("_r"))
+    kept = [c for c in lines.columns if c != column]
+    # Inside the array every line is parsed once, whatever is later asked of its fields.
+    return usable_records(lines.select(*kept, F.inline(F.array(F.from_json(column, RAW_RECORD)))))
 
 
 def _items(payloads: DataFrame, schema: str, array: str, limit: int, column: str) -> DataFrame:
@@ -105,22 +106,28 @@ def news_results(payloads: DataFrame, column: str = "payload") -> DataFrame:
 def social_posts(payloads: DataFrame, collected_at: Column, column: str = "payload") -> DataFrame:
     """Heterogeneous post objects as canonical rows; texts under 20 characters are dropped."""
     kept = [c for c in payloads.columns if c != column]
-    parsed = payloads.select(*kept, P.as_map(F.col(column)).alias("_p"))
-    p = F.col("_p")
-    long_enough = parsed.withColumn("_text", P.post_text(p)).where(F.length("_text") >= P.MIN_POST_CHARS)
-    hashtags = F.coalesce(F.from_json(P.field(p, "hashtags"), "array<string>"), F.array().cast("array<string>"))
-    return (
-        long_enough.withColumn("_e", P.engagement_counts(p))
-        .select(
-            *kept,
-            F.lit("linkedin").alias("source"),
-            cap_content(F.col("_text")).alias("content"),
+
+    def row(p: Column) -> Column:
+        tags = F.coalesce(F.from_json(P.field(p, "hashtags"), "array<string>"), F.array().cast("array<string>"))
+        return F.struct(
+            P.post_text(p).alias("text"),
             P.post_url(p).alias("url"),
             P.post_time(p, collected_at).alias("collected_at"),
-            F.struct("_e.likes", "_e.comments", "_e.shares", P.post_author(p).alias("author"), hashtags.alias("hashtags")).alias(
-                "metadata"
-            ),
+            P.engagement_counts(p).alias("counts"),
+            P.post_author(p).alias("author"),
+            tags.alias("hashtags"),
         )
+
+    # Parsed and tested inside one expression: a filter on a parsed column would be moved
+    # below it and parse every payload again.
+    long_enough = F.filter(F.array(let(P.as_map(F.col(column)), row)), lambda r: F.length(r["text"]) >= P.MIN_POST_CHARS)
+    return payloads.select(*kept, F.inline(long_enough)).select(
+        *kept,
+        F.lit("linkedin").alias("source"),
+        cap_content(F.col("text")).alias("content"),
+        "url",
+        "collected_at",
+        F.struct("counts.likes", "counts.comments", "counts.shares", "author", "hashtags").alias("metadata"),
     )
 
 
