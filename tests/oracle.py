@@ -61,7 +61,10 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     columns = [d[0] for d in cur.description]
     want = cur.fetchall()
     t2 = time.time()
-    note = f"{len(got)} rows, spark {t1 - t0:.1f}s duckdb {t2 - t1:.1f}s"
+    types = {d[0]: str(d[1]) for d in cur.description}
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    odd = [f"{n}: {k} / {types.get(n)}" for n, k in df.dtypes if kinds.get(k, k) != types.get(n)]
+    note = (f"types differ {odd}; " if odd else "") + f"{len(got)} rows, spark {t1 - t0:.1f}s duckdb {t2 - t1:.1f}s"
     if sorted(df.columns) != sorted(columns):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}; {note}"
     a, b = _rows(df.columns, got), _rows(columns, want)

@@ -66,14 +66,21 @@ def pair_moments(documents: DataFrame) -> DataFrame:
 
 def _jaccard_sum() -> Column:
     """Sum of Jaccard values of all pairs with sizes a and b, from their moments ``m``."""
-    terms = []
-    for i in range(1, MAX_SET + 1):
-        pairs = " + ".join(
-            f"{(-1) ** (t - i) * comb(t, i)} * coalesce(try_element_at(m, {t}), cast(0 AS {_BIG}))"
-            for t in range(i, MAX_SET + 1)
-        )
-        terms.append(f"cast({pairs} AS double) * {i} / greatest(a + b - {i}, 1)")
-    return F.expr(" + ".join(terms))
+    rows = ", ".join(
+        f"named_struct('i', {i}, 'c', array("
+        + ", ".join(f"cast({(-1) ** (t - i) * comb(t, i) if t >= i else 0} AS bigint)" for t in range(1, MAX_SET + 1))
+        + "))"
+        for i in range(1, MAX_SET + 1)
+    )
+    # Per overlap i: the exact number of pairs, then its share of the union.
+    pairs = (
+        f"aggregate(zip_with(r.c, sequence(1, {MAX_SET}), (c, t) -> cast(c * coalesce(try_element_at(m, t), 0) AS {_BIG})),"
+        f" cast(0 AS {_BIG}), (acc, v) -> cast(acc + v AS {_BIG}))"
+    )
+    return F.expr(
+        f"aggregate(transform(array({rows}), r -> cast({pairs} AS double) * r.i / greatest(a + b - r.i, 1)),"
+        " cast(0 AS double), (acc, v) -> acc + v)"
+    )
 
 
 def consistency(documents: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicloom.functions import wordlists as w
 from topicloom.functions.lenient import expand_topic
 from topicloom.operators import cluster, terms, trends
 from topicloom.operators.history import latest_trends
@@ -184,7 +185,25 @@ def _flat(rows):
 # ---- collection ------------------------------------------------------------------
 
 
-@query("cq4_collect")
+_SUFFIX = "[" + ", ".join(f"' {s}'" for s in w.QUERY_SUFFIXES) + "]"
+block("answered_v", f"SELECT *, topic || {_SUFFIX}[post_id % 4 + 1] AS q FROM posts_v")
+block("found_v", """
+SELECT a.* FROM answered_v a LEFT JOIN (SELECT q, count(*) FILTER (source = 'serpapi' AND likes > 0) AS n, count(*) FILTER (source = 'newsapi') AS m
+  FROM answered_v GROUP BY 1) c USING (q) WHERE (source = 'serpapi' AND likes > 0) OR (source = 'newsapi' AND n < 10) OR (source = 'mock' AND n = 0 AND m = 0)""")
+block("social9_v", f"""
+SELECT * FROM (SELECT *, topic || {_SUFFIX}[2] AS q, row_number() OVER (PARTITION BY topic ORDER BY post_id) AS r FROM posts_v
+  WHERE source = 'linkedin' AND collected_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS) s WHERE r <= ceil(25 / 3.0)""")
+block("groups_v", """
+SELECT topic, q, content, url FROM (SELECT *, row_number() OVER (PARTITION BY q, sha256(content || url) ORDER BY wave, post_id) AS r FROM (
+  SELECT topic, q, post_id, content, url, 0 AS wave FROM found_v UNION ALL SELECT topic, q, post_id, content, url, 1 FROM social9_v) u) d WHERE r = 1""")
+CQ4_SQL = f"""
+SELECT t.topic, t.topic || s AS query, coalesce(n, 0) AS posts, coalesce(docs, 0) < 3 AS retry
+FROM (SELECT DISTINCT topic FROM posts_v) t, (SELECT unnest({_SUFFIX}) AS s) x
+LEFT JOIN (SELECT q, count(*) AS n FROM groups_v GROUP BY 1) g ON g.q = t.topic || s
+LEFT JOIN (SELECT topic, count(DISTINCT sha256({strip_sql('content')} || url)) AS docs FROM groups_v WHERE {strip_sql('content')} <> '' GROUP BY 1) d ON d.topic = t.topic"""
+
+
+@query("cq4_collect", CQ4_SQL)
 def cq4(t):
     """Every language as a topic; its posts answer the query of their number, or carry a tag."""
     posts = t.posts()
