@@ -21,7 +21,7 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 def recent_topics(runs: DataFrame, limit: int = RECENT_TOPICS, by_name: bool = False) -> DataFrame:
     """Newest run of ``limit`` topics, newest first. ``by_name`` takes the first topics by
-    name, as the original history page does, instead of the most recent ones."""
+    name instead of the most recent ones."""
     latest = latest_runs(runs).select("topic", "captured_at", "elapsed_secs", "sources_count")
     newest = [F.desc("captured_at"), F.asc("topic")]
     if by_name:

@@ -13,13 +13,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Ranks, positions and sizes are INT in Spark and BIGINT in the comparison SQL.
+WIDE = {
+    "ag19_score_history": ["back", "pos"],
+    "ag2_term_weights": ["tf"],
+    "cq2_market_intel": ["n_forecast"],
+    "fl3_minimum_length": ["chars"],
+    "jn6_supporting_document": ["trend_rank"],
+    "jn9_literal_counts": ["literal"],
+    "sc20_word_counts": ["words", "sentiment_tokens"],
+    "sm4_trend_alerts": ["pos"],
+    "snk4_nested_results": ["n"],
+    "snk5_report_rows": ["rank"],
+    "so3_keyword_sets": ["both", "either"],
+    "src2_web_results": ["pos"],
+    "src3_news_results": ["pos"],
+    "src6_job_feeds": ["pos"],
+    "src7_latest_history": ["trends"],
+    "tk1_top_keywords": ["rank"],
+    "tk3_cluster_keywords": ["rank"],
+    "tk4_ranked_trends": ["trend_rank"],
+    "tk5_top_keywords_of_trends": ["rank"],
+    "tk6_opportunity_order": ["place"],
+    "tk7_top_documents": ["rank"],
+    "wn10_scored_positions": ["pos"],
+    "wn2_previous_snapshot": ["previous_trends"],
+    "wn5_trailing_points": ["back"],
+    "wn8_last_runs": ["back"],
+    "wn9_context_lookback": ["pos"],
+}
+
+
 def query(name: str, sql: str | None = None, blocks: dict[str, str] | None = None):
     """Register ``f(tables) -> DataFrame`` under ``name``, compared with ``sql`` if given;
     ``blocks`` replaces SQL building blocks."""
 
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Tables(spark, sf_dir))
+            df = f(Tables(spark, sf_dir))
+            return df.withColumns({c: df[c].cast("bigint") for c in WIDE.get(name, [])})
 
         run.__name__ = f.__name__
         run.__doc__ = f.__doc__
