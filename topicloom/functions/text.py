@@ -113,5 +113,7 @@ def occurrences(haystack: Column, needle: Column) -> Column:
 
 def whole_word_count(text: Column, term: Column) -> Column:
     """Occurrences of ``term`` between word boundaries in already lower-cased text."""
-    pattern = F.concat(F.lit(rf"(?<!{WORD})\Q"), term, F.lit(rf"\E(?!{WORD})"))
+    # After a closing hyphen the boundary is the start of the next word.
+    end = F.when(F.endswith(term, F.lit("-")), rf"\E(?={WORD})").otherwise(rf"\E(?!{WORD})")
+    pattern = F.concat(F.lit(rf"(?<!{WORD})\Q"), term, end)
     return F.when(F.contains(text, term), F.regexp_count(text, pattern)).otherwise(F.lit(0))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from topicloom.functions import labels, scoring, text
 from topicloom.operators import engagement, sentiments, terms, trends
 from topicloom.operators.ranking import ordered_list
-from topicloom.operators.validation import validate_posts
 from topicloom.registry.base import query
-from topicloom.registry.sqltext import cluster_label, label_tokens, low_signal
+from topicloom.registry.sqltext import label_tokens
 from topicloom.session import stage
 from topicloom.sources.tables import Tables
 

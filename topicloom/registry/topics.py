@@ -8,7 +8,6 @@ from topicloom.functions import text, topics
 from topicloom.functions import wordlists as w
 from topicloom.operators import collect
 from topicloom.registry.base import query
-from topicloom.registry.posts import strip_sql
 from topicloom.registry.sqltext import quoted
 
 _KEY = r"lower(trim(regexp_replace(topic, '\s+', ' ', 'g')))"
