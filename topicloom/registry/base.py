@@ -21,6 +21,7 @@ WIDE = {
     "fl3_minimum_length": ["chars"],
     "jn6_supporting_document": ["trend_rank"],
     "jn9_literal_counts": ["literal"],
+    "ml4_trends_by_source": ["trend_rank"],
     "sc20_word_counts": ["words", "sentiment_tokens"],
     "sm4_trend_alerts": ["pos"],
     "snk4_nested_results": ["n"],
