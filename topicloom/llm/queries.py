@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm.common import table
+from topicloom.llm.decontamination import decontaminate
 from topicloom.llm.packing import best_fit_packing
 from topicloom.llm.token_files import token_files
+from topicloom.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,64 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+    SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+    CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN f.first IS NULL OR f.first = p.page_id THEN NULL ELSE f.first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest
+"""
+
+
+@query("op1_warc_dictionary", WARC_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read_back = archived(table(spark, sf_dir, "pages"), least=100)
+    return read_back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+DECONTAMINATION_SQL = """
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM documents) t
+), b AS (
+    SELECT item_id, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+    FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM benchmark) t
+), s AS (
+    SELECT item_id, ws, least(13, len(ws)) AS n FROM b WHERE len(ws) > 0
+), i AS (
+    SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, pos, pos + n - 1), ' ') AS grams
+    FROM (SELECT item_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos FROM s) t
+), d AS (
+    SELECT doc_id, pos, n, array_to_string(list_slice(ws, pos, pos + n - 1), ' ') AS grams
+    FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos
+        FROM w CROSS JOIN (SELECT DISTINCT n FROM s) k WHERE len(ws) >= n) t
+), m AS (
+    SELECT d.doc_id, d.pos, d.n, i.item_id FROM d JOIN i ON i.n = d.n AND i.grams = d.grams
+), h AS (
+    SELECT doc_id, count(DISTINCT pos) AS n_hit
+    FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS pos FROM m) t GROUP BY doc_id
+), c AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) t GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
+"""
+
+
+@query("op5_winnowing", DECONTAMINATION_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
