@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from topicloom.llm.common import table
 from topicloom.llm.decontamination import decontaminate
 from topicloom.llm.packing import best_fit_packing
+from topicloom.llm.simhash import near_duplicates
 from topicloom.llm.token_files import token_files
 from topicloom.llm.warc import archived
 
@@ -45,6 +46,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op3_simhash_bk_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=4)
+
+
 DECONTAMINATION_SQL = """
 WITH w AS (
     SELECT doc_id, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
