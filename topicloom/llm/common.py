@@ -60,3 +60,31 @@ def segments(text: str | None, most: int = 1 << 20) -> Iterator[bytes]:
 def spans_of(lengths: np.ndarray) -> np.ndarray:
     """Starts of runs with these lengths, and the end of the last."""
     return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int) -> DataFrame:
+    """(doc_id, label, text) of at most ``most`` labelled documents that satisfy ``keep``, a condition on doc_id.
+
+    Those with the smallest hashes of their id are taken. Only ids are sorted; they are then broadcast, being at most
+    ``most``. Repeated ids count once, with the smallest label and the smallest text.
+    """
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    marked = labels.select(doc_id, F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null")
+    ids = marked.filter(keep).groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = stage(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+    texts = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def in_one_task(sample: DataFrame, fit, schema: str) -> bytes:
+    """What ``fit(doc_ids, labels, texts)`` makes of a bounded sample, in one task, which is repeated if it is lost.
+    Rows come in the order of doc_id."""
+    import pyarrow as pa
+
+    def run(batches):
+        rows = sorted((i, y, t) for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_pydict({schema: pa.array([fit(*columns)], pa.binary())})
+
+    # an empty sample still needs its task, hence the single partition
+    return sample.select("doc_id", "label", "text").repartition(1).mapInArrow(run, f"{schema} binary").first()[0]
