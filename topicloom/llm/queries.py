@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from topicloom.llm.common import table
 from topicloom.llm.decontamination import decontaminate
 from topicloom.llm.packing import best_fit_packing
+from topicloom.llm.quality import classify
 from topicloom.llm.simhash import near_duplicates
 from topicloom.llm.token_files import token_files
+from topicloom.llm.toxicity import scores
 from topicloom.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,11 +48,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_subword_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 @query("op3_simhash_bk_trees")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
+@query("op4_toxicity_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 DECONTAMINATION_SQL = """
 WITH w AS (
     SELECT doc_id, regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
