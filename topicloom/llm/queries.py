@@ -10,6 +10,7 @@ from topicloom.llm.common import table
 from topicloom.llm.decontamination import decontaminate
 from topicloom.llm.packing import best_fit_packing
 from topicloom.llm.quality import classify
+from topicloom.llm.secrets import secret_spans
 from topicloom.llm.simhash import near_duplicates
 from topicloom.llm.token_files import token_files
 from topicloom.llm.toxicity import scores
@@ -103,6 +104,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_multipart_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
