@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm.common import table
 from topicloom.llm.decontamination import decontaminate
+from topicloom.llm.neighbours import nearest
 from topicloom.llm.packing import best_fit_packing
 from topicloom.llm.quality import classify
 from topicloom.llm.secrets import secret_spans
@@ -109,6 +110,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+NEIGHBOURS_SQL = """
+WITH v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+    SELECT q.vec_id AS query_id, c.vec_id, 
+        sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op7_block_matrix_neighbours", NEIGHBOURS_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=10, modulus=100)
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
