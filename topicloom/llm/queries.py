@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from topicloom.llm.common import table
 from topicloom.llm.decontamination import decontaminate
+from topicloom.llm.licences import licences
 from topicloom.llm.neighbours import nearest
 from topicloom.llm.packing import best_fit_packing
 from topicloom.llm.quality import classify
@@ -132,6 +133,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), k=10, modulus=100)
 
 
+@query("op8_licence_paragraphs")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), capacity=4096, end_id=1)
