@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,16 +40,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, path: str
     """Per piece of a document: doc_id, piece, start, length, ids_crc32."""
     path = path or default_path()
 
-    @F.pandas_udf("array<struct<length:long,crc:long>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one, end = encoder(path), np.array([end_id], ID).tobytes()
+    @F.arrow_udf("array<struct<length:long,crc:long>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one, end = encoder(path), ID.type(end_id)
+        kind = pa.list_(pa.struct([("length", pa.int64()), ("crc", pa.int64())]))
         for texts in batches:
             rows = []
-            for text in texts:
-                data = one(text) + end
-                parts = (data[i : i + 4 * capacity] for i in range(0, len(data), 4 * capacity))
-                rows.append([{"length": len(x) // 4, "crc": zlib.crc32(x)} for x in parts])
-            yield pd.Series(rows, dtype=object)
+            for ids in one.documents(texts):
+                parts = np.split(ids_end := np.append(ids, end), range(capacity, len(ids_end), capacity))
+                rows.append([{"length": len(x), "crc": zlib.crc32(x)} for x in parts])
+            yield pa.array(rows, kind)
 
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     cuts = docs.select(doc_id, cut(F.col("text").cast("string")).alias("cuts"))

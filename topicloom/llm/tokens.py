@@ -1,29 +1,42 @@
 """Token ids of whole texts by the tokenizers library.
 
-White space separates tokens in the vocabularies used here and is dropped, so a text is cut at spaces
-and line feeds, each distinct piece is encoded once by the library, and the ids are put together. The
-pieces not met before are encoded together, with a special token between them whose id marks the cuts.
-A piece that is long, or holds a special token's text, is encoded alone. The result is what
-``encode(text, add_special_tokens=False)`` gives.
+White space separates tokens in the vocabulary used here and is dropped. So a batch of texts is cut at spaces and line
+feeds, each distinct piece gets its ids once, and the texts' ids are gathered from those of their pieces, all as
+arrays. A piece of letters and then punctuation is two words to the tokenizer: each goes to the library's model as
+it is, without normalization and splitting around it. All other pieces go through the whole tokenizer. Ids of words
+are remembered by the worker. Files set up otherwise than ``CUTS_AT_SPACE`` says are used for whole texts. The result
+is always that of ``encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Ids are kept as little-endian unsigned 32-bit integers.
 ID = np.dtype("<u4")
-#: Pieces remembered by a worker; beyond that it forgets all and starts anew. Bounds memory, not results.
-MEMO = 400_000
+#: Words remembered by a worker; beyond that it forgets all of them. Bounds memory, not results.
+WORDS = 500_000
 #: Longer pieces are not remembered.
 LONG = 64
-#: Pieces that are encoded together.
-TOGETHER = 1000
+#: Bytes of text that are worked on at once; a longer text is worked on alone.
+BATCH_BYTES = 6 << 20
+#: Letters whose lower case and byte form are plain, and ASCII punctuation.
+LETTERS = string.ascii_letters + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+SIMPLE = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]*[!-/:-@\[-`{-~]*$"
+#: The set-up under which pieces are independent of each other (fixed values of the public vocabulary file).
+CUTS_AT_SPACE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 
 _encoders: dict[str, Encoder] = {}
 
@@ -34,60 +47,128 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _cuts_at_space(setup: dict) -> bool:
+    steps = {k: (setup.get(k) or {}) for k in ("normalizer", "pre_tokenizer")}
+    split = (steps["pre_tokenizer"].get("pretokenizers") or [{}])[0]
+    return (
+        [x["type"] for x in steps["normalizer"].get("normalizers", [])] == CUTS_AT_SPACE["normalizer"]
+        and [x["type"] for x in steps["pre_tokenizer"].get("pretokenizers", [])] == CUTS_AT_SPACE["pre_tokenizer"]
+        and split.get("pattern") == {"Regex": CUTS_AT_SPACE["pattern"]}
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and not setup.get("post_processor")
+    )
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` numbered ``which``, one after the other."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[which] - (ends - n), n)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+class _Runs:
+    """Ids of numbered words, one after the other."""
+
+    def __init__(self, found: list[bytes]):
+        self.lengths = np.array([len(x) for x in found], np.int64) // ID.itemsize
+        self.flat = np.frombuffer(b"".join(found), ID)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+
 class Encoder:
-    """Encodes texts with one tokenizer file; remembers the ids of short pieces."""
+    """Ids of texts with one tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark, self.mark_id = next(((s, i) for s, i in special.items() if s.isascii() and s.isprintable()), ("", -1))
-        self.special = tuple(special)
-        self.memo: dict[str, bytes] = {"": b""}
-        # cutting is exact only where white space is dropped and the mark stands for itself
-        probe = f"aa {self.mark} bb\ncc"
-        self.cuts = bool(self.mark) and self._whole(probe) == b"".join(map(self._whole, ("aa", self.mark, "bb", "cc")))
-        self.cuts = self.cuts and self._whole(" \n a  b") == self._whole("a") + self._whole("b")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = []
-        for p in pieces:
-            if any(s in p for s in self.special):
-                self.memo[p] = self._whole(p)
-            else:
-                plain.append(p)
-        batches = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for batch in batches:
-            ids = np.array(self.tokenizer.encode(self.mark.join(batch), add_special_tokens=False).ids, ID)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            data, at = ids.tobytes(), 0
-            for p, cut in zip(batch, [*(cuts * 4).tolist(), len(data)], strict=True):
-                self.memo[p] = data[at:cut]
-                at = cut + 4
-
-    def __call__(self, text: str | None) -> bytes:
-        """Ids of a text as bytes; none for a null or empty text."""
-        if not text:
-            return b""
-        if not self.cuts:
-            return self._whole(text)
-        pieces = text.replace("\n", " ").split(" ")
-        memo = self.memo
-        new = [p for p in set(pieces) if p not in memo]
+        self.cuts = _cuts_at_space(json.loads(self.tokenizer.to_str()))
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.model = self.tokenizer.model
+
+    def _ids_of_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(ids, numbers of ids) of words of lower-case letters, or of punctuation."""
+        ids: list[int] = []
+        ends = []
+        for word in words:
+            if word:
+                plain = word if word.isascii() else self.as_bytes(word)[0][0]
+                ids += [t.id for t in self.model.tokenize(plain)]
+            ends.append(len(ids))
+        return ids, ends
+
+    def _ids_of_pieces(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        ids: list[int] = []
+        ends = []
+        for piece in pieces:
+            ids += self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ends.append(len(ids))
+        return ids, ends
+
+    def _known(self, memo: dict[str, bytes], words: list[str], learn: Callable) -> _Runs:
+        """Ids of ``words``; those met for the first time are learned together."""
+        if len(memo) > WORDS:
+            memo.clear()
+        found = list(map(memo.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                memo[""] = b""
-                new = list(set(pieces) - {""})
-            long = {p: self._whole(p) for p in new if len(p) > LONG}
-            self._learn([p for p in new if len(p) <= LONG] if long else new)
-            if long:
-                return b"".join(long[p] if len(p) > LONG else memo[p] for p in pieces)
-        return b"".join(map(memo.__getitem__, pieces))
+            ids, ends = learn([words[i] for i in new])
+            data, at = np.array(ids, ID).tobytes(), 0
+            for i, end in zip(new, ends, strict=True):
+                found[i] = one = data[at : 4 * end]
+                at = 4 * end
+                if len(words[i]) <= LONG:
+                    memo[words[i]] = one
+        return _Runs(found)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). A null text has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.cuts:
+            runs = self._known({}, texts.to_pylist(), self._ids_of_pieces)
+            return runs.flat, runs.lengths
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary
+        # per distinct piece: its stem's and its punctuation's ids, or those of the whole piece
+        simple = pc.match_substring_regex(distinct, SIMPLE)
+        plain = distinct.filter(simple)
+        stems = pc.utf8_lower(pc.utf8_rtrim(plain, string.punctuation)).dictionary_encode()
+        marks = pc.utf8_ltrim(plain, LETTERS).dictionary_encode()
+        stem_ids = self._known(self.words, stems.dictionary.to_pylist(), self._ids_of_words)
+        mark_ids = self._known(self.others, marks.dictionary.to_pylist(), self._ids_of_words)
+        other_ids = self._known(self.others, distinct.filter(pc.invert(simple)).to_pylist(), self._ids_of_pieces)
+        flat = np.concatenate([stem_ids.flat, mark_ids.flat, other_ids.flat])
+        is_plain = simple.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(distinct), 2, 2), np.int64)  # (first, second part) x (start, length)
+        for place, (runs, numbers, shift) in enumerate(
+            ((stem_ids, stems.indices.to_numpy(), 0), (mark_ids, marks.indices.to_numpy(), len(stem_ids.flat)))
+        ):
+            parts[is_plain, place, 0] = runs.starts[numbers] + shift
+            parts[is_plain, place, 1] = runs.lengths[numbers]
+        parts[~is_plain, 0, 0] = other_ids.starts + len(stem_ids.flat) + len(mark_ids.flat)
+        parts[~is_plain, 0, 1] = other_ids.lengths
+        by_piece = _gather(flat, parts[:, :, 0].ravel(), parts[:, :, 1].ravel(), np.arange(2 * len(distinct)))
+        sizes = parts[:, :, 1].sum(1)
+        ids = _gather(by_piece, np.cumsum(sizes) - sizes, sizes, which)
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(ends)
+
+    def documents(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, working on ``BATCH_BYTES`` of text at once."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        first = 0
+        while first < len(texts):
+            done = sizes[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
+            ids, lengths = self.encode(texts.slice(first, last - first))
+            yield from np.split(ids, np.cumsum(lengths)[:-1])
+            first = last
 
 
 def encoder(path: str) -> Encoder:
@@ -100,10 +181,10 @@ def encoder(path: str) -> Encoder:
 def token_ids(text: Column, path: str) -> Column:
     """Column of the ids of a text, as bytes. ``path`` must name the same file on every machine."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = encoder(path)
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=object)
+            yield pa.array([ids.tobytes() for ids in one.documents(texts)], pa.binary())
 
     return encode(text)
