@@ -91,6 +91,10 @@ def _of_role(spans: Column, role: str) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(numbers))
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def _near(parts: Column, s: Column) -> Column:
     return F.filter(parts, lambda p: (p["start"] <= s["end"] + SCOPE) & (p["end"] >= s["start"] - SCOPE))
 
@@ -134,7 +138,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     rows = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "found")
     strong = F.col("found_strong")
-    counts = [F.size(F.filter(strong, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(STRONG)]
+    counts = [_count(strong, k).alias(f"n_{k}") for k in STRONG]
     everything = F.array_sort(F.concat("found_strong", "found_weak"))
     return rows.select(
         "doc_id", *counts, F.sha2(written(strong).cast("binary"), 256).alias("base_sha256"), written(everything).alias("spans")
