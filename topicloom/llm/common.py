@@ -86,5 +86,5 @@ def in_one_task(sample: DataFrame, fit, schema: str) -> bytes:
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_pydict({schema: pa.array([fit(*columns)], pa.binary())})
 
-    # an empty sample still needs its task, hence the single partition
-    return sample.select("doc_id", "label", "text").repartition(1).mapInArrow(run, f"{schema} binary").first()[0]
+    made = sample.select("doc_id", "label", "text").repartition(1).mapInArrow(run, f"{schema} binary").first()
+    return made[0] if made else fit((), (), ())  # an empty sample has no task

@@ -82,7 +82,7 @@ STATEMENTS = {
 FAMILIES = [*STATEMENTS, UNKNOWN]
 #: Documents, and lines of each, that give examples of the unknown class.
 SAMPLE, LINES = 500, 8
-VARIATIONS, ASIDE, EPOCHS, BATCH, RATE, DECAY, SEED = 40, 10, 12, 64, 4.0, 1e-5, 23
+VARIATIONS, ASIDE, EPOCHS, BATCH, RATE, DECAY, SEED = 40, 10, 30, 64, 8.0, 1e-5, 23
 NGRAM, SHINGLE, SAME, SURE = 3, 5, 0.8, 0.5
 FOUND = "struct<licence:string,probability:double,confirmed:boolean,n_paragraphs:long>"
 
@@ -124,7 +124,7 @@ class Model:
         for f, s in everything:
             for i in range(VARIATIONS):
                 rows.append((varied(s) if i else s, FAMILIES.index(f), i >= VARIATIONS - ASIDE))
-                if len(s) > 4:
+                if len(s) > 4 and i % 4 == 1:
                     rows.append(([s[j] for j in random.permutation(len(s))], len(FAMILIES) - 1, i >= VARIATIONS - ASIDE))
         rows += [(x, len(FAMILIES) - 1, i % 4 == 0) for i, x in enumerate(plain)]
         self._train(rows, random)
