@@ -14,7 +14,7 @@ wrote them; the manifest (a table in the same folder) lists those of finished at
 Defined results: a null or empty text has the end id only. A null doc_id comes first. Rows that repeat a
 doc_id are all kept, in the order of their texts' hashes. An empty table gives a data set without files.
 Further columns are ignored. The dictionary is trained on the ids of at most ``SAMPLE_DOCS`` documents (those
-with the smallest hashes of their text), at most ``SAMPLE_IDS`` ids of each; it changes sizes, not content. With
+with the smallest hashes of their ids; repeated ids at most double it), at most ``SAMPLE_IDS`` ids of each; it changes sizes, not content. With
 too few of them for training, it is empty.
 """
 
@@ -67,14 +67,15 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> byt
     """A dictionary from the serialized ids of a bounded sample of documents; empty if they are too few."""
     import zstandard
 
-    sample = (
-        docs.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"))
-        .filter("length(text) > 0")
-        .orderBy(F.xxhash64("text"))
-        .limit(SAMPLE_DOCS)
-        .select(token_ids(F.col("text"), path).alias("ids"))
-    )
-    ids = (np.frombuffer(r.ids, ID)[:SAMPLE_IDS] for r in sample.toLocalIterator())
+    order = F.xxhash64("doc_id")
+    first = docs.filter("doc_id is not null").select(order.alias("order")).orderBy("order").limit(SAMPLE_DOCS).collect()
+    if not first:
+        return b""
+    # only ids are sorted; the texts are picked by their ids' hashes, and repeated ids are bounded as well
+    chosen = docs.filter("doc_id is not null").filter(order <= first[-1].order).filter("length(text) > 0")
+    head = F.substring("text", 1, 8 * SAMPLE_IDS)
+    sample = chosen.select(head.alias("text")).limit(2 * SAMPLE_DOCS).select(token_ids(F.col("text"), path).alias("ids"))
+    ids = (np.frombuffer(r.ids, ID)[:SAMPLE_IDS] for r in sample.collect())
     samples = [_packed(np.append(x, ID.type(end_id)), width) for x in ids]
     if len(samples) < 16 or sum(map(len, samples)) < 8192:
         return b""
@@ -107,8 +108,8 @@ def write(docs: DataFrame, folder: str, end_id: int, path: str | None = None) ->
         try:
             for batch in batches:
                 frames = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = np.append(np.frombuffer(one(text.as_py()), ID), ID.type(end_id))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), one.documents(batch.column(1)), strict=True):
+                    ids = np.append(ids, ID.type(end_id))
                     frame = compressor.compress(_packed(ids, width))
                     index.append((doc_id or 0, doc_id is None, at, before, len(ids)))
                     frames.append(frame)
