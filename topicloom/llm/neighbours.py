@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def usable(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.nd
     """(ids, vectors) of the rows that take part, by dimension."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    sizes = np.array([len(v) if v is not None else 0 for v in vectors]) if vectors.null_count else np.diff(vectors.offsets.to_numpy())
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
     start = vectors.offsets.to_numpy()[:-1].astype(np.int64)
     flat = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
     known = ~np.asarray(ids.is_null()) & ~np.asarray(vectors.is_null())

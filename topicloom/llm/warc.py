@@ -133,8 +133,8 @@ class Archive:
         if len(samples) >= 16:
             try:
                 held = zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples)
-            except zstandard.ZstdError:  # records too few or too alike to train on
-                held = None
+            except zstandard.ZstdError:  # too alike to train on: then some of them are the dictionary
+                held = zstandard.ZstdCompressionDict(b"".join(samples[:: -(-len(samples) // 16)])[:DICTIONARY_BYTES])
         if held is not None:
             content = zstandard.ZstdCompressor(level=LEVEL).compress(held.as_bytes())
             self.out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
