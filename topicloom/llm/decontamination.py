@@ -197,7 +197,7 @@ def write_index(benchmark: DataFrame, folder: str, width: int = WIDTH) -> list[s
         np.savez(held, **build_index(ids, texts, width))
         store, root = filesystem(folder)
         name = own_name(int(rows["block"].iloc[0]), ".npz")
-        with store.open_output_stream(f"{root}/{name}") as out:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             out.write(held.getvalue())
         return pd.DataFrame({"file": [name]})
 

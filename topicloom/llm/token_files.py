@@ -97,7 +97,7 @@ def write(docs: DataFrame, folder: str, end_id: int, path: str | None = None) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = train_dictionary(docs, path, end_id, width)
     store, root = created(folder)
-    with store.open_output_stream(f"{root}/dictionary") as out:
+    with store.open_output_stream(f"{root}/dictionary", compression=None) as out:
         out.write(dictionary)
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def write(docs: DataFrame, folder: str, end_id: int, path: str | None = None) ->
                     at += len(frame)
                     before += len(ids)
                 if frames and out is None:
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(MAGIC + hashlib.sha256(dictionary).digest())
                 if frames:
                     out.write(b"".join(frames))

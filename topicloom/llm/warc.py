@@ -160,7 +160,7 @@ def write(resolved: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             ids, refers = batch.column(0).to_pylist(), batch.column(4).to_pylist()
             for i in range(batch.num_rows):
-                archive = archive or Archive(store.open_output_stream(f"{root}/{name}"))
+                archive = archive or Archive(store.open_output_stream(f"{root}/{name}", compression=None))
                 url, payload, digest = (batch.column(k)[i].as_py() for k in (1, 2, 3))
                 archive.add(record(ids[i], url, payload, digest, refers[i]))
                 n += 1
@@ -212,7 +212,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, with_payload: bo
         for batch in batches:
             for file in batch.column(0).to_pylist():
                 rows, size = [], 0
-                with store.open_input_stream(f"{root}/{file}") as source:
+                with store.open_input_stream(f"{root}/{file}", compression=None) as source:
                     for data in records(source):
                         rows.append(parse(data))
                         size += 256 + len(data) * with_payload
