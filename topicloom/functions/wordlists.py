@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import SparkSession
-
 # ---- fixed values -----------------------------------------------------------
 
-# Words added to, and taken from, MLlib's English list. Words of one or two
-# letters are left out: no term is that short.
-EXTRA_STOP_WORDS = """
-across afterwards almost alone along already also although always among amongst amoungst amount another
-anyhow anyone anything anyway anywhere around back became become becomes becoming beforehand behind beside
-besides beyond bill bottom call cant con couldnt cry describe detail done due eight either eleven else
-elsewhere empty enough etc even ever every everyone everything everywhere except fifteen fifty fill find
-fire first five former formerly forty found four front full get give hasnt hence hereafter hereby herein
-hereupon however hundred inc indeed interest keep last latter latterly least less ltd made many may
-meanwhile might mill mine moreover mostly move much must name namely neither never nevertheless next nine
-nobody none noone nothing nowhere often one onto others otherwise part per perhaps please put rather see
-seem seemed seeming seems serious several show side since sincere six sixty somehow someone something
-sometime sometimes somewhere still system take ten thence thereafter thereby therefore therein thereupon
-thick thin third though three throughout thru thus together top toward towards twelve twenty two upon via
-well whatever whence whenever whereafter whereas whereby wherein whereupon wherever whether whither whoever
-whole whose within without yet
+# English stop words of three letters or more; shorter ones are left out, since no term is that short.
+STOP_WORDS = """
+about above across after afterwards again against all almost alone along already also although always among
+amongst amoungst amount and another any anyhow anyone anything anyway anywhere are around back became
+because become becomes becoming been before beforehand behind being below beside besides between beyond bill
+both bottom but call can cannot cant con could couldnt cry describe detail done down due during each eight
+either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few
+fifteen fifty fill find fire first five for former formerly forty found four from front full further get
+give had has hasnt have hence her here hereafter hereby herein hereupon hers herself him himself his how
+however hundred inc indeed interest into its itself keep last latter latterly least less ltd made many may
+meanwhile might mill mine more moreover most mostly move much must myself name namely neither never
+nevertheless next nine nobody none noone nor not nothing now nowhere off often once one only onto other
+others otherwise our ours ourselves out over own part per perhaps please put rather same see seem seemed
+seeming seems serious several she should show side since sincere six sixty some somehow someone something
+sometime sometimes somewhere still such system take ten than that the their them themselves then thence
+there thereafter thereby therefore therein thereupon these they thick thin third this those though three
+through throughout thru thus together too top toward towards twelve twenty two under until upon very via was
+well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever
+whether which while whither who whoever whole whom whose why will with within without would yet you your
+yours yourself yourselves
 """.split()
-NOT_STOP_WORDS = ["did", "does", "doing", "don", "having", "just", "ought", "theirs"]
 
 LOW_SIGNAL_TERMS = [
     "new", "using", "time", "latest", "based", "used", "use", "like",
@@ -118,11 +116,6 @@ def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
-@lru_cache(maxsize=1)
 def stop_words() -> tuple[str, ...]:
-    """MLlib's English list with the differences above applied; the default of every
-    ``stop_words`` parameter."""
-    SparkSession.builder.getOrCreate()
-    spark_list = StopWordsRemover.loadDefaultStopWords("english")
-    kept = {w for w in spark_list if len(w) > 2 and "'" not in w} - set(NOT_STOP_WORDS)
-    return tuple(sorted(kept | set(EXTRA_STOP_WORDS)))
+    """The default of every ``stop_words`` parameter."""
+    return tuple(STOP_WORDS)

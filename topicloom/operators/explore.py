@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.operators.ranking import in_order
+
 SENTIMENTS = ("positive", "negative", "neutral")
 DATE_RANGES = {"7d": 7, "30d": 30, "90d": 90}
 
@@ -33,12 +35,21 @@ def by_likes(results: DataFrame, at_least: int) -> DataFrame:
     return results.where((F.col("source") != "linkedin") | (F.coalesce("likes", F.lit(0)) >= at_least))
 
 
-def sort_results(results: DataFrame, order: str, arrival: str) -> DataFrame:
+def sort_keys(order: str, arrival: str) -> list[Column]:
     if order == "date":
-        return results.orderBy(F.desc_nulls_last("collected_at"), F.asc(arrival))
+        return [F.desc_nulls_last("collected_at"), F.asc(arrival)]
     if order == "sentiment":
-        return results.orderBy(F.desc(F.coalesce("sentiment.score", F.lit(0.0))), F.asc(arrival))
-    return results.orderBy(arrival)
+        return [F.desc(F.coalesce("sentiment.score", F.lit(0.0))), F.asc(arrival)]
+    return [F.asc(arrival)]
+
+
+def sort_results(results: DataFrame, order: str, arrival: str) -> DataFrame:
+    return results.orderBy(*sort_keys(order, arrival))
+
+
+def ranked_results(results: DataFrame, order: str, arrival: str) -> DataFrame:
+    """Results with their ``position`` in the order."""
+    return in_order(results, sort_keys(order, arrival))
 
 
 def explore(results: DataFrame, as_of: Column, arrival: str, show: str = "all", date_range: str = "all",

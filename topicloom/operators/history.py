@@ -34,6 +34,10 @@ def runs_of_topic(runs: DataFrame, topic: str, limit: int = RECENT_RUNS) -> Data
     return runs.where(F.col("topic") == topic).orderBy(F.desc("captured_at"), F.asc("id")).limit(limit)
 
 
+def usage_order() -> list[Column]:
+    return [F.desc("total_calls"), F.asc("source")]
+
+
 def usage_summary(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Calls, mean response time, records and errors per source over the last ``days``."""
     window = log.where(F.col("logged_at") >= as_of - F.expr(f"INTERVAL {days} DAYS"))
@@ -45,7 +49,7 @@ def usage_summary(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
             F.sum("record_count").alias("total_records"),
             F.count_if(F.col("status_code") >= 400).alias("error_count"),
         )
-        .orderBy(F.desc("total_calls"), F.asc("source"))
+        .orderBy(*usage_order())
     )
 
 

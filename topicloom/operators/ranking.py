@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.session import stage
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group under ``order``, with their 1-based rank."""
@@ -24,3 +26,18 @@ def ordered_list(order: Column, value: Column) -> Column:
     """Aggregate: ``value``s of a group of bounded size, as an array sorted by ``order``."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
     return F.transform(pairs, lambda p: p["v"])
+
+
+def in_order(df: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
+    """``df`` with each row's 1-based place under ``order``, without a window over all rows.
+
+    Rows are sorted by ranges over the cluster and staged with their partition and their place in
+    it; the places before a partition come from one count per partition.
+    """
+    low = (1 << 33) - 1  # the generated id holds the partition above its low 33 bits
+    sorted_rows = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = stage(sorted_rows, "in-order").withColumn("_part", F.shiftright("_id", 33))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit(low)) + 1
+    return placed.join(parts, "_part").withColumn(position, place).drop("_part", "_id", "_before")

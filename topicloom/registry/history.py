@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text
 from topicloom.operators import evolution, explore, history, reports
+from topicloom.operators.ranking import in_order
 from topicloom.registry.base import query
 from topicloom.registry.posts import as_of, stamp
 from topicloom.session import new_folder
@@ -166,9 +167,13 @@ def ag10(t):
     return history.usage_summary(t.api_usage(), as_of())
 
 
-@query("tk10_usage_order", f"SELECT source, total_calls FROM ({USAGE_SQL}) u ORDER BY total_calls DESC, source")
+@query(
+    "tk10_usage_order",
+    f"SELECT source, total_calls, row_number() OVER (ORDER BY total_calls DESC, source) AS position FROM ({USAGE_SQL}) u",
+)
 def tk10(t):
-    return history.usage_summary(t.api_usage(), as_of()).select("source", "total_calls")
+    usage = history.usage_summary(t.api_usage(), as_of()).select("source", "total_calls")
+    return in_order(usage, history.usage_order())
 
 
 @query(

@@ -270,19 +270,30 @@ def candidates(t, engagement: bool = False):
 
 
 block("cand64_v", "SELECT post_id, topic, source, content, url, 'g' || (post_id // 64) AS query FROM posts_v")
-block("primary_n_v", "SELECT query, count(*) FILTER (source = 'serpapi' AND topic = 'en') AS n, count(*) FILTER (source = 'newsapi') AS m FROM cand64_v GROUP BY 1")
+# Every row is in a tier. A run of three queries has twelve primary rows (enough), four (too few), and none.
+block("tier_v", """
+SELECT post_id, source, 'g' || CASE source WHEN 'serpapi' THEN post_id // 64 * 3 + CASE WHEN post_id % 16 = 0 THEN 1 ELSE 0 END
+  WHEN 'newsapi' THEN post_id // 32 ELSE post_id // 10 END AS query FROM posts_v""")
+block("primary_n_v", "SELECT query, count(*) FILTER (source = 'serpapi') AS n, count(*) FILTER (source = 'newsapi') AS m FROM tier_v GROUP BY 1")
 block("fallback_v", """
-SELECT c.* FROM cand64_v c JOIN primary_n_v USING (query) WHERE (source = 'serpapi' AND topic = 'en')
-  OR (source = 'newsapi' AND n < 10) OR (source = 'mock' AND n = 0 AND m = 0)""")
+SELECT c.* FROM tier_v c JOIN primary_n_v USING (query) WHERE source = 'serpapi'
+  OR (source = 'newsapi' AND n < 10) OR (source IN ('mock', 'linkedin') AND n = 0 AND m = 0)""")
 
 
 def _with_fallbacks(t):
-    rows = candidates(t).select("post_id", "query", "topic", "source")
+    i = F.col("post_id")
+    few = F.when(i % 16 == 0, 1).otherwise(0)
+    group = (
+        F.when(F.col("source") == "serpapi", F.floor(i / 64) * 3 + few)
+        .when(F.col("source") == "newsapi", F.floor(i / 32))
+        .otherwise(F.floor(i / 10))
+    )
+    rows = t.posts(urls=False, engagement=False).select(i, "source", F.concat(F.lit("g"), group.cast("string")).alias("query"))
     return collect.with_fallbacks(
         rows.select("query").distinct(),
-        rows.where("source = 'serpapi' AND topic = 'en'"),
+        rows.where("source = 'serpapi'"),
         rows.where("source = 'newsapi'"),
-        rows.where("source = 'mock'"),
+        rows.where("source IN ('mock', 'linkedin')"),
     )
 
 
@@ -291,15 +302,19 @@ def jn12(t):
     return _with_fallbacks(t).select("post_id", "query", "source")
 
 
+block("cand3_v", "SELECT post_id, source, 'g' || (post_id // 3) AS query FROM posts_v")
+
+
 @query(
     "jn13_first_provider",
     """SELECT post_id, query, provider_rank FROM (SELECT post_id, query, CASE source WHEN 'serpapi' THEN 0 WHEN 'newsapi' THEN 1 ELSE 2 END AS provider_rank,
         min(CASE source WHEN 'serpapi' THEN 0 WHEN 'newsapi' THEN 1 ELSE 2 END) OVER (PARTITION BY query) AS best
-      FROM cand64_v WHERE topic = 'fr') q WHERE provider_rank = best""",
+      FROM cand3_v) q WHERE provider_rank = best""",
 )
 def jn13(t):
     rank = F.when(F.col("source") == "serpapi", 0).when(F.col("source") == "newsapi", 1).otherwise(2)
-    rows = candidates(t).where("topic = 'fr'").select("post_id", "query", rank.alias("provider_rank"))
+    query = F.concat(F.lit("g"), F.floor(F.col("post_id") / 3).cast("string"))
+    rows = t.posts(urls=False, engagement=False).select("post_id", query.alias("query"), rank.alias("provider_rank"))
     return collect.first_provider(rows).select("post_id", "query", "provider_rank")
 
 

@@ -194,15 +194,16 @@ def fl8(t):
 
 @query(
     "tk9_explore_sort",
-    """SELECT 'relevance' AS sort, post_id FROM posts_v UNION ALL SELECT 'date', post_id FROM posts_v
-    UNION ALL SELECT 'sentiment', post_id FROM posts_v""",
+    """SELECT 'relevance' AS sort, post_id, row_number() OVER (ORDER BY post_id) AS position FROM posts_v
+    UNION ALL SELECT 'date', post_id, row_number() OVER (ORDER BY collected_at DESC NULLS LAST, post_id) FROM posts_v
+    UNION ALL SELECT 'sentiment', post_id, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, post_id) FROM posts_v LEFT JOIN sentiment_v USING (post_id)""",
 )
 def tk9(t):
-    """All rows in each of the three orders (row order is covered by the unit tests)."""
+    """The place of every row in each of the three orders."""
     scored = with_sentiment(t.posts(urls=False)).select("post_id", "collected_at", "sentiment")
     union = None
     for order in ("relevance", "date", "sentiment"):
-        rows = explore.sort_results(scored, order, "post_id").select(F.lit(order).alias("sort"), "post_id")
+        rows = explore.ranked_results(scored, order, "post_id").select(F.lit(order).alias("sort"), "post_id", "position")
         union = rows if union is None else union.unionByName(rows)
     return union
 

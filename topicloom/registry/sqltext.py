@@ -80,7 +80,7 @@ SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY topic, snapshot ORDER
       UNION ALL SELECT split_part(p_name, ' ', 2), p_brand, p_size, p_type FROM part) k
    WHERE k.p_brand = t.topic AND k.p_size % 2 = t.snapshot AND k.p_type = t.label) AS keywords
 FROM (SELECT p_brand AS topic, p_size % 2 AS snapshot, p_type AS label, CAST(sum(p_size) AS DOUBLE) / 10 AS score
-      FROM part GROUP BY 1, 2, 3) t) r WHERE trend_rank <= 12""")
+      FROM part GROUP BY 1, 2, 3) t) r""")
 
 block("lines_v", """
 SELECT * FROM (SELECT id, topic, captured_at, l_linenumber AS n, l_partkey AS part,
@@ -89,7 +89,7 @@ SELECT * FROM (SELECT id, topic, captured_at, l_linenumber AS n, l_partkey AS pa
   ['s' || CAST(l_suppkey % 7 AS VARCHAR), 'd' || CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR), 'f-' || l_returnflag] AS keywords,
   round(l_extendedprice) / 1000 AS score
 FROM (SELECT o_orderkey AS id, 'topic-' || CAST(o_custkey AS VARCHAR) AS topic, o_orderdate AS captured_at FROM orders) r
-JOIN lineitem ON l_orderkey = id) q WHERE trend_rank <= 12""")
+JOIN lineitem ON l_orderkey = id) q""")
 
 block("timeline_v", """
 SELECT topic, dt, CAST(floor(100.0::DOUBLE * n / max(n) OVER (PARTITION BY topic)) AS INT) AS value

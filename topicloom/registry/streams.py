@@ -29,20 +29,29 @@ def finish(q) -> None:
 
 @query(
     "sm1_distinct_posts",
-    """SELECT content, url, count(*) AS rows FROM (SELECT DISTINCT event_type || ' ' || props AS content,
-      CASE WHEN user_id % 10 = 0 THEN '' ELSE 'https://example.com/u/' || user_id END AS url FROM events) e WHERE url <> '' GROUP BY 1, 2""",
+    """SELECT post_id, sha256(content || url) AS content_hash, engagement_score FROM (
+      SELECT *, row_number() OVER (PARTITION BY sha256(content || url) ORDER BY ts, post_id) AS r FROM (
+        SELECT event_id AS post_id, ts, event_type || ' ' || props AS content,
+          CASE WHEN user_id % 10 = 0 THEN '' ELSE 'https://example.com/u/' || user_id END AS url,
+          least((user_id % 50 + event_id % 7) / 10.0::DOUBLE, 100.0::DOUBLE) AS engagement_score FROM events) e
+      WHERE url <> '') d WHERE r = 1""",
 )
 def sm1(t):
-    """Events as arriving posts; users divisible by ten have no URL. The watermark spans the table."""
+    """Events as arriving posts; users divisible by ten have no URL. The delay spans the table."""
     user = F.col("user_id")
     arriving = stream(t, "events").select(
+        F.col("event_id").alias("post_id"),
         F.concat("event_type", F.lit(" "), "props").alias("content"),
         F.when(user % 10 == 0, "").otherwise(F.concat(F.lit("https://example.com/u/"), user.cast("string"))).alias("url"),
+        F.lit("events").alias("source"),
         F.col("ts").cast("timestamp").alias("collected_at"),
+        (user % 50).alias("likes"),
+        (F.col("event_id") % 7).alias("comments"),
+        F.lit(0).cast("bigint").alias("shares"),
     )
     path = new_folder(t.spark, "sm1")
     finish(jobs.run_posts(arriving, path, new_folder(t.spark, "sm1-state"), "60 days"))
-    return t.spark.read.parquet(path).groupBy("content", "url").agg(F.count("*").alias("rows"))
+    return t.spark.read.parquet(path).select("post_id", "content_hash", "engagement_score")
 
 
 @query(

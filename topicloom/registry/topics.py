@@ -106,11 +106,11 @@ def fl12(t):
 @query(
     "fl10_retry_topics",
     """SELECT topic, count(post_id) AS docs FROM topics_v LEFT JOIN (
-      SELECT l_orderkey AS post_id, p_name AS t FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity = 1) d ON t = topic
+      SELECT l_orderkey AS post_id, p_name AS t FROM lineitem JOIN part ON p_partkey = l_partkey) d ON t = topic
     GROUP BY 1 HAVING count(post_id) < 3""",
 )
 def fl10(t):
-    lines = t.read("lineitem").where("l_quantity = 1").select("l_partkey")
+    lines = t.read("lineitem").select("l_partkey")
     part = t.read("part").select("p_partkey", F.col("p_name").alias("topic"))
     docs = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("topic")
     return collect.retry_topics(t.topics(), docs)

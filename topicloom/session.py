@@ -60,16 +60,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition a table that has fewer splits than the session has cores.
-
-    Only small inputs qualify (less than one split per core), so at scale this adds no
-    exchange; a lone file with one row group would otherwise be cut by a single task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over the session's shuffle partitions ahead of a step that turns each
     into many; adaptive execution would otherwise merge small inputs into one task."""

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.operators.ranking import ordered_list, top_per_group
-from topicloom.operators.trends import MAX_TRENDS
-from topicloom.session import spread
+from topicloom.operators.ranking import ordered_list
 
 
 class Tables:
@@ -23,7 +21,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def posts(self, urls: bool = True, engagement: bool = True) -> DataFrame:
-        d = spread(self.read("documents").select("doc_id", "text", "lang"), "doc_id")
+        d = self.read("documents").select("doc_id", "text", "lang")
         columns = [
             F.col("doc_id").alias("post_id"),
             F.col("lang").alias("topic"),
@@ -80,8 +78,8 @@ class Tables:
         return o.select(*columns)
 
     def trend_rows(self) -> DataFrame:
-        """One row per topic, snapshot and label, ranked by score: at most six part
-        types per topic and snapshot, keywords from the words of part names."""
+        """One row per topic, snapshot and label, ranked by score; keywords from the words
+        of part names."""
         words = F.array(F.get(F.split("p_name", " "), 0), F.get(F.split("p_name", " "), 1))
         trends = (
             self.read("part")
@@ -93,9 +91,8 @@ class Tables:
                 F.array_sort(F.array_distinct(F.flatten(F.collect_set(words)))).alias("keywords"),
             )
         )
-        return top_per_group(
-            trends, ["topic", "snapshot"], [F.desc("score"), F.asc("label")], MAX_TRENDS, "trend_rank"
-        )
+        order = Window.partitionBy("topic", "snapshot").orderBy(F.desc("score"), F.asc("label"))
+        return trends.withColumn("trend_rank", F.row_number().over(order))
 
     def trend_runs(self) -> DataFrame:
         """One row per topic and snapshot with the ranked trends as an array."""
@@ -127,13 +124,8 @@ class Tables:
             ).alias("trend"),
             "l_partkey",
         )
-        # A run holds at most MAX_TRENDS ranked trends.
-        order = [F.asc("n"), F.asc("l_partkey"), F.asc("trend.label")]
-        trends = (
-            top_per_group(lines, ["l_orderkey"], order, MAX_TRENDS, "trend_rank")
-            .groupBy("l_orderkey")
-            .agg(ordered_list(F.col("trend_rank"), F.col("trend")).alias("trends"))
-        )
+        order = F.struct("n", "l_partkey", "trend.label")
+        trends = lines.groupBy("l_orderkey").agg(ordered_list(order, F.col("trend")).alias("trends"))
         runs = self.runs(counts=False)
         return runs.join(trends, runs.id == trends.l_orderkey).select("id", "topic", "captured_at", "trends")
 

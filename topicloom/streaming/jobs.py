@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from topicloom.functions.text import content_hash, strip
 from topicloom.operators import history, reports
-from topicloom.operators.validation import rejection_reason
+from topicloom.operators.validation import validate_posts
 
 
 def _write(df: DataFrame, name: str, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -47,21 +46,34 @@ def _write_batches(df: DataFrame, name: str, path: str, checkpoint: str, mode: s
 # ---- posts ---------------------------------------------------------------------
 
 
-def distinct_posts(arriving: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Usable posts, each content and url once per ``delay`` of event time. State is kept
-    only that long."""
-    return (
-        arriving.where(rejection_reason(F.col("content"), F.col("url")).isNull())
-        .withColumn("content", strip(F.col("content")))
-        .withColumn("url", strip(F.col("url")))
-        .withColumn("content_hash", content_hash(F.col("content"), F.col("url")))
-        .withWatermark("collected_at", delay)
-        .dropDuplicatesWithinWatermark(["content_hash"])
-    )
+def distinct_batch(batch: DataFrame, stored: DataFrame | None, delay: str = "1 day", arrival: str = "post_id") -> DataFrame:
+    """The posts of one batch as ``validate_posts`` gives them: the earliest of each content and url, unless
+    it is ``stored`` since ``delay`` before the batch's first post."""
+    first = F.struct("collected_at", arrival)
+    posts = validate_posts(batch.withColumn("_first", first), "_first").drop("_first")
+    if stored is None:
+        return posts
+    since = batch.agg(F.min("collected_at")).first()[0]
+    recent = stored.where(F.col("collected_at") >= F.lit(since) - F.expr(f"INTERVAL {delay}"))
+    return posts.join(recent.select("content_hash"), "content_hash", "left_anti")
+
 
+def run_posts(arriving: DataFrame, path: str, checkpoint: str, delay: str = "1 day", arrival: str = "post_id") -> StreamingQuery:
+    """Each batch's new posts in a folder of its own. A batch that runs again sees the batches before it only."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id) if batch_id else None
+        new = distinct_batch(batch, stored, delay, arrival)
+        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-def run_posts(arriving: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    return _write(distinct_posts(arriving, delay), "distinct-posts", path, checkpoint)
+    return (
+        arriving.writeStream.foreachBatch(save)
+        .queryName("distinct-posts")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 # ---- API usage -------------------------------------------------------------------
