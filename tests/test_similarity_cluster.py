@@ -126,3 +126,25 @@ def test_clusters_and_silhouette(spark):
         own = np.mean(distances.pop(r.cluster))
         other = min(np.mean(d) for d in distances.values())
         assert abs(r.silhouette - (other - own) / max(own, other)) < 1e-9
+
+
+def test_seeds_come_from_all_documents(spark):
+    """A few documents far from 3,000 others are found as a cluster; vectors are as wide as the vocabulary."""
+    rng = np.random.default_rng(3)
+    rows, width = [], 400
+    for block in range(10):
+        ids, idx, w = [], [], []
+        for i in range(block * 300, block * 300 + 300):
+            rare = i % 1000 == 7
+            v = unit(np.array([1.0, 0.1 * rng.random()])) if not rare else np.array([1.0, 0.0])
+            at = [i % 3, 3 + i % 5] if not rare else [width - 1]
+            ids += [i] * len(at)
+            idx += at
+            w += [float(x) for x in v[: len(at)]]
+        rows.append(("t", block, 3000, ids, idx, w))
+    blocks = stage(spark.createDataFrame(rows, "topic string, block long, n_docs long, ids array<long>, idx array<int>, w array<double>"), "blocks")
+    assert cluster.width_of(blocks) == width
+    labels = cluster.labelled(blocks, restarts=4).where("run % 100 = 4").collect()
+    assert len(labels) == 3000
+    rare = {r.cluster for r in labels if r.post_id % 1000 == 7}
+    assert len(rare) == 1 and all(r.cluster not in rare for r in labels if r.post_id % 1000 != 7)

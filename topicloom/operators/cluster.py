@@ -11,6 +11,7 @@ lineage short and lets Catalyst see how small they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -19,23 +20,23 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.ranking import first_per_group, top_per_group
-from topicloom.operators.terms import MAX_TERMS
+from topicloom.operators.ranking import first_per_group
 from topicloom.session import stage
 
 MIN_K, MAX_K = 3, 6
 RESTARTS = 10
 SEED = 42
-MAX_ITERATIONS = 20
+# A run ends after so many passes, or when its centroids move by no more, squared and added up, than this
+# share of the topic's mean variance per term.
+MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
 BLOCK_DOCS = 2048
-SEED_POOL = 256
 HELD_TOPICS = 32
 
 BLOCK_COLUMNS = ["topic", "block", "ids", "idx", "w"]
 PARTIAL = "topic string, run int, c int, n bigint, sse double, sums array<double>"
-SEEDS = "topic string, run int, c int, centroid array<double>"
-POOL = "topic string, place bigint, ids array<bigint>, idx array<int>, w array<double>"
+DRAWS = "topic string, restart int, key double, centroid array<double>"
+MOMENTS = "topic string, n bigint, square double, sums array<double>"
 LABELS = "topic string, post_id bigint, run int, cluster int, silhouette double"
 
 
@@ -73,64 +74,71 @@ def blocks_of(posts: DataFrame, documents: DataFrame, sizes: DataFrame, key: str
     )
 
 
-def _matrix(ids, idx, w) -> tuple[np.ndarray, np.ndarray]:
+def width_of(blocks: DataFrame) -> int:
+    """Length of the vectors: the terms of the largest vocabulary."""
+    return 1 + max(0, blocks.agg(F.max(F.array_max("idx"))).first()[0] or 0)
+
+
+def _matrix(ids, idx, w, width: int) -> tuple[np.ndarray, np.ndarray]:
     ids, idx, w = (np.asarray(a) for a in (ids, idx, w))
     unique, row = np.unique(ids, return_inverse=True)
-    x = np.zeros((len(unique), MAX_TERMS))
+    x = np.zeros((len(unique), width))
     seen = idx >= 0
     x[row[seen], idx[seen]] = w[seen]
     return unique, x
 
 
-def _order_keys(x: np.ndarray) -> np.ndarray:
-    """A pseudo-random number per row that depends on its content only, so that copies
-    of a document share it."""
-    line = np.random.default_rng(SEED).normal(size=x.shape[1])
-    mixed = np.round(x @ line * 1e6).astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+def _uniform(ids: np.ndarray, restart: int, step: int) -> np.ndarray:
+    """A pseudo-random number between 0 and 1 per document, the same in every attempt of a task."""
+    x = ids.astype(np.uint64) + np.uint64(((SEED * 1009 + restart) * 64 + step) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
 
 
-def _pool(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block, the distinct documents with the lowest order keys."""
+def _draw(step: int, restarts: int, width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block and restart, the document with the smallest exponential key of rate equal to its weight. The least
+    over all blocks is a draw over all documents of the topic in proportion to their weights: one, and
+    from the second step on the squared distance to the nearest seed."""
     for frame in frames:
         rows = []
         for b in frame.itertuples(index=False):
-            ids, x = _matrix(b.ids, b.idx, b.w)
-            keys, first = np.unique(_order_keys(x), return_index=True)
-            for place, i in zip(keys[:SEED_POOL], first[:SEED_POOL]):
-                at = np.flatnonzero(x[i])
-                rows.append((b.topic, int(place), [int(ids[i])] * max(len(at), 1), at if len(at) else [-1], x[i][at] if len(at) else [0.0]))
-        yield pd.DataFrame(rows, columns=["topic", "place", "ids", "idx", "w"])
-
-
-def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeds: each next one drawn in proportion to its squared distance."""
-    chosen = [int(rng.integers(len(x)))]
-    nearest = ((x - x[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        total = nearest.sum()
-        nxt = int(rng.choice(len(x), p=nearest / total)) if total > 0 else chosen[len(chosen) % len(x)]
-        chosen.append(nxt)
-        nearest = np.minimum(nearest, ((x - x[nxt]) ** 2).sum(axis=1))
-    return x[chosen]
-
-
-def _seeds(restarts: int):
-    """Start centroids of every run of one topic. A run is restart * 100 + k; the seeds
-    of a smaller k are the first seeds of the largest."""
-
-    def start(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        x = np.vstack([_matrix([0] * len(r.idx), r.idx, r.w)[1] for r in frame.itertuples(index=False)])
-        ks = candidate_ks(int(frame["n_docs"].iloc[0]))
+            ids, x = _matrix(b.ids, b.idx, b.w, width)
+            for restart in range(restarts):
+                weight = np.ones(len(x))
+                if step:
+                    chosen = np.vstack([np.asarray(c) for r, c in zip(b.restarts, b.centroids) if r == restart])
+                    gap = (x**2).sum(axis=1)[:, None] - 2.0 * (x @ chosen.T) + (chosen**2).sum(axis=1)[None, :]
+                    weight = gap.min(axis=1)
+                    weight[weight < 1e-12] = 0.0
+                with np.errstate(divide="ignore"):
+                    key = -np.log(_uniform(ids, restart, step)) / weight
+                i = int(key.argmin())
+                if np.isfinite(key[i]):
+                    rows.append((b.topic, restart, float(key[i]), x[i]))
+        yield pd.DataFrame(rows, columns=["topic", "restart", "key", "centroid"])
+
+
+def _moments(width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per block: documents, sum of squares, vector sum."""
+    for frame in frames:
         rows = []
-        for restart in range(restarts):
-            seeds = _plus_plus(x, max(ks), np.random.default_rng([SEED, restart]))
-            for k in ks:
-                rows += [(frame["topic"].iloc[0], restart * 100 + k, c, seeds[c]) for c in range(k)]
-        return pd.DataFrame(rows, columns=["topic", "run", "c", "centroid"])
-
-    return start
+        for b in frame.itertuples(index=False):
+            _, x = _matrix(b.ids, b.idx, b.w, width)
+            rows.append((b.topic, len(x), float((x**2).sum()), x.sum(axis=0)))
+        yield pd.DataFrame(rows, columns=["topic", "n", "square", "sums"])
+
+
+def variances(blocks: DataFrame, width: int) -> DataFrame:
+    """(topic, variance): mean variance of a term's weight over the topic's documents."""
+    sums = (
+        blocks.select(*BLOCK_COLUMNS)
+        .mapInPandas(partial(_moments, width), MOMENTS)
+        .groupBy("topic")
+        .agg(F.sum("n").alias("n"), F.sum("square").alias("square"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    )
+    of_mean = F.aggregate("sums", F.lit(0.0), lambda acc, v: acc + v * v) / (F.col("n") * F.col("n"))
+    return sums.select("topic", F.greatest((F.col("square") / F.col("n") - of_mean) / width, F.lit(0.0)).alias("variance"))
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +161,7 @@ def _model_of(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(b.runs), np.asarray(b.cs), centroids
 
 
-def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _partials(width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task and topic: members, squared error and vector sum of every cluster."""
     held: dict[str, list] = {}
 
@@ -170,7 +178,7 @@ def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for b in frame.itertuples(index=False):
             runs, cs, centroids = _model_of(b)
-            _, x = _matrix(b.ids, b.idx, b.w)
+            _, x = _matrix(b.ids, b.idx, b.w, width)
             _, winner, distance = _nearest(x, centroids, runs)
             member = np.zeros((len(x), len(runs)))
             error = np.zeros(len(runs))
@@ -189,7 +197,7 @@ def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield drain()
 
 
-def _labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _labels(width: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Cluster and cosine silhouette of every document under every run of its topic.
 
     With unit vectors the mean distance to a cluster follows from the cluster's vector
@@ -200,7 +208,7 @@ def _labels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frame.itertuples(index=False):
             runs, cs, centroids = _model_of(b)
             sums, ns = np.vstack([np.asarray(v) for v in b.sums]), np.asarray(b.ns, dtype=float)
-            ids, x = _matrix(b.ids, b.idx, b.w)
+            ids, x = _matrix(b.ids, b.idx, b.w, width)
             names, winner, _ = _nearest(x, centroids, runs)
             similarity = x @ sums.T
             square = (x**2).sum(axis=1)
@@ -234,10 +242,10 @@ def _with_models(blocks: DataFrame, model: DataFrame, extra: list[str]) -> DataF
     return blocks.select(*BLOCK_COLUMNS).join(split, "topic")
 
 
-def _totals(blocks: DataFrame, model: DataFrame) -> DataFrame:
-    partial = _with_models(blocks, model, []).mapInPandas(_partials, PARTIAL)
+def _totals(blocks: DataFrame, model: DataFrame, width: int) -> DataFrame:
+    partials = _with_models(blocks, model, []).mapInPandas(partial(_partials, width), PARTIAL)
     return (
-        partial.groupBy("topic", "run", "c")
+        partials.groupBy("topic", "run", "c")
         .agg(
             F.sum("n").alias("n"),
             F.sum("sse").alias("sse"),
@@ -256,25 +264,58 @@ def _moved(model: DataFrame, totals: DataFrame) -> DataFrame:
     return moved.select("topic", "run", "c", F.col("next").alias("centroid"), shift.alias("shift"))
 
 
-def start_centroids(blocks: DataFrame, restarts: int = RESTARTS) -> DataFrame:
-    pool = blocks.select(*BLOCK_COLUMNS).mapInPandas(_pool, POOL)
-    distinct = first_per_group(pool, ["topic", "place"], [F.asc(F.get("ids", F.lit(0)))])
-    small = top_per_group(distinct, ["topic"], [F.asc("place")], SEED_POOL).drop("rank")
+def start_centroids(blocks: DataFrame, width: int, restarts: int = RESTARTS) -> DataFrame:
+    """k-means++ seeds of every run, drawn from all documents; a run is restart * 100 + k.
+
+    One pass over the blocks draws the next seed of all restarts. The seeds of a smaller k are the first
+    of the largest; where all documents are seeds already, the first ones are taken again.
+    """
     sizes = blocks.groupBy("topic").agg(F.first("n_docs").alias("n_docs"))
-    return small.join(sizes, "topic").groupBy("topic").applyInPandas(_seeds(restarts), SEEDS)
+    seeds = None
+    for step in range(MAX_K):
+        rows = blocks.select(*BLOCK_COLUMNS)
+        if seeds is not None:
+            held = seeds.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("restart", "c", "centroid"))).alias("s"))
+            rows = rows.join(held, "topic").select(
+                *BLOCK_COLUMNS, F.col("s.restart").alias("restarts"), F.col("s.centroid").alias("centroids")
+            )
+        drawn = rows.mapInPandas(partial(_draw, step, restarts, width), DRAWS).groupBy("topic", "restart")
+        new = drawn.agg(F.min_by("centroid", "key").alias("centroid")).withColumn("c", F.lit(step))
+        seeds = stage(new if seeds is None else seeds.unionByName(new), "seeds")
+    n = F.col("n_docs").cast("int")
+    ks = F.when(n <= MIN_K, F.array(n)).otherwise(F.sequence(F.lit(MIN_K), F.least(F.lit(MAX_K), n - 1)))
+    wanted = sizes.withColumn("k", F.explode(ks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    found = seeds.groupBy("topic", "restart").agg(F.array_sort(F.collect_list(F.struct("c", "centroid"))).alias("s"))
+    seed = F.element_at("s", (F.col("c") % F.size("s") + 1).cast("int"))["centroid"]
+    return wanted.join(found, "topic").select(
+        "topic", (F.col("restart") * 100 + F.col("k")).cast("int").alias("run"), "c", seed.alias("centroid")
+    )
 
 
-def fit(blocks: DataFrame, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """(topic, run, c, centroid) of every run at convergence."""
-    model = stage(start_centroids(blocks, restarts), "centroids")
-    for _ in range(max_iterations):
-        model = stage(_moved(model, _totals(blocks, model)), "centroids")
-        if (model.agg(F.max("shift")).first()[0] or 0.0) <= TOLERANCE:
+def fit(blocks: DataFrame, width: int, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS,
+        tolerance: float = TOLERANCE) -> DataFrame:
+    """(topic, run, c, centroid) of every run at its end. Runs that have ended take no further part, and blocks of a
+    topic whose runs all have are not read again."""
+    bound = stage(variances(blocks, width), "variances")
+    live = stage(start_centroids(blocks, width, restarts), "centroids")
+    ended = []
+    for iteration in range(max_iterations):
+        moved = _moved(live, _totals(blocks, live, width))
+        moves = moved.groupBy("topic", "run").agg(F.sum("shift").alias("move")).join(bound, "topic")
+        still = moves.select("topic", "run", (F.col("move") > tolerance * F.col("variance")).alias("live"))
+        model = stage(moved.join(still, ["topic", "run"]).select("topic", "run", "c", "centroid", "live"), "centroids")
+        last = iteration == max_iterations - 1
+        ended.append((model if last else model.where("not live")).drop("live"))
+        live = model.where("live").drop("live")
+        if last or live.isEmpty():
             break
-    return model
+    result = ended[0]
+    for more in ended[1:]:
+        result = result.unionByName(more)
+    return stage(result, "centroids")
 
 
-def best_restarts(model: DataFrame, totals: DataFrame) -> DataFrame:
+def best_restarts(model: DataFrame, totals: DataFrame, width: int) -> DataFrame:
     """Per topic and k, the centroids of the restart with the least squared error."""
     errors = totals.groupBy("topic", "run").agg(F.sum("sse").alias("sse")).withColumn("k", F.col("run") % 100)
     winners = first_per_group(errors, ["topic", "k"], [F.asc(F.round("sse", 9)), F.asc("run")])
@@ -282,17 +323,18 @@ def best_restarts(model: DataFrame, totals: DataFrame) -> DataFrame:
         model.select("topic", "run", "c", "centroid")
         .join(winners.select("topic", "run"), ["topic", "run"])
         .join(totals.select("topic", "run", "c", "n", "sums"), ["topic", "run", "c"], "left")
-        .withColumn("sums", F.coalesce("sums", F.array_repeat(F.lit(0.0), MAX_TERMS)))
+        .withColumn("sums", F.coalesce("sums", F.array_repeat(F.lit(0.0), width)))
         .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     )
 
 
 def labelled(blocks: DataFrame, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
     """(topic, post_id, run, cluster, silhouette) for the best restart of every k."""
-    model = fit(blocks, restarts, max_iterations)
-    totals = stage(_totals(blocks, model), "cluster-totals")
-    best = stage(best_restarts(model, totals), "best-centroids")
-    return _with_models(blocks, best, ["sums", "n"]).mapInPandas(_labels, LABELS)
+    width = width_of(blocks)
+    model = fit(blocks, width, restarts, max_iterations)
+    totals = stage(_totals(blocks, model, width), "cluster-totals")
+    best = stage(best_restarts(model, totals, width), "best-centroids")
+    return _with_models(blocks, best, ["sums", "n"]).mapInPandas(partial(_labels, width), LABELS)
 
 
 def silhouettes(labels: DataFrame) -> DataFrame:

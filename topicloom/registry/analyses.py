@@ -30,8 +30,8 @@ def _blocks(t):
 def ml1(t):
     """Members, squared error and rank of every run: each restart of each k."""
     _, _, blocks = _blocks(t)
-    model = cluster.fit(blocks)
-    totals = cluster._totals(blocks, model)
+    width = cluster.width_of(blocks)
+    totals = cluster._totals(blocks, cluster.fit(blocks, width), width)
     return totals.groupBy("topic", "run").agg(
         F.count("*").alias("clusters"), F.sum("n").alias("members"), F.round(F.sum("sse"), 6).alias("sse")
     )

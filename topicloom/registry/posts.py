@@ -200,7 +200,7 @@ def fl8(t):
 )
 def tk9(t):
     """The place of every row in each of the three orders."""
-    scored = with_sentiment(t.posts(urls=False)).select("post_id", "collected_at", "sentiment")
+    scored = stage(with_sentiment(t.posts(urls=False)).select("post_id", "collected_at", "sentiment"), "scored")
     union = None
     for order in ("relevance", "date", "sentiment"):
         rows = explore.ranked_results(scored, order, "post_id").select(F.lit(order).alias("sort"), "post_id", "position")

@@ -20,6 +20,7 @@ def build_session(app: str = "topicloom", cores: str = "8", **conf: str) -> Spar
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TOPICLOOM_DRIVER_MEMORY", "8g"))
+        .config("spark.topicloom.text.partitions", cores if cores.isdigit() else "0")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():

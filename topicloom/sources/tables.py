@@ -11,17 +11,22 @@ from topicloom.operators.ranking import ordered_list
 class Tables:
     """Canonical inputs over one folder of parquet tables.
 
-    Options leave out joins a query does not need, so they never reach the plan.
+    Options leave out joins a query does not need, so they never reach the plan. Texts are read in
+    the splits of their files; ``partitions``, or the setting ``spark.topicloom.text.partitions``, deals
+    them to so many tasks instead, which pays where a few files hold them all.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, partitions: int | None = None):
         self.spark, self.sf_dir = spark, sf_dir
+        self.partitions = partitions or int(spark.conf.get("spark.topicloom.text.partitions", "0"))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def posts(self, urls: bool = True, engagement: bool = True) -> DataFrame:
         d = self.read("documents").select("doc_id", "text", "lang")
+        if self.partitions:
+            d = d.repartition(self.partitions, "doc_id")
         columns = [
             F.col("doc_id").alias("post_id"),
             F.col("lang").alias("topic"),
