@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.lenient import expand_topic
 from topicloom.functions.scoring import timeline_cutoff
+from topicloom.functions.text import strip
 from topicloom.functions.wordlists import REGIONS, RETRY_SUFFIX
 from topicloom.operators.ranking import ordered_list, top_per_group
-from topicloom.operators.validation import deduplicate
+from topicloom.operators.validation import deduplicate, rejection_reason
 
 SECONDARY_BELOW = 10
 MIN_DOCS = 3
@@ -103,6 +104,13 @@ def merge_enrichment(existing: DataFrame, extra: DataFrame, arrival: str) -> Dat
     return deduplicate(ordered, ["content", "url"], "_place", within=["query"]).drop("_wave", "_place")
 
 
+def distinct_contents(rows: DataFrame, arrival: str, within: str) -> DataFrame:
+    """Usable rows with stripped texts, each content once ``within`` a topic or a query, whatever its URL."""
+    usable = rows.where(rejection_reason(F.col("content"), F.col("url")).isNull())
+    stripped = usable.withColumn("content", strip(F.col("content"))).withColumn("url", strip(F.col("url")))
+    return deduplicate(stripped, ["content"], arrival, within=[within]).drop("content_hash")
+
+
 def retry_topics(topics: DataFrame, validated: DataFrame, minimum: int = MIN_DOCS) -> DataFrame:
     """(topic, docs): topics with fewer than ``minimum`` validated rows, none included."""
     counts = validated.groupBy("topic").agg(F.count("*").alias("docs"))

@@ -186,43 +186,84 @@ def _flat(rows):
 
 
 _SUFFIX = "[" + ", ".join(f"' {s}'" for s in w.QUERY_SUFFIXES) + "]"
-block("answered_v", f"SELECT *, topic || {_SUFFIX}[post_id % 4 + 1] AS q FROM posts_v")
-block("found_v", """
-SELECT a.* FROM answered_v a LEFT JOIN (SELECT q, count(*) FILTER (source = 'serpapi' AND likes > 0) AS n, count(*) FILTER (source = 'newsapi') AS m
-  FROM answered_v GROUP BY 1) c USING (q) WHERE (source = 'serpapi' AND likes > 0) OR (source = 'newsapi' AND n < 10) OR (source = 'mock' AND n = 0 AND m = 0)""")
-block("social9_v", f"""
-SELECT * FROM (SELECT *, topic || {_SUFFIX}[2] AS q, row_number() OVER (PARTITION BY topic ORDER BY post_id) AS r FROM posts_v
-  WHERE source = 'linkedin' AND collected_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS) s WHERE r <= ceil(25 / 3.0)""")
+# Languages as topics, and small topics of a few posts each, half of which answer the broadened query only. Every row
+# is a candidate. One language's first provider has nothing recent, and one query has the second provider only.
+block("offered_v", f"""
+SELECT *, tp || {_SUFFIX}[CASE WHEN small THEN 1 ELSE k + 1 END] || CASE WHEN small AND post_id % 2 = 1 THEN '{w.RETRY_SUFFIX}' ELSE '' END AS q,
+  CASE WHEN post_id // 8 % 3 = 1 THEN 1 ELSE post_id // 4 % 2 END AS provider, post_id // 8 % 3 AS lead,
+  {strip_sql('content')} AS c, {strip_sql('url')} AS u
+FROM (SELECT *, post_id % 97 = 0 AS small, CASE WHEN post_id % 97 = 0 THEN 'small' || (post_id // 640) ELSE topic END AS tp,
+  CASE WHEN post_id % 3 = 0 THEN post_id // 4 % 4 ELSE post_id % 4 END AS k FROM posts_v) p""")
+block("tiered_v", """
+SELECT a.* FROM offered_v a JOIN (SELECT q, count(*) FILTER (source = 'serpapi') AS n, count(*) FILTER (source = 'newsapi') AS m
+  FROM offered_v GROUP BY 1) x USING (q) WHERE source = 'serpapi' OR (source = 'newsapi' AND n < 10) OR (source = 'mock' AND n = 0 AND m = 0)""")
+block("usable_v", f"SELECT *, ends_with(q, '{w.RETRY_SUFFIX}') AS broad FROM tiered_v WHERE c <> '' AND u <> ''")
+block("thin_v", """
+SELECT t.tp, coalesce(docs, 0) < 3 AS thin FROM (SELECT DISTINCT tp FROM offered_v) t
+LEFT JOIN (SELECT tp, count(DISTINCT c) AS docs FROM usable_v WHERE NOT broad GROUP BY 1) d USING (tp)""")
+block("base_v", "SELECT b.* FROM usable_v b JOIN thin_v t USING (tp) WHERE b.broad = t.thin")
+block("routed4_v", f"""
+SELECT s.tp, s.tp || {_SUFFIX}[lead + 1] || CASE WHEN thin THEN '{w.RETRY_SUFFIX}' ELSE '' END AS q, lead, post_id, c, u, provider,
+  CASE WHEN s.tp = 'fr' AND provider = 0 THEN collected_at - INTERVAL 400 DAYS ELSE collected_at END AS seen_at
+FROM offered_v s JOIN thin_v t USING (tp) WHERE source = 'linkedin'""")
+block("extra_v", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tp ORDER BY lead, n) AS total FROM (
+  SELECT *, row_number() OVER (PARTITION BY tp, q ORDER BY post_id) AS n FROM (
+    SELECT *, min(provider) OVER (PARTITION BY q) AS best FROM routed4_v) a
+  WHERE provider = best AND seen_at >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS) b WHERE n <= ceil(25 / 3.0)) d WHERE total <= 25""")
 block("groups_v", """
-SELECT topic, q, content, url FROM (SELECT *, row_number() OVER (PARTITION BY q, sha256(content || url) ORDER BY wave, post_id) AS r FROM (
-  SELECT topic, q, post_id, content, url, 0 AS wave FROM found_v UNION ALL SELECT topic, q, post_id, content, url, 1 FROM social9_v) u) d WHERE r = 1""")
+SELECT q, count(DISTINCT sha256(c || u)) AS posts FROM (
+  SELECT q, c, u FROM (SELECT q, c, u, row_number() OVER (PARTITION BY q, c ORDER BY post_id) AS r FROM base_v) x WHERE r = 1
+  UNION ALL
+  SELECT q, c, u FROM (SELECT q, c, u, row_number() OVER (PARTITION BY q, c ORDER BY post_id) AS r FROM extra_v WHERE c <> '' AND u <> '') y WHERE r = 1) z GROUP BY 1""")
+block("docs_v", """
+SELECT tp, count(DISTINCT sha256(c || u)) AS docs FROM (
+  SELECT tp, c, u FROM (SELECT tp, c, u, row_number() OVER (PARTITION BY tp, c ORDER BY post_id) AS r FROM base_v) x WHERE r = 1
+  UNION ALL SELECT tp, c, u FROM extra_v WHERE c <> '' AND u <> '') z GROUP BY 1""")
 CQ4_SQL = f"""
-SELECT t.topic, t.topic || s AS query, coalesce(n, 0) AS posts, coalesce(docs, 0) < 3 AS retry
-FROM (SELECT DISTINCT topic FROM posts_v) t, (SELECT unnest({_SUFFIX}) AS s) x
-LEFT JOIN (SELECT q, count(*) AS n FROM groups_v GROUP BY 1) g ON g.q = t.topic || s
-LEFT JOIN (SELECT topic, count(DISTINCT sha256({strip_sql('content')} || url)) AS docs FROM groups_v WHERE {strip_sql('content')} <> '' GROUP BY 1) d ON d.topic = t.topic"""
+SELECT t.tp AS topic, t.tp || s || CASE WHEN thin THEN '{w.RETRY_SUFFIX}' ELSE '' END AS query, coalesce(posts, 0) AS posts,
+  coalesce(docs, 0) AS docs, thin AS retried
+FROM thin_v t CROSS JOIN (SELECT unnest({_SUFFIX}) AS s, unnest(range(4)) AS ord) x
+LEFT JOIN groups_v g ON g.q = t.tp || s || CASE WHEN thin THEN '{w.RETRY_SUFFIX}' ELSE '' END
+LEFT JOIN docs_v d ON d.tp = t.tp WHERE ord < 3 OR NOT thin"""
 
 
 @query("cq4_collect", CQ4_SQL)
 def cq4(t):
-    """Every language as a topic; its posts answer the query of their number, or carry a tag."""
-    posts = t.posts()
-    topics = posts.select("topic").distinct()
+    """Every row is offered: web, news and stand-in rows answer a query, social rows carry a tag."""
     i = F.col("post_id")
-    answered = posts.withColumn("query", F.get(expand_topic(F.col("topic")), (i % 4).cast("int")))
-    social = posts.where("source = 'linkedin'").drop("query").withColumn("tag", F.concat("topic", F.lit(" industry news")))
+    small = i % 97 == 0
+    posts = t.posts().withColumn("topic", F.when(small, F.concat(F.lit("small"), F.floor(i / 640).cast("string"))).otherwise(F.col("topic")))
+    expanded = expand_topic(F.col("topic"))
+    k = F.when(small, 0).when(i % 3 == 0, F.floor(i / 4) % 4).otherwise(i % 4).cast("int")
+    suffix = F.when(small & (i % 2 == 1), w.RETRY_SUFFIX).otherwise("")
+    answered = posts.withColumn("query", F.concat(F.get(expanded, k), suffix))
+    lead = (F.floor(i / 8) % 3).cast("int")
+    provider = F.when(lead == 1, 1).otherwise((F.floor(i / 4) % 2).cast("int"))
+    old = (F.col("topic") == "fr") & (F.col("provider_rank") == 0)
+    social = (
+        posts.where("source = 'linkedin'")
+        .drop("query")
+        .withColumn("tag", F.get(expanded, lead))
+        .withColumn("provider_rank", provider)
+        .withColumn("collected_at", F.when(old, F.col("collected_at") - F.expr("INTERVAL 400 DAYS")).otherwise(F.col("collected_at")))
+    )
     result = collect(
-        topics,
-        answered.where("source = 'serpapi' AND likes > 0"),
+        posts.select("topic").distinct(),
+        answered.where("source = 'serpapi'"),
         answered.where("source = 'newsapi'"),
         answered.where("source = 'mock'"),
-        social.withColumn("provider_rank", (i % 2).cast("int")),
+        social,
         as_of(),
     )
     per_query = result.groups.groupBy("query").agg(F.count("*").alias("posts"))
-    retry = result.retry.select("topic", F.lit(True).alias("retry"))
+    per_topic = result.posts.groupBy("topic").agg(F.count("*").alias("docs"))
+    retried = result.retried.withColumn("retried", F.lit(True))
+    nothing = F.lit(0).cast("bigint")
     return (
         result.queries.join(per_query, "query", "left")
-        .join(retry, "topic", "left")
-        .select("topic", "query", F.coalesce("posts", F.lit(0)).alias("posts"), F.coalesce("retry", F.lit(False)).alias("retry"))
+        .join(per_topic, "topic", "left")
+        .join(retried, "topic", "left")
+        .select("topic", "query", F.coalesce("posts", nothing).alias("posts"), F.coalesce("docs", nothing).alias("docs"),
+                F.coalesce("retried", F.lit(False)).alias("retried"))
     )
