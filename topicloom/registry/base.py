@@ -13,8 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-# Ranks, positions and sizes are INT in Spark and BIGINT in the comparison SQL.
-WIDE = {
+# Ranks, positions and sizes that the operators give as INT, and DuckDB counts as BIGINT.
+INT_COLUMNS = {
     "ag19_score_history": ["back", "pos"],
     "ag2_term_weights": ["tf"],
     "cq2_market_intel": ["n_forecast"],
@@ -45,14 +45,18 @@ WIDE = {
 }
 
 
+def _as_int(sql: str, columns: list[str]) -> str:
+    casts = ", ".join(f'CAST("{c}" AS INTEGER) AS "{c}"' for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql}) counted" if columns else sql
+
+
 def query(name: str, sql: str | None = None, blocks: dict[str, str] | None = None):
     """Register ``f(tables) -> DataFrame`` under ``name``, compared with ``sql`` if given;
     ``blocks`` replaces SQL building blocks."""
 
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(Tables(spark, sf_dir))
-            return df.withColumns({c: df[c].cast("bigint") for c in WIDE.get(name, [])})
+            return f(Tables(spark, sf_dir))
 
         run.__name__ = f.__name__
         run.__doc__ = f.__doc__
@@ -60,7 +64,7 @@ def query(name: str, sql: str | None = None, blocks: dict[str, str] | None = Non
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql if sql.startswith('WITH ') and not sql.startswith(RECURSIVE) else oracle(sql, blocks)
+            ORACLES[name] = _as_int(sql if sql.startswith('WITH ') and not sql.startswith(RECURSIVE) else oracle(sql, blocks), INT_COLUMNS.get(name, []))
         return f
 
     return add
