@@ -53,7 +53,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 1, path: str
 
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     cuts = docs.select(doc_id, cut(F.col("text").cast("string")).alias("cuts"))
-    rows = cuts.select("doc_id", F.posexplode("cuts").alias("piece", "cut"))
+    # every document has a piece; the inner form would test for that first, and tokenize a second time
+    rows = cuts.select("doc_id", F.posexplode_outer("cuts").alias("piece", "cut"))
     return rows.select(
         "doc_id",
         "piece",
