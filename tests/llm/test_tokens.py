@@ -35,7 +35,7 @@ def test_encoder_gives_what_the_library_gives(plain):
 def test_encoder_forgets_without_changing(plain, monkeypatch):
     import topicloom.llm.tokens as tokens
 
-    monkeypatch.setattr(tokens, "WORDS", 10)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 100)
     monkeypatch.setattr(tokens, "BATCH_BYTES", 50)
     texts = [f"some words {i} and more {i % 7}" for i in range(60)]
     for text, ids in zip(texts, Encoder(default_path()).documents(pa.array(texts)), strict=True):

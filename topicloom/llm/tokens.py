@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 
 #: Ids are kept as little-endian unsigned 32-bit integers.
 ID = np.dtype("<u4")
-#: Words remembered by a worker; beyond that it forgets all of them. Bounds memory, not results.
-WORDS = 500_000
-#: Longer pieces are not remembered.
-LONG = 64
+#: Bytes of words and their ids that a worker remembers; beyond that it forgets them. Bounds memory, not results.
+MEMO_BYTES = 16 << 20
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 #: Letters whose lower case and byte form are plain, and ASCII punctuation.
 LETTERS = string.ascii_letters + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 SIMPLE = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]*[!-/:-@\[-`{-~]*$"
@@ -68,13 +66,32 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np
     return flat[at]
 
 
-class _Runs:
-    """Ids of numbered words, one after the other."""
+class _Memo:
+    """Words met before and their ids, as arrays."""
 
-    def __init__(self, found: list[bytes]):
-        self.lengths = np.array([len(x) for x in found], np.int64) // ID.itemsize
-        self.flat = np.frombuffer(b"".join(found), ID)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    def __init__(self, learn: Callable[[list[str]], tuple[list[int], list[int]]]):
+        self.learn = learn
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.flat = np.empty(0, ID)
+        self.ends = np.zeros(1, np.int64)
+
+    def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, lengths) in ``flat`` of the ids of distinct ``words``; new ones are learned together."""
+        if self.words.nbytes + self.flat.nbytes > MEMO_BYTES:
+            self.clear()
+        which = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        new = which < 0
+        if new.any():
+            which[new] = len(self.words) + np.arange(np.count_nonzero(new))
+            added = words.filter(pa.array(new))
+            ids, ends = self.learn(added.to_pylist())
+            self.ends = np.concatenate([self.ends, len(self.flat) + np.array(ends, np.int64)])
+            self.flat = np.concatenate([self.flat, np.array(ids, ID)])
+            self.words = pa.concat_arrays([self.words, added])
+        return self.ends[which], self.ends[which + 1] - self.ends[which]
 
 
 class Encoder:
@@ -85,8 +102,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cuts = _cuts_at_space(json.loads(self.tokenizer.to_str()))
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        self.words, self.marks, self.others = _Memo(self._ids_of_words), _Memo(self._ids_of_words), _Memo(self._ids_of_pieces)
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.model = self.tokenizer.model
 
@@ -109,28 +125,12 @@ class Encoder:
             ends.append(len(ids))
         return ids, ends
 
-    def _known(self, memo: dict[str, bytes], words: list[str], learn: Callable) -> _Runs:
-        """Ids of ``words``; those met for the first time are learned together."""
-        if len(memo) > WORDS:
-            memo.clear()
-        found = list(map(memo.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if new:
-            ids, ends = learn([words[i] for i in new])
-            data, at = np.array(ids, ID).tobytes(), 0
-            for i, end in zip(new, ends, strict=True):
-                found[i] = one = data[at : 4 * end]
-                at = 4 * end
-                if len(words[i]) <= LONG:
-                    memo[words[i]] = one
-        return _Runs(found)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each). A null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.cuts:
-            runs = self._known({}, texts.to_pylist(), self._ids_of_pieces)
-            return runs.flat, runs.lengths
+            ids, ends = self._ids_of_pieces(texts.to_pylist())
+            return np.array(ids, ID), np.diff(np.array([0, *ends], np.int64))
         pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         counts = pc.list_value_length(pieces).to_numpy().astype(np.int64)
         coded = pc.list_flatten(pieces).dictionary_encode()
@@ -140,19 +140,17 @@ class Encoder:
         plain = distinct.filter(simple)
         stems = pc.utf8_lower(pc.utf8_rtrim(plain, string.punctuation)).dictionary_encode()
         marks = pc.utf8_ltrim(plain, LETTERS).dictionary_encode()
-        stem_ids = self._known(self.words, stems.dictionary.to_pylist(), self._ids_of_words)
-        mark_ids = self._known(self.others, marks.dictionary.to_pylist(), self._ids_of_words)
-        other_ids = self._known(self.others, distinct.filter(pc.invert(simple)).to_pylist(), self._ids_of_pieces)
-        flat = np.concatenate([stem_ids.flat, mark_ids.flat, other_ids.flat])
+        stem_starts, stem_sizes = self.words.runs(stems.dictionary)
+        words = self.words.flat
+        mark_starts, mark_sizes = self.marks.runs(marks.dictionary)
+        other_starts, other_sizes = self.others.runs(distinct.filter(pc.invert(simple)))
+        flat = np.concatenate([words, self.marks.flat, self.others.flat])
         is_plain = simple.to_numpy(zero_copy_only=False)
         parts = np.zeros((len(distinct), 2, 2), np.int64)  # (first, second part) x (start, length)
-        for place, (runs, numbers, shift) in enumerate(
-            ((stem_ids, stems.indices.to_numpy(), 0), (mark_ids, marks.indices.to_numpy(), len(stem_ids.flat)))
-        ):
-            parts[is_plain, place, 0] = runs.starts[numbers] + shift
-            parts[is_plain, place, 1] = runs.lengths[numbers]
-        parts[~is_plain, 0, 0] = other_ids.starts + len(stem_ids.flat) + len(mark_ids.flat)
-        parts[~is_plain, 0, 1] = other_ids.lengths
+        stem, mark = stems.indices.to_numpy(), marks.indices.to_numpy()
+        parts[is_plain, 0] = np.stack([stem_starts[stem], stem_sizes[stem]], 1)
+        parts[is_plain, 1] = np.stack([mark_starts[mark] + len(words), mark_sizes[mark]], 1)
+        parts[~is_plain, 0] = np.stack([other_starts + len(words) + len(self.marks.flat), other_sizes], 1)
         by_piece = _gather(flat, parts[:, :, 0].ravel(), parts[:, :, 1].ravel(), np.arange(2 * len(distinct)))
         sizes = parts[:, :, 1].sum(1)
         ids = _gather(by_piece, np.cumsum(sizes) - sizes, sizes, which)
