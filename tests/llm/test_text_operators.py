@@ -237,6 +237,36 @@ def test_toxicity_on_documents_held_out(spark):
     assert all(e.cosine <= 1 + 1e-9 and e.doc_id != r.doc_id for r in held for e in r.evidence)
 
 
+def _toxicity_of(pick, toxic, plain):
+    some = lambda n: " ".join("".join(pick.choice("bdfgklmnprstvaeiou") for _ in range(6)) for _ in range(n))
+    texts = [(some(30) + " vile wretch", 1) for _ in range(40)] + [(some(30), 0) for _ in range(160)]
+    texts += [(t, 1) for t in toxic] + [(t, 0) for t in plain]
+    return toxicity.Model(list(range(len(texts))), [y for _, y in texts], [t for t, _ in texts]), some
+
+
+def test_each_labelled_toxic_document_is_an_example():
+    """One, and many copies, whose wording no other toxic document shares; and the share of toxic words counts."""
+    pick = random.Random(5)
+    lone, campaign = "zzqa zzqb zzqc zzqd zzqe zzqf zzqg", "xxwa xxwb xxwc xxwd xxwe xxwf xxwg"
+    model, some = _toxicity_of(pick, [lone] + [campaign] * 60, [])
+    alone, many, near, plain, short, long = model.judge([lone, campaign, campaign + " xxwh", some(30), "vile wretch", some(4000) + " vile wretch"])
+    assert (alone["evidence"][0]["doc_id"], alone["evidence"][0]["cosine"]) == (200, pytest.approx(1))
+    assert alone["score"] >= 0.7 and many["score"] >= 0.7 and near["score"] >= 0.7 > plain["score"]
+    assert max(e["cosine"] for e in short["evidence"]) > 2 * max(e["cosine"] for e in long["evidence"])
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 384])
+def test_search_of_whole_vectors_is_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    model, some = _toxicity_of(random.Random(6), [], [])
+    examples = [dict(zip(*(x.tolist() for x in model.vector(h, c)), strict=True)) for h, c in zip(model.held, model.counts, strict=True)]
+    for text in [some(20) + " vile", "vile wretch", "wretch " + some(3)]:
+        query = dict(zip(*(x.tolist() for x in model.query(text)), strict=True))
+        cosines = np.round([sum(w * v.get(t, 0) for t, w in query.items()) for v in examples], 12)
+        want = [model.doc_ids[j] for j in np.lexsort((model.doc_ids, -cosines)) if cosines[j] > 0][: toxicity.K]
+        assert [e["doc_id"] for e in model.judge([text])[0]["evidence"]] == want
+
+
 @pytest.mark.parametrize("score", [quality.classify, toxicity.scores])
 def test_scores_without_examples(spark, score):
     table = docs(spark, awkward())
