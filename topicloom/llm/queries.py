@@ -108,7 +108,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_multipart_secrets")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans(table(spark, sf_dir, "documents"))
+    return secret_spans(table(spark, sf_dir, "documents"), weak_pairs=True)
 
 
 NEIGHBOURS_SQL = """

@@ -2,11 +2,12 @@
 
 Three kinds of strong spans are found in whole texts: ``assign`` (a keyword, a sign and a value), ``access`` (access
 identifiers) and ``hex`` (long hexadecimal runs). Each has a role: identifier or secret. Weak candidates are
-``account`` (identifier), ``opaque`` (secret) and ``endpoint`` (a URL): by themselves they are common and harmless. A weak one is
-reported only where parts of both other roles lie in its scope, that is at most ``SCOPE`` code points away, and one
-of those parts at least is strong. The parts of a text are joined with the scopes by interval inside the row, so no
-row is shuffled and hot documents need no care; weak candidates are looked for only in texts with a strong span. Weak
-candidates that overlap a strong span are dropped.
+``account`` (identifier), ``opaque`` (secret) and ``endpoint`` (a URL): by themselves they are common and harmless. An
+identifier and a secret that lie in one scope, that is at most ``SCOPE`` code points apart, are a credential: a weak
+part of either role is reported beside the other role. An endpoint is only further evidence and is reported beside both.
+With ``weak_pairs`` (as in the query and the pipeline) the parts may all be weak; without it, one of the parts beside
+a weak one must be strong. The parts of a text are joined with the scopes by interval inside the row, so no
+row is shuffled and hot documents need no care. Weak candidates that overlap a strong span are dropped.
 
 Positions are code points, ends exclusive. They follow from the lengths of what a pattern matches and of what lies
 between, summed in runs of ``RUN`` so that a text with very many matches costs little more than one with few.
@@ -95,14 +96,15 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
 
-def _near(parts: Column, s: Column) -> Column:
-    return F.filter(parts, lambda p: (p["start"] <= s["end"] + SCOPE) & (p["end"] >= s["start"] - SCOPE))
+def _near(parts: Column, s: Column, below: int) -> Column:
+    """Whether one of ``parts``, of a kind below ``below``, lies in the scope of ``s``."""
+    return F.exists(parts, lambda p: (p["start"] <= s["end"] + SCOPE) & (p["end"] >= s["start"] - SCOPE) & (p["kind"] < below))
 
 
-def scanned(docs: DataFrame, into: str) -> DataFrame:
+def scanned(docs: DataFrame, into: str, weak_pairs: bool = False) -> DataFrame:
     """``docs`` with two array columns of spans: ``into``_strong and ``into``_weak, each by start, then kind."""
-    text, strong, weak, parts = f"{into}_text", f"{into}_strong", f"{into}_weak", f"{into}_parts"
-    first = len(STRONG)
+    text, strong, weak = f"{into}_text", f"{into}_strong", f"{into}_weak"
+    roles = {r: f"{into}_{r}" for r in ("identifier", "secret")}
     rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = [_spans(F.col(text), kind, *rule) for kind, rule in STRONG.items()]
     rows = rows.withColumn(strong, F.array_sort(F.concat(*found)))
@@ -110,22 +112,22 @@ def scanned(docs: DataFrame, into: str) -> DataFrame:
         F.concat(*[_spans(F.col(text), kind, pattern) for kind, pattern in WEAK.items()]),
         lambda w: ~F.exists(F.col(strong), lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])),
     )
-    rows = rows.withColumn(weak, F.when(F.size(strong) > 0, candidates).otherwise(_none()))
-    rows = rows.withColumn(parts, F.concat(strong, weak))
-    roles = sorted(set(ROLES.values()))
-    others = {r: [x for x in roles if x != r] for r in roles}
+    rows = rows.withColumn(weak, candidates if weak_pairs else F.when(F.size(strong) > 0, candidates).otherwise(_none()))
+    rows = rows.withColumns({name: _of_role(F.concat(strong, weak), role) for role, name in roles.items()})
+    every, sure = len(KINDS), len(KINDS) if weak_pairs else len(STRONG)
 
     def linked(w: Column) -> Column:
+        identifier, secret = (lambda below, name=name: _near(F.col(name), w, below) for name in roles.values())
+        both = (identifier(every) & secret(sure)) | (identifier(sure) & secret(every))
+        own = {"identifier": secret(sure), "secret": identifier(sure), "endpoint": both}
         result = F.lit(False)
-        for role in roles:
-            numbers = [KINDS.index(k) for k in WEAK if ROLES[k] == role]
-            one, two = (_near(_of_role(F.col(parts), x), w) for x in others[role])
-            some_strong = F.exists(one, lambda p: p["kind"] < first) | F.exists(two, lambda p: p["kind"] < first)
-            result = result | (w["kind"].isin(numbers) & (F.size(one) > 0) & (F.size(two) > 0) & some_strong)
+        for role, beside in own.items():
+            result = result | (w["kind"].isin([KINDS.index(k) for k in WEAK if ROLES[k] == role]) & beside)
         return result
 
-    kept = F.when(F.size(weak) > 0, F.array_sort(F.filter(F.col(weak), linked))).otherwise(_none())
-    return rows.withColumn(weak, kept).drop(text, parts)
+    pairs = (F.size(roles["identifier"]) > 0) & (F.size(roles["secret"]) > 0)
+    kept = F.when(pairs, F.array_sort(F.filter(F.col(weak), linked))).otherwise(_none())
+    return rows.withColumn(weak, kept).drop(text, *roles.values())
 
 
 def written(spans: Column) -> Column:
@@ -134,9 +136,9 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
+def secret_spans(docs: DataFrame, weak_pairs: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    rows = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "found")
+    rows = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "found", weak_pairs)
     strong = F.col("found_strong")
     counts = [_count(strong, k).alias(f"n_{k}") for k in STRONG]
     everything = F.array_sort(F.concat("found_strong", "found_weak"))
@@ -145,9 +147,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, weak_pairs: bool = False) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``MASK``; n_chars, if there is one, follows the text."""
-    rows = scanned(docs, "__found")
+    rows = scanned(docs, "__found", weak_pairs)
     spans = F.array_sort(F.concat("__found_strong", "__found_weak"))
     text = F.col("text")
 
@@ -161,7 +163,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
-    any_found = F.size("__found_strong") > 0
+    any_found = F.size(spans) > 0
     rows = rows.withColumn("text", F.when(any_found, masked).otherwise(text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(any_found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
