@@ -340,3 +340,16 @@ def test_licences_are_found_and_confirmed(spark):
         assert got[i].licence == "unknown"
     assert licences.licences(docs(spark, [])).collect() == []
     assert {r.licence for r in licences.licences(docs(spark, awkward())).collect()} == {"unknown"}
+
+
+def test_all_licences_of_a_document_are_returned(spark):
+    one = [group[0] for group in licences.STATEMENTS.values()]
+    both = licences.STATEMENTS["MIT"][0] + " " + licences.STATEMENTS["Apache-2.0"][0]
+    texts = ["\n".join([PLAIN[3], *one, one[0], PLAIN[5]]), both, PLAIN[1]]
+    got = {r.doc_id: r for r in licences.licences(docs(spark, texts)).collect()}
+    assert {f.licence: (f.confirmed, f.n_paragraphs, f.first_paragraph) for f in got[1].families} == {
+        name: (True, 1 + (name == "MIT"), i) for i, name in enumerate(licences.STATEMENTS, 2)
+    }
+    assert got[1].n_paragraphs == len(one) + 1 and got[1].licence == got[1].families[0].licence
+    assert {f.licence for f in got[2].families if f.confirmed} == {"MIT", "Apache-2.0"} and got[2].n_paragraphs == 1
+    assert got[3].families == [] and got[3].licence == "unknown"

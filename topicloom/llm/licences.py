@@ -8,8 +8,11 @@ sample of documents (``SAMPLE``), and the statements' words in other orders, as
 variations that were kept aside calibrates the probabilities. A predicted family is confirmed if a line holds at
 least ``SAME`` of the five-word shingles of one of the family's statements (of a shorter one, all its words in order).
 
-Defined results: a null or empty text is unknown with no paragraphs. Of several licences in a document, a confirmed
-one goes first, then the more probable, then the name. Rows that repeat a doc_id are judged each. An empty table gives no
+All families found in a document are returned, with the number of their paragraphs and the first of these, counted from 1; a
+paragraph counts for its most probable family and for any other of which a whole statement stands there. The main licence is the first of them.
+
+Defined results: a null or empty text is unknown with no paragraphs and no families. Of several licences in a document, a
+confirmed one goes first, then the more probable, then the name. Rows that repeat a doc_id are judged each. An empty table gives no
 rows, and a model trained on statements alone. Further columns are ignored. Lines of any length are judged whole.
 """
 
@@ -84,7 +87,8 @@ FAMILIES = [*STATEMENTS, UNKNOWN]
 SAMPLE, LINES = 500, 8
 VARIATIONS, ASIDE, EPOCHS, BATCH, RATE, DECAY, SEED = 40, 10, 30, 64, 8.0, 1e-5, 23
 NGRAM, SHINGLE, SAME, SURE = 3, 5, 0.8, 0.5
-FOUND = "struct<licence:string,probability:double,confirmed:boolean,n_paragraphs:long>"
+FAMILY = "struct<licence:string,probability:double,confirmed:boolean,n_paragraphs:long,first_paragraph:long>"
+FOUND = f"struct<licence:string,probability:double,confirmed:boolean,n_paragraphs:long,families:array<{FAMILY}>>"
 
 #: As ``WORD_BYTES``, with line feeds kept.
 LINE_BYTES = bytes(10 if b == 10 else c for b, c in enumerate(WORD_BYTES))
@@ -168,12 +172,12 @@ class Model:
         self.temperature = float(min(losses, key=losses.get))
 
     def judge(self, text: str | None) -> dict:
-        """The document's licence."""
+        """The document's families, and the main one."""
         data = (text or "").encode("utf-8", "surrogatepass").translate(LINE_BYTES).replace(b"\n", b" \x01 ")
         listed = data.split()
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in listed], np.int64)
-        nothing = {"licence": UNKNOWN, "probability": 0.0, "confirmed": False, "n_paragraphs": 0}
+        nothing = {"licence": UNKNOWN, "probability": 0.0, "confirmed": False, "n_paragraphs": 0, "families": []}
         if not len(ids) or not ids.any():
             return nothing
         breaks = np.array([w == BREAK for w in listed]) if BREAK in listed else np.zeros(len(ids), bool)
@@ -201,18 +205,28 @@ class Model:
         sums = np.add.reduceat(self.weights[pairs[:, 1]], first, axis=0) / np.sqrt(count[lines])[:, None]
         p = _softmax((sums + self.bias) / self.temperature)
         family = p[:, :-1].argmax(1)
-        sure = np.flatnonzero(p[np.arange(len(p)), family] >= SURE)
+        # at an even chance for any family; below, one of them must be likely by itself or be confirmed
+        sure = np.flatnonzero(1 - p[:, -1] >= SURE)
         if not len(sure):
             return nothing
         starts = np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(listed) + 1]])
-        found = []
+        found: dict[str, list[tuple[bool, float, int]]] = {}
         for i in sure.tolist():
             own = listed[starts[lines[i]] : starts[lines[i] + 1] - 1]
-            name = FAMILIES[family[i]]
-            same = max(_contained(s, own) for s in self.templates[name]) >= SAME
-            found.append((not same, -float(p[i, family[i]]), name))
-        other, probability, name = min(found)
-        return {"licence": name, "probability": -probability, "confirmed": not other, "n_paragraphs": len(sure)}
+            for j, name in enumerate(FAMILIES[:-1]):
+                # versions of a licence differ by a word: a further family needs a whole statement
+                same = max(_contained(s, own) for s in self.templates[name]) >= (SAME if j == family[i] else 1)
+                if same or j == family[i] and p[i, j] >= SURE:
+                    found.setdefault(name, []).append((not same, -float(p[i, j]), int(lines[i])))
+        if not found:
+            return nothing
+        families = []
+        for other, probability, name in sorted((*min(x)[:2], name) for name, x in found.items()):
+            places = [x[2] for x in found[name]]
+            families.append({"licence": name, "probability": -probability, "confirmed": not other, "n_paragraphs": len(places), "first_paragraph": min(places) + 1})
+        paragraphs = {x[2] for places in found.values() for x in places}
+        main = {k: families[0][k] for k in ("licence", "probability", "confirmed")}
+        return main | {"n_paragraphs": len(paragraphs), "families": families}
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -237,21 +251,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def licence(text: Column, model: Model) -> Column:
-    """Struct column: licence, probability, confirmed, n_paragraphs."""
+    """Struct column: licence, probability, confirmed, n_paragraphs, families."""
     held = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf(FOUND)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = [held.value.judge(t) for t in texts]
-            yield pd.DataFrame(rows, columns=["licence", "probability", "confirmed", "n_paragraphs"])
+            yield pd.DataFrame(rows, columns=["licence", "probability", "confirmed", "n_paragraphs", "families"])
 
     return judged(text)
 
 
 def licences(docs: DataFrame) -> DataFrame:
-    """doc_id, licence, probability, confirmed, n_paragraphs of every document."""
+    """doc_id, licence, probability, confirmed, n_paragraphs, families of every document."""
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), licence(F.col("text").cast("string"), fit(docs)).alias("found")
     )
-    return found.select("doc_id", "found.licence", "found.probability", "found.confirmed", "found.n_paragraphs")
+    return found.select("doc_id", "found.licence", "found.probability", "found.confirmed", "found.n_paragraphs", "found.families")
