@@ -353,3 +353,15 @@ def test_all_licences_of_a_document_are_returned(spark):
     assert got[1].n_paragraphs == len(one) + 1 and got[1].licence == got[1].families[0].licence
     assert {f.licence for f in got[2].families if f.confirmed} == {"MIT", "Apache-2.0"} and got[2].n_paragraphs == 1
     assert got[3].families == [] and got[3].licence == "unknown"
+
+
+@pytest.mark.parametrize("width", [12, 40, 72])
+def test_wrapped_statements_are_confirmed(spark, width):
+    import textwrap
+
+    statements = [(f, s) for f, group in licences.STATEMENTS.items() for s in group]
+    texts = [f"{PLAIN[3]}\n\n{textwrap.fill(s, width, break_long_words=False)}\n\n{PLAIN[5]}" for _, s in statements]
+    got = {r.doc_id: r for r in licences.licences(docs(spark, [*texts, "All rights\n\nreserved."])).collect()}
+    for i, (name, s) in enumerate(statements, 1):
+        assert (got[i].licence, got[i].confirmed, got[i].n_paragraphs) == (name, True, 1), (s, got[i])
+    assert not got[len(texts) + 1].confirmed

@@ -8,6 +8,10 @@ sample of documents (``SAMPLE``), and the statements' words in other orders, as
 variations that were kept aside calibrates the probabilities. A predicted family is confirmed if a line holds at
 least ``SAME`` of the five-word shingles of one of the family's statements (of a shorter one, all its words in order).
 
+Statements that are wrapped over lines are looked for in blocks, the lines between blank ones, by the same share of shingles
+within a span of at most twice the statement's words. Such a span is one paragraph, confirmed, with the probability of its
+joined lines; unconfirmed families of its single lines are dropped. Of overlapping statements the one with the larger share counts.
+
 All families found in a document are returned, with the number of their paragraphs and the first of these, counted from 1; a
 paragraph counts for its most probable family and for any other of which a whole statement stands there. The main licence is the first of them.
 
@@ -110,6 +114,12 @@ class Model:
         random = np.random.default_rng(SEED)
         self.templates = {f: [words(s) for s in group] for f, group in STATEMENTS.items()}
         everything = [(f, s) for f, group in self.templates.items() for s in group]
+        self.shingles: dict[tuple, list[tuple[str, int]]] = {}
+        for f, group in self.templates.items():
+            for number, s in enumerate(group):
+                n = min(SHINGLE, len(s))
+                for part in {tuple(s[i : i + n]) for i in range(len(s) - n + 1)}:
+                    self.shingles.setdefault(part, []).append((f, number))
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, s in everything for w in s}), 1)}
         keys = np.unique(np.concatenate([self._keys(np.array([self.vocabulary[w] for w in s])) for _, s in everything]))
         self.keys = keys
@@ -171,6 +181,51 @@ class Model:
         losses = {t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(logits)), y[aside]], 1e-12)).mean() for t in np.geomspace(0.1, 4, 24)}
         self.temperature = float(min(losses, key=losses.get))
 
+    def _wrapped(self, listed: list[bytes], ids: np.ndarray, breaks: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """(first line, last line, family, probability) of statements that go over line feeds."""
+        at = np.flatnonzero(~breaks)
+        line = np.cumsum(breaks)[at]
+        new = np.flatnonzero(np.diff(line, prepend=line[0]) > 1)  # blank lines lie between
+        block = np.zeros(len(at), np.int64)
+        block[new] = 1
+        block = np.cumsum(block)
+        own = ids[at]
+        hits: dict[tuple[str, int], list[tuple[int, tuple]]] = {}
+        for n in sorted({len(x) for x in self.shingles}):
+            size = len(at) - n + 1
+            if size <= 0:
+                continue
+            inside = block[:size] == block[n - 1 :]
+            for j in range(n):
+                inside &= own[j : j + size] > 0
+            for i in np.flatnonzero(inside).tolist():
+                part = tuple(listed[k] for k in at[i : i + n].tolist())
+                for place in self.shingles.get(part, ()):
+                    hits.setdefault(place, []).append((i, part))
+        found = []
+        for (name, number), listing in hits.items():
+            statement = self.templates[name][number]
+            n = min(SHINGLE, len(statement))
+            total, low, counts = len(statement) - n + 1, 0, {}
+            for high, (i, part) in enumerate(listing):
+                counts[part] = counts.get(part, 0) + 1
+                while i + n - listing[low][0] > 2 * len(statement) or block[i] != block[listing[low][0]] or counts[listing[low][1]] > 1:
+                    counts[listing[low][1]] -= 1
+                    low += 1
+                share = sum(c > 0 for c in counts.values()) / total
+                if share >= SAME:
+                    found.append((-share, listing[low][0], i + n - 1, name))
+        taken, out = np.zeros(len(at), bool), []
+        for _, i, j, name in sorted(found):
+            if taken[i : j + 1].any():
+                continue
+            taken[i : j + 1] = True
+            if line[i] != line[j]:
+                words_of = [listed[k] for k in at[(line >= line[i]) & (line <= line[j])].tolist()]
+                p = _softmax((self._row(words_of)[None] @ self.weights + self.bias) / self.temperature)
+                out.append((int(line[i]), int(line[j]), name, float(p[0, FAMILIES.index(name)])))
+        return out
+
     def judge(self, text: str | None) -> dict:
         """The document's families, and the main one."""
         data = (text or "").encode("utf-8", "surrogatepass").translate(LINE_BYTES).replace(b"\n", b" \x01 ")
@@ -207,8 +262,6 @@ class Model:
         family = p[:, :-1].argmax(1)
         # at an even chance for any family; below, one of them must be likely by itself or be confirmed
         sure = np.flatnonzero(1 - p[:, -1] >= SURE)
-        if not len(sure):
-            return nothing
         starts = np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(listed) + 1]])
         found: dict[str, list[tuple[bool, float, int]]] = {}
         for i in sure.tolist():
@@ -218,6 +271,11 @@ class Model:
                 same = max(_contained(s, own) for s in self.templates[name]) >= (SAME if j == family[i] else 1)
                 if same or j == family[i] and p[i, j] >= SURE:
                     found.setdefault(name, []).append((not same, -float(p[i, j]), int(lines[i])))
+        for first, last, name, probability in self._wrapped(listed, ids, breaks) if breaks.any() else ():
+            for other in list(found):
+                found[other] = [x for x in found[other] if not (x[0] and first <= x[2] <= last)]
+            found.setdefault(name, []).append((False, -probability, first))
+        found = {name: x for name, x in found.items() if x}
         if not found:
             return nothing
         families = []
