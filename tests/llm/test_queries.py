@@ -22,7 +22,7 @@ def test_query_gives_what_its_sql_gives(spark, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "SimHash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing",
     ]

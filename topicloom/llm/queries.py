@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from topicloom.llm.alignment import aligned
 from topicloom.llm.common import table
+from topicloom.llm.conversations import damage, repaired
 from topicloom.llm.decontamination import decontaminate
 from topicloom.llm.licences import licences
 from topicloom.llm.neighbours import nearest
 from topicloom.llm.packing import best_fit_packing
 from topicloom.llm.quality import classify
+from topicloom.llm.retrieval_packing import retrieval_packing
 from topicloom.llm.secrets import secret_spans
 from topicloom.llm.simhash import near_duplicates
 from topicloom.llm.token_files import token_files
@@ -146,3 +149,81 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), end_id=2)
+
+
+@query("op11_retrieval_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing(table(spark, sf_dir, "documents"), capacity=2048, end_id=1)
+
+
+@query("op12_cross_tokenizer_spans")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(table(spark, sf_dir, "documents"))
+
+
+#: The alignment as a recursion over rows: of each state of the grammar the cheapest repair so far, the least audit first.
+CONVERSATION_SQL = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), summed AS (
+    SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))), 4294967295) % 20 AS kind
+    FROM keyed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+    FROM summed WHERE kind <> 0
+), placed AS (
+    SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS place,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM damaged
+), judged AS (
+    SELECT *, ending = '' AS blank, ending NOT IN ('.', '!', '?') AS cut,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS seen,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM placed
+), codes AS (
+    SELECT *, blank OR seen AS forced, CASE WHEN NOT blank AND NOT seen AND cut THEN 1 ELSE 0 END AS trunc FROM judged
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+        count(*) FILTER (seen AND NOT blank) AS duplicate, sum(trunc) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n
+    FROM codes GROUP BY conv_id
+), inserted AS (
+    SELECT * FROM (VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('u', 0, 'u'), ('u', 1, 'a'),
+        ('a', 0, 'a'), ('a', 1, 'u')) t(state, k, upto)
+), steps AS (
+    SELECT conv_id, 0 AS place, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, [] :: VARCHAR[] AS turns FROM facts
+    UNION ALL
+    SELECT conv_id, place, state, best.cost, best.audit, best.turns FROM (
+        SELECT conv_id, place, state, min({'cost': cost, 'audit': audit, 'turns': turns}) AS best FROM (
+            SELECT p.conv_id, c.place, e.edit, c.role, c.text,
+                CASE e.edit WHEN 'D' THEN i.upto WHEN 'K' THEN c.initial ELSE CASE WHEN i.upto = 'u' THEN 'a' ELSE 'u' END END AS state,
+                p.cost + 2 * i.k + CASE e.edit WHEN 'D' THEN 3 WHEN 'K' THEN c.trunc ELSE 2 + c.trunc END AS cost,
+                p.audit || repeat('I', i.k) || e.edit AS audit,
+                list_concat(list_concat(p.turns, list_slice(CASE WHEN p.state = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END, 1, i.k)),
+                    CASE e.edit WHEN 'D' THEN [] :: VARCHAR[] WHEN 'K' THEN [c.role || ':' || c.text]
+                    ELSE [CASE WHEN i.upto = 'u' THEN 'assistant:' ELSE 'user:' END || c.text] END) AS turns
+            FROM steps p JOIN inserted i ON i.state = p.state JOIN codes c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.place = p.place + 1
+                JOIN (VALUES ('D'), ('K'), ('R')) e(edit) ON e.edit = 'D' OR NOT c.forced AND (e.edit = 'R'
+                    OR i.upto || c.initial IN ('s', 'u', 'su', 'ua', 'au'))
+        ) t GROUP BY conv_id, place, state
+    ) t
+), ended AS (
+    SELECT f.conv_id, min({'cost': cost + CASE state WHEN 'u' THEN 2 WHEN 's' THEN 4 ELSE 0 END,
+        'audit': audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END,
+        'turns': list_concat(turns, CASE state WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] :: VARCHAR[] END)}) AS best
+    FROM facts f JOIN steps p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.place = f.n GROUP BY f.conv_id
+), ids AS (
+    SELECT DISTINCT conv_id FROM conversations
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+    coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+FROM ids i LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+@query("op13_turn_alignment", CONVERSATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damage(table(spark, sf_dir, "conversations")))
