@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import spans_of, stage
 from topicloom.llm.tokens import _gather
 
-#: Segments that a worker remembers; beyond that it closes its block and forgets them. Bounds memory, not results.
+#: Segments that a worker remembers; beyond that it closes its block and forgets all but the most frequent. Bounds
+#: memory, not results.
 SEGMENTS = 300_000
 #: Numbers of segments listed for the documents of one block, at most one document more.
 ENTRIES = 4_000_000
@@ -69,6 +71,7 @@ class _Bytes:
         self.sizes = np.array([len(e) for e in entries], np.int64)
         self.starts = spans_of(self.sizes)[:-1]
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
+        self.names = np.array([str(i) for i in range(len(entries))], object)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         return _gather(self.flat, self.starts, self.sizes, ids)
@@ -135,6 +138,15 @@ class Aligner:
         self.links = np.empty(0, np.int64)  # numbers of pairs, link by link
         self.pair_no: dict[int, int] = {}
 
+    def forget(self, keep: np.ndarray) -> None:
+        """Forget all segments but these."""
+        n_links = self.sums[3]
+        links = _gather(self.links, np.cumsum(n_links) - n_links, n_links, keep)
+        held, self.links = np.unique(links, return_inverse=True)
+        values = np.fromiter(self.pair_no, np.int64, len(self.pair_no))[held]
+        self.pair_no = {p: i for i, p in enumerate(values.tolist())}
+        self.words, self.groups, self.sums = self.words.take(pa.array(keep)), self.groups.take(pa.array(keep)), self.sums[:, keep]
+
     def segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(segments of a space and each text, number of segments of each)."""
         texts = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
@@ -162,38 +174,40 @@ class Aligner:
     def _learn(self, words: pa.Array) -> None:
         sums, groups, pairs = self.align(words.to_pylist())
         no = self.pair_no
-        self.links = np.concatenate([self.links, np.array([no.setdefault(p, len(no)) for p in pairs.tolist()], np.int64)])
+        distinct, which = np.unique(pairs, return_inverse=True)
+        numbers = np.array([no.setdefault(p, len(no)) for p in distinct.tolist()], np.int64)
+        self.links = np.concatenate([self.links, numbers[which]])
         self.sums = np.concatenate([self.sums, sums], 1)
         self.groups = pa.concat_arrays([self.groups, pa.array(groups, pa.binary())])
 
-    def _tokens_a(self, segments: list[str], chars: np.ndarray, at: np.ndarray):
+    def _tokens_a(self, segments: list[str], chars: np.ndarray):
         """(ids, numbers of ids, begins, ends): places in bytes, from character offsets."""
-        ids, counts, spans, base = [], [], [], 0
-        for text, found in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), strict=True):
-            ids += found.ids
-            counts.append(len(found.ids))
-            spans += [(base + x, base + y) for x, y in found.offsets]
-            base += len(text)
-        span = chars[np.array(spans, np.int64).reshape(-1, 2)]
-        return np.array(ids, np.int64), np.array(counts, np.int64), span[:, 0], span[:, 1]
+        found = self.a.encode_batch(segments, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        base = np.repeat(spans_of(np.fromiter(map(len, segments), np.int64, len(segments)))[:-1], counts)
+        flat = chain.from_iterable(chain.from_iterable(e.offsets for e in found))
+        span = np.fromiter(flat, np.int64, 2 * len(base)).reshape(-1, 2) + base[:, None]
+        return np.fromiter(chain.from_iterable(ids), np.int64, len(base)), counts, chars[span[:, 0]], chars[span[:, 1]]
 
     def _tokens_b(self, segments: list[str], at: np.ndarray):
         """The same from the spans in B's proto. B adds a space; a segment that has none in front gets a line feed, which
         joins with nothing, and the tokens of both are left out."""
-        ids, counts, spans = [], [], []
         owned = [len(s) > 1 and s[0] == " " for s in segments]  # B gives nothing for an empty text
         asked = [s[1:] if own else "\n" + s for s, own in zip(segments, owned, strict=True)]
-        for own, start, found in zip(owned, at[:-1].tolist(), self.b.encode(asked, return_type="proto", num_threads=1), strict=True):
-            pieces = found.pieces if own else found.pieces[2:]
-            base = start + 1 if own else start - 1
-            ids += [p.id for p in pieces]
-            counts.append(len(pieces))
-            first = len(spans)
-            spans += [(base + p.begin, base + p.end) for p in pieces]
-            if own and len(spans) > first:
-                spans[first] = (start, spans[first][1])
-        span = np.array(spans, np.int64).reshape(-1, 2)
-        return np.array(ids, np.int64), np.array(counts, np.int64), span[:, 0], span[:, 1]
+        found = [p.pieces for p in self.b.encode(asked, return_type="proto", num_threads=1)]
+        pieces = list(chain.from_iterable(found))
+        n = len(pieces)
+        ids = np.fromiter([p.id for p in pieces], np.int64, n)
+        span = np.stack([np.fromiter([p.begin for p in pieces], np.int64, n), np.fromiter([p.end for p in pieces], np.int64, n)], 1)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        own = np.array(owned, bool)
+        span += np.repeat(at[:-1] + np.where(own, 1, -1), counts)[:, None]
+        first = np.cumsum(counts) - counts
+        span[first[own], 0] = at[:-1][own]
+        kept = np.ones(n, bool)
+        kept[first[~own]] = kept[first[~own] + 1] = False
+        return ids[kept], counts - 2 * ~own, span[kept, 0], span[kept, 1]
 
     @staticmethod
     def _ends(table: _Bytes, ids, counts, begins, ends, at, data) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +238,7 @@ class Aligner:
         data = np.frombuffer("".join(segments).encode(), np.uint8)
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         at = chars[spans_of(np.array([len(s) for s in segments]))]
-        ids_a, n_a, begin_a, end_a = self._tokens_a(segments, chars, at)
+        ids_a, n_a, begin_a, end_a = self._tokens_a(segments, chars)
         ids_b, n_b, begin_b, end_b = self._tokens_b(segments, at)
         end_a, whole_a = self._ends(self.bytes_a, ids_a, n_a, begin_a, end_a, at, data)
         end_b, whole_b = self._ends(self.bytes_b, ids_b, n_b, begin_b, end_b, at, data)
@@ -237,7 +251,7 @@ class Aligner:
         per = lambda ends: np.diff(np.searchsorted(ends, at, "right"))
         n_groups = per(cuts)
         sums = np.stack([n_a * whole, n_b * whole, n_groups, per(links), whole])
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        names_a, names_b = self.bytes_a.names[ids_a].tolist(), self.bytes_b.names[ids_b].tolist()
         group_a, group_b = (np.searchsorted(e, cuts, "right").tolist() for e in (end_a, end_b))
         texts, x, y = [], 0, 0
         for p, q in zip(group_a, group_b, strict=True):
@@ -258,7 +272,7 @@ class _Block:
 
     def __init__(self, one: Aligner, no: int):
         self.one, self.no, self.entries = one, no, 0
-        self.used = np.zeros(0, bool)
+        self.used = np.zeros(0, np.int64)  # documents that hold a segment
         self.docs = np.zeros(0, np.int64)
 
     def add(self, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -295,7 +309,7 @@ class _Block:
         n_links = one.sums[3]
         self.used = np.pad(self.used, (0, len(one.words) - len(self.used)))
         self.docs = np.pad(self.docs, (0, len(one.pair_no) - len(self.docs)))
-        self.used[seg] = True
+        self.used += np.bincount(seg, minlength=len(self.used))
         starts = np.cumsum(n_links) - n_links
         step = 1 << 20
         first = 0
@@ -307,6 +321,11 @@ class _Block:
             self.docs += np.bincount(held, minlength=len(self.docs))
             first = last
 
+    def frequent(self, most: int) -> np.ndarray:
+        """Segments that more than one document of the block holds, the most frequent ones."""
+        first = np.argsort(-self.used, kind="stable")[:most]
+        return np.sort(first[self.used[first] > 1])
+
     def close(self) -> pa.RecordBatch:
         """The block's own row: its segments, their links, and its pairs in ascending order with their documents."""
         one = self.one
@@ -341,7 +360,7 @@ def blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 if len(one.words) > SEGMENTS or block.entries > ENTRIES:
                     yield block.close()
                     if len(one.words) > SEGMENTS:
-                        one.clear()
+                        one.forget(block.frequent(SEGMENTS // 2))
                     block = _Block(one, no := no + 1)
                 done = sizes[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, "right")))
