@@ -53,6 +53,49 @@ def usage_summary(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     )
 
 
+#: Mergeable sums of API calls.
+USAGE_SUMS = ["total_calls", "timed_calls", "sum_ms", "total_records", "error_count"]
+
+
+def usage_sums() -> list[Column]:
+    return [
+        F.count("*").alias("total_calls"),
+        F.count("response_ms").alias("timed_calls"),
+        F.sum("response_ms").alias("sum_ms"),
+        F.sum("record_count").alias("total_records"),
+        F.count_if(F.col("status_code") >= 400).alias("error_count"),
+    ]
+
+
+def usage_panes(log: DataFrame) -> DataFrame:
+    """Usage sums per source and day, each call counted once."""
+    return log.groupBy(F.date_trunc("day", "logged_at").alias("pane_start"), "source").agg(*usage_sums())
+
+
+def _merged_usage(panes: DataFrame, *keys: str) -> DataFrame:
+    """One row per key out of panes' sums."""
+    sums = panes.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in USAGE_SUMS])
+    mean = F.round(F.coalesce(F.col("sum_ms") / F.nullif("timed_calls", F.lit(0)), F.lit(0.0)), 1)
+    return sums.select(*keys, "total_calls", mean.alias("avg_response_ms"), "total_records", "error_count")
+
+
+def rolling_usage(panes: DataFrame, days: int = 7) -> DataFrame:
+    """Usage per source over windows of ``days`` daily panes, one window a day. A pane, not a call, is in ``days`` windows."""
+    starts = F.sequence(F.col("pane_start") - F.expr(f"INTERVAL {days - 1} DAYS"), F.col("pane_start"), F.expr("INTERVAL 1 DAY"))
+    rows = panes.withColumn("window_start", F.explode(starts))
+    merged = _merged_usage(rows, "window_start", "source")
+    return merged.withColumn("window_end", F.col("window_start") + F.expr(f"INTERVAL {days} DAYS"))
+
+
+def usage_from_panes(panes: DataFrame, log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """``usage_summary`` out of stored panes: of the log only the part of a day is read with which the window begins."""
+    start = as_of - F.expr(f"INTERVAL {days} DAYS")
+    whole = F.date_trunc("day", start) + F.when(start == F.date_trunc("day", start), F.expr("INTERVAL 0 DAYS")).otherwise(F.expr("INTERVAL 1 DAY"))
+    edge = log.where((F.col("logged_at") >= start) & (F.col("logged_at") < whole))
+    held = panes.where(F.col("pane_start") >= whole).unionByName(usage_panes(edge))
+    return _merged_usage(held, "source").orderBy(*usage_order())
+
+
 def topic_totals(runs: DataFrame) -> DataFrame:
     """Mergeable state per topic: runs, summed elapsed time, last run."""
     return runs.groupBy("topic").agg(

@@ -29,13 +29,8 @@ def deduplicate(records: DataFrame, hash_of: list[str], arrival: str, within: li
     return first_per_group(hashed, [*(within or []), "content_hash"], [F.col(arrival)])
 
 
-def validate_posts(records: DataFrame, arrival: str, as_of: Column | None = None,
-                   within: list[str] | None = None) -> DataFrame:
-    """Trimmed, usable, distinct (content and url) posts with a baseline engagement score.
-
-    A null ``collected_at`` takes ``as_of`` when given. Posts are distinct overall, or
-    ``within`` groups.
-    """
+def usable_posts(records: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Trimmed, usable posts with a baseline engagement score. A null ``collected_at`` takes ``as_of`` when given."""
     total = total_engagement(F.col("likes"), F.col("comments"), F.col("shares"))
     current = F.col("engagement_score") if "engagement_score" in records.columns else F.lit(0.0)
     usable = (
@@ -47,4 +42,10 @@ def validate_posts(records: DataFrame, arrival: str, as_of: Column | None = None
     )
     if as_of is not None:
         usable = usable.withColumn("collected_at", F.coalesce("collected_at", as_of))
-    return deduplicate(usable, ["content", "url"], arrival, within)
+    return usable
+
+
+def validate_posts(records: DataFrame, arrival: str, as_of: Column | None = None,
+                   within: list[str] | None = None) -> DataFrame:
+    """Usable, distinct (content and url) posts, overall or ``within`` groups."""
+    return deduplicate(usable_posts(records, as_of), ["content", "url"], arrival, within)

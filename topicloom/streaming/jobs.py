@@ -7,12 +7,17 @@ executor or driver leaves the same rows.
 
 from __future__ import annotations
 
+import datetime as dt
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from topicloom.functions.text import content_hash
 from topicloom.operators import history, reports
-from topicloom.operators.validation import validate_posts
+from topicloom.operators.validation import usable_posts
 
 
 def _write(df: DataFrame, name: str, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -46,88 +51,125 @@ def _write_batches(df: DataFrame, name: str, path: str, checkpoint: str, mode: s
 # ---- posts ---------------------------------------------------------------------
 
 
-def distinct_batch(batch: DataFrame, stored: DataFrame | None, delay: str = "1 day", arrival: str = "post_id") -> DataFrame:
-    """The posts of one batch as ``validate_posts`` gives them: the earliest of each content and url, unless
-    it is ``stored`` since ``delay`` before the batch's first post."""
-    first = F.struct("collected_at", arrival)
-    posts = validate_posts(batch.withColumn("_first", first), "_first").drop("_first")
-    if stored is None:
-        return posts
-    since = batch.agg(F.min("collected_at")).first()[0]
-    recent = stored.where(F.col("collected_at") >= F.lit(since) - F.expr(f"INTERVAL {delay}"))
-    return posts.join(recent.select("content_hash"), "content_hash", "left_anti")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _millis(at: dt.datetime) -> int:
+    return int(at.timestamp() * 1000)
+
+
+class FirstOfContent(StatefulProcessor):
+    """Emits the first post of a content hash: the earliest of the batch in which the hash is new. The hash is forgotten
+    by a timer, when the watermark has passed its post by ``delay``."""
+
+    def __init__(self, delay: str, order: list[str]):
+        self.delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "millis long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = self.seen.get()
+        # timers go off after a batch's rows, so what they are about to forget doesn't count
+        if held is not None and held[0] + self.delay_ms >= mark:
+            return
+        timely = (r for r in rows if _millis(r["collected_at"]) >= mark)
+        first = min(timely, key=lambda r: tuple(r[c] for c in self.order), default=None)
+        if first is None:
+            return
+        if held is not None:
+            self.handle.deleteTimer(held[0] + self.delay_ms)
+        at = _millis(first["collected_at"])
+        self.seen.update((at,))
+        self.handle.registerTimer(at + self.delay_ms)
+        yield first
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.seen.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession):
+    """Timers need the RocksDB state store; a query takes the setting it finds when it starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def distinct_posts(arriving: DataFrame, delay: str = "1 day", arrival: str = "post_id") -> DataFrame:
+    """Usable posts, the first of each content and url, from a stream of posts.
+
+    What has been seen is kept by content hash in the state store, not read back from the output: a copy is
+    dropped while its hash is kept, i.e. until the watermark, ``delay`` behind the newest post, passes the first post by
+    ``delay``. Of copies in one batch the earliest stays; a copy that arrives in a later batch is dropped though it may
+    be older. Rows behind the watermark and rows without a time are dropped.
+    """
+    posts = usable_posts(arriving.where(F.col("collected_at").isNotNull())).withColumn("content_hash", content_hash(F.col("content"), F.col("url")))
+    return (
+        posts.withWatermark("collected_at", delay)
+        .groupBy("content_hash")
+        .transformWithState(FirstOfContent(delay, ["collected_at", arrival]), posts.schema, "Append", "EventTime")
+    )
 
 
 def run_posts(arriving: DataFrame, path: str, checkpoint: str, delay: str = "1 day", arrival: str = "post_id") -> StreamingQuery:
-    """Each batch's new posts in a folder of its own. A batch that runs again sees the batches before it only."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id) if batch_id else None
-        new = distinct_batch(batch, stored, delay, arrival)
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        arriving.writeStream.foreachBatch(save)
-        .queryName("distinct-posts")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """The file sink commits whole batches, so one that runs again leaves its rows once."""
+    with _keyed_state(arriving.sparkSession):
+        return _write(distinct_posts(arriving, delay, arrival), "distinct-posts", path, checkpoint)
 
 
 # ---- API usage -------------------------------------------------------------------
 
 
-def rolling_usage(log: DataFrame, delay: str = "1 day", width: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """Usage per source over sliding windows; sums stay mergeable."""
+def usage_panes(log: DataFrame, delay: str = "1 day", width: str = "1 day") -> DataFrame:
+    """Usage per source and pane; every call is counted once. Sums stay mergeable."""
     return (
         log.withWatermark("logged_at", delay)
-        .groupBy(F.window("logged_at", width, slide).alias("w"), "source")
-        .agg(
-            F.count("*").alias("total_calls"),
-            F.sum("response_ms").alias("sum_ms"),
-            F.sum("record_count").alias("total_records"),
-            F.count_if(F.col("status_code") >= 400).alias("error_count"),
-        )
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "source",
-                "total_calls", "sum_ms", "total_records", "error_count")
+        .groupBy(F.window("logged_at", width).alias("pane"), "source")
+        .agg(*history.usage_sums())
+        .select(F.col("pane.start").alias("pane_start"), "source", *history.USAGE_SUMS)
     )
 
 
 def run_usage(log: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    return _write_batches(rolling_usage(log, delay), "rolling-usage", path, checkpoint, "update")
+    return _write_batches(usage_panes(log, delay), "usage-panes", path, checkpoint, "update")
 
 
-def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of each window: an updated window appears once per batch."""
+def read_usage(spark: SparkSession, path: str, panes: int = 7) -> DataFrame:
+    """Usage over sliding windows of ``panes`` daily panes, merged when read. An updated pane appears once per batch; its
+    newest version counts."""
     rows = spark.read.parquet(path)
-    values = ["total_calls", "sum_ms", "total_records", "error_count"]
-    return rows.groupBy("window_start", "window_end", "source").agg(
-        *[F.max_by(v, "batch_id").alias(v) for v in values]
-    ).withColumn("avg_response_ms", F.round(F.col("sum_ms") / F.col("total_calls"), 1)).drop("sum_ms")
+    newest = rows.groupBy("pane_start", "source").agg(F.max_by(F.struct(*history.USAGE_SUMS), "batch_id").alias("sums"))
+    return history.rolling_usage(newest.select("pane_start", "source", "sums.*"), panes)
 
 
 # ---- topic history ------------------------------------------------------------------
 
 
 def run_history(runs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch adds its own totals per topic; reading merges them."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        history.topic_totals(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        runs.writeStream.foreachBatch(save)
-        .queryName("topic-history")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Totals per topic live in the state store; each batch writes those of its topics."""
+    return _write_batches(history.topic_totals(runs), "topic-history", path, checkpoint, "update")
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return history.topic_history(history.merge_totals(spark.read.parquet(path).drop("batch_id")))
+    """The newest totals of each topic."""
+    rows = spark.read.parquet(path)
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "batch_id"]), "batch_id")
+    return history.topic_history(rows.groupBy("topic").agg(newest.alias("totals")).select("totals.*"))
 
 
 # ---- alerts ---------------------------------------------------------------------------
