@@ -117,3 +117,28 @@ def test_gate_spares_linkedin_with_interactions(spark):
     ).select("*", F.lit(0).alias("comments"), F.lit(0).alias("shares"))
     kept = [(r.source, r.engagement_score) for r in df.where(engagement.passes_gate()).collect()]
     assert kept == [("linkedin", 0.0), ("mock", 5.0)]
+
+
+def test_automaton_counts_like_one_term_at_a_time():
+    from topicloom.functions.patterns import Automaton
+
+    rng = random.Random(9)
+    listed = ["aa", "a", "aab", "a-", "a a", "ab-a", "b", "a-a", "aa", "", "é", "-a", "ba b", "a_"]
+    one = Automaton(listed)
+    for _ in range(3000):
+        text = "".join(rng.choice("aab- é_") for _ in range(rng.randrange(30)))
+        assert one.occurrences(text) == [text.count(t) if t else 0 for t in listed]
+        boundary = {t: r"(?=\w)" if t.endswith("-") else r"(?!\w)" for t in listed}
+        assert one.whole_words(text) == [len(re.findall(rf"(?<!\w){re.escape(t)}{boundary[t]}", text)) if t else 0 for t in listed]
+        tokens = text.replace("-", " ").split()
+        pairs = Counter(tokens + [f"{x} {y}" for x, y in zip(tokens, tokens[1:])])
+        assert one.token_counts(tokens) == {i: pairs[t] for i, t in enumerate(listed) if t and pairs[t] and listed.index(t) == i}
+
+
+def test_keyword_counts_in_one_pass(spark):
+    rows = [("Solar solar-panel aaaa", ["solar", "panel", "aa", "solar"]), (None, ["x"]), ("text", []), ("", ["x"])]
+    df = spark.createDataFrame(rows, "text string, terms array<string>")
+    from topicloom.functions.patterns import occurrence_counts
+
+    got = [r.c for r in df.select(occurrence_counts(F.lower("text"), F.col("terms")).alias("c")).collect()]
+    assert got == [[2, 1, 2, 2], None, [], [0]]

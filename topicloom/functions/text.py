@@ -102,18 +102,3 @@ def signed_percent(value: Column) -> Column:
 
 def decimal_text(value: Column, places: int = 2) -> Column:
     return F.format_string(f"%.{places}f", F.round(value, places))
-
-
-def occurrences(haystack: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of ``needle``. Byte lengths are known without a scan."""
-    rest = F.replace(haystack, needle, F.lit(""))
-    counted = (F.octet_length(haystack) - F.octet_length(rest)) / F.octet_length(needle)
-    return F.when(F.contains(haystack, needle), counted.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-
-
-def whole_word_count(text: Column, term: Column) -> Column:
-    """Occurrences of ``term`` between word boundaries in already lower-cased text."""
-    # After a closing hyphen the boundary is the start of the next word.
-    end = F.when(F.endswith(term, F.lit("-")), rf"\E(?={WORD})").otherwise(rf"\E(?!{WORD})")
-    pattern = F.concat(F.lit(rf"(?<!{WORD})\Q"), term, end)
-    return F.when(F.contains(text, term), F.regexp_count(text, pattern)).otherwise(F.lit(0))

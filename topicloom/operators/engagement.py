@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.scoring import ENGAGEMENT_GATE, source_type, source_weight, total_engagement
-from topicloom.functions.text import counted_words, let, occurrences
+from topicloom.functions.patterns import occurrence_counts
+from topicloom.functions.text import counted_words, let
 from topicloom.operators.ranking import ordered_list
 from topicloom.session import stage
 
@@ -27,22 +28,10 @@ def keyword_lists(keywords: DataFrame) -> DataFrame:
 
 
 def keyword_hits(text: Column, items: Column) -> Column:
-    """Keywords found in a text, as (keyword, score, important, hits); substrings count."""
-    return let(
-        F.lower(text),
-        lambda low: F.filter(
-            F.transform(
-                items,
-                lambda k: F.struct(
-                    k["keyword"].alias("keyword"),
-                    k["score"].alias("score"),
-                    k["important"].alias("important"),
-                    occurrences(low, k["keyword"]).alias("hits"),
-                ),
-            ),
-            lambda h: h["hits"] > 0,
-        ),
-    )
+    """Keywords found in a text, as (keyword, score, important, hits); substrings count. One pass over the text."""
+    counts = occurrence_counts(F.lower(text), F.transform(items, lambda k: k["keyword"]))
+    hits = F.zip_with(items, counts, lambda k, n: F.struct(k["keyword"], k["score"], k["important"], n.alias("hits")))
+    return F.filter(hits, lambda h: h["hits"] > 0)
 
 
 def text_engagement(text: Column, items: Column) -> Column:
@@ -57,12 +46,9 @@ def text_engagement(text: Column, items: Column) -> Column:
         important_part = F.least(important / F.greatest(important_total, F.lit(1)), F.lit(1.0))
         return 100.0 * (0.5 * length_part + 0.3 * density_part + 0.2 * important_part)
 
-    return let(
-        F.size(counted_words(text)),
-        lambda words: F.when(words == 0, F.lit(0.0)).otherwise(
-            let(keyword_hits(text, items), lambda hits: combine(words, hits))
-        ),
-    )
+    # the counts come from Python, which a lambda's body can't call
+    found = F.struct(F.size(counted_words(text)).alias("words"), keyword_hits(text, items).alias("hits"))
+    return let(found, lambda f: F.when(f["words"] == 0, F.lit(0.0)).otherwise(combine(f["words"], f["hits"])))
 
 
 def raw_scores(posts: DataFrame, keywords: DataFrame) -> DataFrame:

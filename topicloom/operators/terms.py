@@ -2,8 +2,8 @@
 
 Texts are cut in narrow passes. The vocabulary, at most ``max_terms`` rows per topic, is
 staged, so Catalyst knows its size and decides between broadcasting it and shuffling.
-Counts of vocabulary terms are shuffled once, by document, and kept as one row per
-document; weights and document keywords are then arithmetic inside that row.
+Counts of all vocabulary terms come from one pass over a document, whose row stays one
+row; weights and document keywords are then arithmetic inside that row.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.labels import is_low_signal
-from topicloom.functions.text import TERM_PATTERN, WORD, let, whole_word_count
+from topicloom.functions.patterns import term_counts
+from topicloom.functions.text import TERM_PATTERN, let
 from topicloom.functions.wordlists import sql_list
 from topicloom.functions.wordlists import stop_words as default_stop_words
 from topicloom.operators.ranking import top_per_group
@@ -27,9 +28,6 @@ DOC_KEYWORDS = 8
 # cannot swap two equal terms.
 RANK_PLACES = 10
 
-# A word run, with one trailing space exactly when a single space leads to the next run.
-RUN_PATTERN = rf"{WORD}+(?: (?={WORD}))?"
-PLAIN_TERM = r"^[a-z0-9]+( [a-z0-9]+)?$"
 
 
 def _pairs(words: Column) -> Column:
@@ -37,29 +35,15 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, rest), F.slice(words, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def document_terms(text: str = "content", stop_words: Sequence[str] | None = None) -> Column:
-    """All unigrams and bigrams of a text column; stop words go before pairs are formed."""
+def document_tokens(text: str = "content", stop_words: Sequence[str] | None = None) -> Column:
+    """The tokens of a text column without stop words."""
     stops = sql_list(stop_words or default_stop_words())
-    kept = F.expr(f"filter(regexp_extract_all(lower({text}), r'{TERM_PATTERN}', 0), t -> t NOT IN ({stops}))")
-    return let(kept, lambda ts: F.concat(ts, _pairs(ts)))
-
-
-def literal_terms(text: str = "content") -> Column:
-    """Every plain word run of three or more characters, and every pair of runs with
-    exactly one space between them, as they stand in the text column."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(RUN_PATTERN), F.lit(0))
-
-    def cut(rs: Column) -> Column:
-        rest = F.greatest(F.size(rs) - 1, F.lit(0))
-        singles = F.filter(F.transform(rs, lambda r: F.rtrim(r)), lambda r: F.length(r) >= 3)
-        pairs = F.zip_with(
-            F.slice(rs, 1, rest),
-            F.slice(rs, 2, rest),
-            lambda a, b: F.when(F.endswith(a, F.lit(" ")), F.concat(a, F.rtrim(b))),
-        )
-        return F.concat(singles, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.expr(f"filter(regexp_extract_all(lower({text}), r'{TERM_PATTERN}', 0), t -> t NOT IN ({stops}))")
+
 
-    return let(runs, cut)
+def document_terms(text: str = "content", stop_words: Sequence[str] | None = None) -> Column:
+    """All unigrams and bigrams of a text column; stop words go before pairs are formed."""
+    return let(document_tokens(text, stop_words), lambda ts: F.concat(ts, _pairs(ts)))
 
 
 def vocabulary(posts: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequence[str] | None = None) -> DataFrame:
@@ -74,57 +58,19 @@ def vocabulary(posts: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequenc
     return best.select("topic", "term", "total", (F.col("rank") - 1).alias("idx"))
 
 
-def _is_irregular(term: Column) -> Column:
-    """Hyphenated, or a word paired with itself: counted in the text directly."""
-    words = F.split(term, " ")
-    return ~term.rlike(PLAIN_TERM) | ((F.size(words) == 2) & (F.get(words, 0) == F.get(words, 1)))
-
-
 def document_counts(posts: DataFrame, vocab: DataFrame, key: str = "post_id",
                     stop_words: Sequence[str] | None = None) -> DataFrame:
     """(topic, key, items): per document the vectoriser count ``tf`` and the whole-word
     ``literal`` count of each vocabulary term, as ARRAY<STRUCT<idx, tf, literal>>.
 
-    One pass over the texts gives both counts for plain terms. The few irregular terms
-    of a topic travel as one array per topic and are counted inside the row. The one
-    shuffle is by document, so both groupings after it stay in place.
+    A topic's vocabulary, at most ``max_terms`` terms, travels as one array. Both counts of
+    all its terms come from one pass over the text, in the row: nothing is exploded, and
+    texts are shuffled only where the vocabularies are too large to be broadcast.
     """
-    wanted = vocab.select("topic", "term", "idx", _is_irregular(F.col("term")).alias("irregular"))
-    tagged = F.concat(
-        F.transform(document_terms("content", stop_words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"))),
-        F.transform(literal_terms("content"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"))),
-    )
-    plain = (
-        posts.select("topic", key, F.inline(tagged))
-        .join(wanted, ["topic", "term"])
-        .where((F.col("tf") == 1) | ~F.col("irregular"))
-        .select("topic", key, "idx", "tf", (1 - F.col("tf")).alias("literal"))
-    )
-    listed = wanted.where("irregular").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("idx", "term"))).alias("terms"))
-    counted = F.filter(
-        let(
-            F.lower("content"),
-            lambda low: F.transform(
-                F.col("terms"),
-                lambda t: F.struct(t["idx"].alias("idx"), whole_word_count(low, t["term"]).alias("literal")),
-            ),
-        ),
-        lambda c: c["literal"] > 0,
-    )
-    irregular = (
-        posts.select("topic", key, "content")
-        .join(listed, "topic")
-        .select("topic", key, F.inline(counted))
-        .select("topic", key, "idx", F.lit(0).alias("tf"), "literal")
-    )
-    return (
-        plain.unionByName(irregular)
-        .repartition("topic", key)
-        .groupBy("topic", key, "idx")
-        .agg(F.sum("tf").cast("int").alias("tf"), F.sum("literal").cast("int").alias("literal"))
-        .groupBy("topic", key)
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "tf", "literal"))).alias("items"))
-    )
+    listed = vocab.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("idx", "term"))).alias("terms"))
+    items = term_counts(F.lower("content"), document_tokens("content", stop_words), F.transform("terms", lambda t: t["term"]))
+    rows = posts.select("topic", key, "content").join(listed, "topic").select("topic", key, items.alias("items"))
+    return rows.where(F.size("items") > 0)
 
 
 def term_statistics(documents: DataFrame, vocab: DataFrame, sizes: DataFrame) -> DataFrame:
