@@ -27,10 +27,21 @@ def test_consistency_equals_all_pairs(spark, seed):
         assert abs(got[t] - (sum(pairs) / len(pairs) if pairs else 0.0)) < 1e-12
 
 
-def test_large_sets_are_refused(spark):
-    df = spark.createDataFrame([("x", [str(i) for i in range(13)])] * 2, "topic string, keywords array<string>")
-    with pytest.raises(Exception, match="keyword set larger"):
-        similarity.consistency(df).collect()
+@pytest.mark.parametrize("block", [512, 7])
+def test_consistency_of_sets_of_any_size(spark, block, monkeypatch):
+    """Small and large sets, copies of both, one keyword in nearly all sets."""
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rng = random.Random(block)
+    names = [f"k{i:02d}" for i in range(60)]
+    sets = {t: [frozenset(rng.sample(names, rng.choice([1, 3, 8, 9, 13, 30])) + ["k00"] * (rng.random() < 0.8)) for _ in range(50)] for t in "xy"}
+    sets["x"] += [sets["x"][0]] * 9 + [frozenset(names[:30])] * 5
+    sets["w"] = [frozenset(names[:30])] * 2
+    sets["v"] = [frozenset(names[:3])] * 2
+    df = spark.createDataFrame([(t, sorted(s)) for t, ss in sets.items() for s in ss], "topic string, keywords array<string>")
+    got = {r.topic: r.consistency for r in similarity.consistency(df).collect()}
+    for t, ss in sets.items():
+        pairs = [jaccard(a, b) for a, b in itertools.combinations(ss, 2)]
+        assert abs(got[t] - sum(pairs) / len(pairs)) < 1e-12
 
 
 def run_frame(spark, rows):

@@ -41,36 +41,45 @@ def document_tokens(text: str = "content", stop_words: Sequence[str] | None = No
     return F.expr(f"filter(regexp_extract_all(lower({text}), r'{TERM_PATTERN}', 0), t -> t NOT IN ({stops}))")
 
 
-def document_terms(text: str = "content", stop_words: Sequence[str] | None = None) -> Column:
-    """All unigrams and bigrams of a text column; stop words go before pairs are formed."""
-    return let(document_tokens(text, stop_words), lambda ts: F.concat(ts, _pairs(ts)))
+def tokenized(posts: DataFrame, key: str = "post_id", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """(topic, key, low, tokens): the lower-cased text and its tokens, from which all counts of terms come."""
+    return posts.select("topic", key, F.lower("content").alias("low"), document_tokens("content", stop_words).alias("tokens"))
+
+
+def vocabulary_of(tokens: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
+    """``vocabulary`` from tokens. Pairs are formed in the row."""
+    terms = let(F.col("tokens"), lambda ts: F.concat(ts, _pairs(ts)))
+    # the inner form would first test the array, i.e. build it twice
+    rows = tokens.select("topic", F.explode_outer(terms).alias("term")).where("term IS NOT NULL")
+    counts = rows.groupBy("topic", "term").agg(F.count("*").alias("total"))
+    best = top_per_group(counts, ["topic"], [F.desc("total"), F.asc("term")], max_terms)
+    return best.select("topic", "term", "total", (F.col("rank") - 1).alias("idx"))
 
 
 def vocabulary(posts: DataFrame, max_terms: int = MAX_TERMS, stop_words: Sequence[str] | None = None) -> DataFrame:
     """(topic, term, total, idx): the ``max_terms`` most frequent terms of each topic,
     numbered from 0."""
-    counts = (
-        posts.select("topic", F.explode(document_terms("content", stop_words)).alias("term"))
-        .groupBy("topic", "term")
-        .agg(F.count("*").alias("total"))
-    )
-    best = top_per_group(counts, ["topic"], [F.desc("total"), F.asc("term")], max_terms)
-    return best.select("topic", "term", "total", (F.col("rank") - 1).alias("idx"))
+    tokens = posts.select("topic", document_tokens("content", stop_words).alias("tokens"))
+    return vocabulary_of(tokens, max_terms)
 
 
-def document_counts(posts: DataFrame, vocab: DataFrame, key: str = "post_id",
-                    stop_words: Sequence[str] | None = None) -> DataFrame:
-    """(topic, key, items): per document the vectoriser count ``tf`` and the whole-word
-    ``literal`` count of each vocabulary term, as ARRAY<STRUCT<idx, tf, literal>>.
+def counts_of(tokens: DataFrame, vocab: DataFrame, key: str = "post_id") -> DataFrame:
+    """``document_counts`` from tokens.
 
     A topic's vocabulary, at most ``max_terms`` terms, travels as one array. Both counts of
     all its terms come from one pass over the text, in the row: nothing is exploded, and
     texts are shuffled only where the vocabularies are too large to be broadcast.
     """
     listed = vocab.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("idx", "term"))).alias("terms"))
-    items = term_counts(F.lower("content"), document_tokens("content", stop_words), F.transform("terms", lambda t: t["term"]))
-    rows = posts.select("topic", key, "content").join(listed, "topic").select("topic", key, items.alias("items"))
-    return rows.where(F.size("items") > 0)
+    items = term_counts(F.col("low"), F.col("tokens"), F.transform("terms", lambda t: t["term"]))
+    return tokens.join(listed, "topic").select("topic", key, items.alias("items")).where(F.size("items") > 0)
+
+
+def document_counts(posts: DataFrame, vocab: DataFrame, key: str = "post_id",
+                    stop_words: Sequence[str] | None = None) -> DataFrame:
+    """(topic, key, items): per document the vectoriser count ``tf`` and the whole-word
+    ``literal`` count of each vocabulary term, as ARRAY<STRUCT<idx, tf, literal>>."""
+    return counts_of(tokenized(posts, key, stop_words), vocab, key)
 
 
 def term_statistics(documents: DataFrame, vocab: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -139,15 +148,17 @@ class TermModel:
                  stop_words: Sequence[str] | None = None):
         self.key = key
         self.posts = posts
-        self.sizes = stage(posts.groupBy("topic").agg(F.count("*").alias("n_docs")), "sizes")
-        self.vocabulary = stage(vocabulary(posts, max_terms, stop_words), "vocabulary")
-        counts = stage(document_counts(posts, self.vocabulary, key, stop_words), "document-counts")
+        tokens = stage(tokenized(posts, key, stop_words), "tokens")  # texts are read and cut once
+        self.sizes = stage(tokens.groupBy("topic").agg(F.count("*").alias("n_docs")), "sizes")
+        self.vocabulary = stage(vocabulary_of(tokens, max_terms), "vocabulary")
+        counts = stage(counts_of(tokens, self.vocabulary, key), "document-counts")
         self.statistics = stage(term_statistics(counts, self.vocabulary, self.sizes), "term-statistics")
         self.documents = weighted_documents(counts, self.statistics, key)
 
     def weights(self) -> DataFrame:
         """The long form: topic, key, term, tf, literal, weight."""
-        rows = self.documents.select("topic", self.key, F.inline("items"))
+        # no document is empty, and the inner form would compute the weights a second time to find out
+        rows = self.documents.select("topic", self.key, F.inline_outer("items"))
         return rows.select("topic", self.key, "term", "tf", "literal", "weight")
 
     def keywords(self, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
@@ -160,7 +171,7 @@ class TermModel:
 def mean_weights(documents: DataFrame, statistics: DataFrame) -> DataFrame:
     """Mean weight of each term over all documents of its topic, zeros included."""
     sums = (
-        documents.select("topic", F.inline("items"))
+        documents.select("topic", F.inline_outer("items"))
         .groupBy("topic", "idx")
         .agg(F.sum("weight").alias("weight_sum"))
     )
