@@ -1,12 +1,13 @@
 """Validation, payloads, series, jobs, routing, explore, reports, caches."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from topicloom.functions import lenient, payload, text, topics
-from topicloom.functions.chunking import chunks
+from topicloom.functions.chunking import chunk_rows, chunks, pieces
 from topicloom.functions.scoring import source_type
 from topicloom.operators import collect, explore, history, insights, jobs, reports, series, validation
 from topicloom.sources import landed, store
@@ -105,6 +106,48 @@ def test_chunks(spark):
     assert " ".join(got[2]) == sentences.strip()
 
 
+def cut_by_copying(text, cap):
+    found, rest = [], text
+    while len(rest) > cap:
+        stop = rest[:cap].rfind(". ")
+        end = stop + 1 if stop >= 0 else cap
+        found.append(rest[:end].strip())
+        rest = rest[end:].strip()
+    return found + [rest] if rest or not found else found
+
+
+def test_pieces_are_those_of_cutting_the_rest_again_and_again():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab. \n\u3000") for _ in range(rng.randrange(60)))
+        assert list(pieces(text, 7)) == cut_by_copying(text, 7)
+
+
+def test_a_long_text_is_cut_in_linear_time(spark):
+    text = "One sentence of many. " * 1_500_000  # 33 MB
+    found = chunk_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string"), "id", "t")
+    got = found.groupBy("id").agg(F.count("*").alias("n"), F.max("chunk").alias("last"), F.sum(F.length("piece")).alias("size")).collect()
+    sizes = {r.id: (r.n, r.size) for r in got}
+    assert sizes.keys() == {1, 3} and sizes[3] == (1, 0)
+    assert sizes[1][0] == got[[r.id for r in got].index(1)].last == 1_500_000 // 90 + 1
+
+
+def test_landed_lines_and_their_quarantine(spark, tmp_path):
+    at = '"collected_at": "2024-01-01T00:00:00"'
+    lines = [
+        f'{{"query": "q", "source": "s", "content": " a ", "url": "u", {at}, "other": 1}}',
+        '{"query": "q"', "not json", "[1]", "", "{}", f'{{"query": "q", "source": "s", "content": "a", {at}}}',
+        f'{{"query": "q", "source": "s", "content": " ", "url": "u", {at}}}',
+        f'{{"query": "q", "source": "s", "content": "a", "url": "u", {at}, "metadata": {{"likes": "x"}}}}',
+    ]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    judged = landed.read_landed(spark, str(tmp_path))
+    assert [(r.query, r.content, r.url) for r in landed.accepted(judged).collect()] == [("q", "a", "u")]
+    bad = {r.line: r.reason for r in landed.quarantined(judged).collect()}
+    assert bad == {lines[1]: "malformed", lines[2]: "malformed", lines[3]: "malformed", "": "malformed", "{}": "malformed",
+                   lines[6]: "missing url", lines[7]: "empty content", lines[8]: "malformed"}
+
+
 def test_topics(spark):
     rows = ["x", "future robots", " Artificial   Intelligence ", "one two three four", "solar cells", "HR"]
     df = spark.createDataFrame([(r,) for r in rows], "topic string")

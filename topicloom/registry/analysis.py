@@ -40,6 +40,18 @@ def ag8(t):
     return sentiments.sentiment_summary(_sentiments(t), ["topic"])
 
 
+@query(
+    "ag8_neutral_summary",
+    f"""SELECT topic, coalesce(overall_label, 'neutral') AS overall_label, coalesce(overall_score, 0.0) AS overall_score, coalesce(positive_pct, 0.0) AS positive_pct,
+      coalesce(negative_pct, 0.0) AS negative_pct, coalesce(neutral_pct, 100.0) AS neutral_pct, coalesce("count", 0) AS "count"
+    FROM (SELECT DISTINCT lang AS topic FROM documents UNION SELECT n_name FROM nation) n LEFT JOIN ({SUMMARY_SQL.format(keys="topic", group="topic")}) s USING (topic)""",
+)
+def ag8_neutral(t):
+    """The languages of the posts and the nations as topics; nations have no posts."""
+    topics = t.read("documents").select(F.col("lang").alias("topic")).union(t.read("nation").select("n_name")).distinct()
+    return sentiments.summary_or_neutral(topics, sentiments.sentiment_summary(_sentiments(t), ["topic"]))
+
+
 @query(
     "ag9_sentiment_by_source",
     SUMMARY_SQL.format(

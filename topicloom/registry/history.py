@@ -198,6 +198,29 @@ def snk3(t):
     return fresh.select("key", stamp("captured_at").alias("captured_at"), "result")
 
 
+FRESH_SQL = """SELECT key, result FROM (SELECT 'tl:v1:' || substring(sha256(topic), 1, 24) AS key, 'sources=' || sources_count AS result,
+    row_number() OVER (PARTITION BY topic ORDER BY captured_at DESC, id DESC) AS r FROM runs_v
+    WHERE captured_at > TIMESTAMP '1998-06-30' - INTERVAL 90 DAYS AND captured_at <= TIMESTAMP '1998-06-30') s WHERE r = 1"""
+
+
+@query(
+    "snk3_lookup",
+    f"""SELECT request, key, refresh, CASE WHEN refresh THEN NULL ELSE result END AS result, refresh OR result IS NULL AS compute FROM (
+      SELECT 'topic-' || c_custkey AS request, 'tl:v1:' || substring(sha256('topic-' || c_custkey), 1, 24) AS key, c_custkey % 5 = 0 AS refresh FROM customer) q
+    LEFT JOIN ({FRESH_SQL}) f USING (key)""",
+)
+def snk3_lookup(t):
+    """Requests for every customer's topic against the cache; one in five asks for a refresh."""
+    path = new_folder(t.spark, "snapshots")
+    result = F.concat(F.lit("sources="), F.col("sources_count").cast("string"))
+    store.append_snapshots(t.runs().select(text.fingerprint(F.col("topic")).alias("key"), "id", "captured_at", result.alias("result")), path)
+    fresh = store.fresh_snapshots(t.spark.read.parquet(path), cache_as_of(), 90 * store.SNAPSHOT_TTL_SECONDS)
+    name = F.concat(F.lit("topic-"), F.col("c_custkey").cast("string"))
+    requests = t.read("customer").select(name.alias("request"), text.fingerprint(name).alias("key"), (F.col("c_custkey") % 5 == 0).alias("refresh"))
+    found = store.lookup(requests, fresh)
+    return found.select("request", "key", "refresh", "result", F.col("result").isNull().alias("compute"))
+
+
 @query("cq3_history", f"""SELECT 'runs' AS report, topic AS name, sources_count AS n FROM (SELECT * FROM {LATEST} ORDER BY captured_at DESC, topic LIMIT 25) a
   UNION ALL SELECT 'usage', source, total_calls FROM ({USAGE_SQL}) b UNION ALL SELECT 'total', 'runs', count(*) FROM runs_v""")
 def cq3(t):

@@ -10,11 +10,62 @@ from topicloom.operators import collect
 from topicloom.registry.base import query
 from topicloom.registry.posts import stamp, strip_sql
 from topicloom.registry.sqltext import block
+from topicloom.session import new_folder
 from topicloom.sources import landed
+from topicloom.streaming import jobs
 
 # ---- raw records ---------------------------------------------------------------
 
 
+LINES_SQL = f"""SELECT query || '#' || post_id AS query, CASE WHEN post_id % 19 = 0 THEN 'malformed' WHEN post_id % 17 = 0 THEN 'missing url'
+    WHEN post_id % 13 = 0 OR {strip_sql('content')} = '' THEN 'empty content' ELSE '' END AS reason, post_id, source, {strip_sql('content')} AS content, likes FROM posts_v"""
+FILES_SQL = f"""SELECT CASE WHEN reason = '' THEN query ELSE '' END AS query, reason, CASE WHEN reason = '' THEN content ELSE '' END AS content,
+  CASE WHEN reason = '' THEN likes END AS likes, CASE WHEN reason = 'malformed' THEN '{{"query": "' || query WHEN reason = '' THEN '' ELSE 'kept' END AS line
+FROM ({LINES_SQL}) l"""
+
+
+def _landed_lines(t):
+    """The posts as JSON lines with an unknown field; some cut short, without URL, or with blank content."""
+    i = F.col("post_id")
+    at = F.coalesce(F.col("collected_at"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")))
+    name = F.concat("query", F.lit("#"), i.cast("string"))
+    record = F.to_json(
+        F.struct(
+            name.alias("query"), "source", F.when(i % 13 == 0, "  ").otherwise(F.col("content")).alias("content"),
+            F.when(i % 17 != 0, F.col("url")).alias("url"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("collected_at"),
+            F.struct("likes", "comments", "shares").alias("metadata"), F.lit("x").alias("unknown"),
+        )
+    )
+    return t.posts().select(F.when(i % 19 == 0, F.concat(F.lit('{"query": "'), name)).otherwise(record).alias("value"))
+
+
+def _both_outputs(records, rejected):
+    """Usable records and the quarantine in one table; of parsed lines only whether they were kept."""
+    line = F.when(F.col("reason") == "malformed", F.col("line")).when(F.length("line") > 0, "kept")
+    usable = records.select("query", F.lit("").alias("reason"), "content", F.col("metadata.likes").alias("likes"), F.lit("").alias("line"))
+    nothing = [F.lit("").alias("content"), F.lit(None).cast("bigint").alias("likes")]
+    return usable.unionByName(rejected.select(F.lit("").alias("query"), "reason", *nothing, line.alias("line")))
+
+
+@query("src1_files", FILES_SQL)
+def src1_files(t):
+    """Landed line files through the file reader: records and quarantine."""
+    path = new_folder(t.spark, "landed")
+    _landed_lines(t).write.text(path)
+    judged = landed.read_landed(t.spark, path)
+    return _both_outputs(landed.accepted(judged), landed.quarantined(judged))
+
+
+@query("src1_file_stream", FILES_SQL)
+def src1_stream(t):
+    """The same from a stream of files."""
+    path, out = new_folder(t.spark, "landed"), new_folder(t.spark, "landed-out")
+    _landed_lines(t).repartition(4).write.text(path)
+    lines = t.spark.readStream.option("maxFilesPerTrigger", 2).text(path)
+    jobs.run_landed(lines, out, new_folder(t.spark, "landed-state")).awaitTermination()
+    return _both_outputs(t.spark.read.parquet(f"{out}/records"), t.spark.read.parquet(f"{out}/quarantine"))
+
+
 @query(
     "src1_raw_records",
     f"""SELECT post_id, query, source, {strip_sql('content')} AS content, url, strftime(coalesce(collected_at, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS collected_at, likes

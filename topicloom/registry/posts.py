@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from topicloom.functions import scoring, text
-from topicloom.functions.chunking import chunks
+from topicloom.functions.chunking import chunk_rows
 from topicloom.operators import explore, reports, validation
 from topicloom.operators.sentiments import with_sentiment
 from topicloom.registry.base import query
@@ -79,8 +79,8 @@ def sc14(t):
     SELECT post_id, n AS chunk, piece FROM c WHERE n > 0 AND (n = 1 OR piece <> '')""",
 )
 def sc26(t):
-    pieces = F.posexplode(chunks(F.col("content"))).alias("pos", "piece")
-    return t.posts(False, False).select("post_id", pieces).select("post_id", (F.col("pos") + 1).alias("chunk"), "piece")
+    found = chunk_rows(t.posts(False, False), "post_id", "content")
+    return found.select("post_id", F.col("chunk").cast("int").alias("chunk"), "piece")
 
 
 @query(

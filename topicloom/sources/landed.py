@@ -49,18 +49,53 @@ SEARCH_JOBS = (
 )
 
 
+REQUIRED = ("query", "source", "url", "collected_at")
+CORRUPT = "_corrupt"
+LANDED = T.StructType([*RAW_RECORD.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def record_reason(corrupt: Column | None = None) -> Column:
+    """Null for a usable record, else the first of: malformed, a missing field, blank content."""
+    reason = F.lit(None).cast("string")
+    reason = F.when(F.coalesce(strip(F.col("content")), F.lit("")) == "", "empty content").otherwise(reason)
+    for name in reversed(REQUIRED):
+        reason = F.when(F.col(name).isNull(), f"missing {name}").otherwise(reason)
+    return reason if corrupt is None else F.when(corrupt.isNotNull(), "malformed").otherwise(reason)
+
+
 def usable_records(records: DataFrame) -> DataFrame:
     """Every required field present and content not blank; content trimmed."""
-    present = F.lit(True)
-    for name in ("query", "source", "url", "collected_at"):
-        present = present & F.col(name).isNotNull()
-    content = strip(F.col("content"))
-    return records.where(present & (content != "")).withColumn("content", content)
+    return records.where(record_reason().isNull()).withColumn("content", strip(F.col("content")))
+
+
+def judged_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """JSON lines of a batch or a stream, parsed under the fixed schema: the record's fields, ``line`` and ``reason``, which
+    is null for usable ones. A line that is no JSON object or doesn't fit the schema is malformed; unknown fields are ignored."""
+    kept = [c for c in lines.columns if c != column]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # Inside the array every line is parsed once, whatever is later asked of its fields; no line is lost by the outer form.
+    parsed = lines.select(*kept, F.col(column).alias("line"), F.inline_outer(F.array(F.from_json(column, LANDED, options))))
+    malformed = F.coalesce(CORRUPT, F.when(F.coalesce(*[F.col(f.name).cast("string") for f in RAW_RECORD.fields]).isNull(), F.col("line")))
+    return parsed.withColumn("reason", record_reason(malformed)).drop(CORRUPT)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of landed files as ``judged_lines`` gives them."""
+    return judged_lines(spark.read.text(path))
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    return judged.where("reason IS NULL").withColumn("content", strip(F.col("content"))).drop("line", "reason")
+
+
+def quarantined(judged: DataFrame) -> DataFrame:
+    """Rejected lines as they came, with the reason."""
+    return judged.where("reason IS NOT NULL").drop(*RAW_RECORD.fieldNames())
 
 
 def read_raw_records(spark: SparkSession, path: str) -> DataFrame:
-    """Raw JSON lines under the fixed schema; malformed lines and unknown fields are dropped."""
-    return usable_records(spark.read.schema(RAW_RECORD).option("mode", "DROPMALFORMED").json(path))
+    """Usable records of JSON line files; ``read_landed`` has the rejected lines as well."""
+    return accepted(read_landed(spark, path))
 
 
 def raw_records(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from topicloom.functions.text import content_hash
 from topicloom.operators import history, reports
 from topicloom.operators.validation import usable_posts
+from topicloom.sources import landed
 
 
 def _write(df: DataFrame, name: str, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -132,6 +133,27 @@ def run_posts(arriving: DataFrame, path: str, checkpoint: str, delay: str = "1 d
         return _write(distinct_posts(arriving, delay, arrival), "distinct-posts", path, checkpoint)
 
 
+# ---- landed files -----------------------------------------------------------------
+
+
+def run_landed(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Lines of arriving files: usable records below ``path``/records, rejected lines with their reason below
+    ``path``/quarantine. Both folders of a batch are replaced when it runs again."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        judged = landed.judged_lines(batch)
+        landed.accepted(judged).write.mode("overwrite").parquet(f"{path}/records/batch_id={batch_id}")
+        landed.quarantined(judged).write.mode("overwrite").parquet(f"{path}/quarantine/batch_id={batch_id}")
+
+    return (
+        lines.writeStream.foreachBatch(save)
+        .queryName("landed-files")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 # ---- API usage -------------------------------------------------------------------
 
 
