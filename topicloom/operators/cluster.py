@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.ranking import first_per_group
+from topicloom.operators.ranking import first_per_group, top_per_group
 from topicloom.session import stage
 
 MIN_K, MAX_K = 3, 6
@@ -150,7 +150,8 @@ def _nearest(x: np.ndarray, centroids: np.ndarray, runs: np.ndarray) -> tuple[np
     distance = np.empty((len(x), len(names)))
     for j, run in enumerate(names):
         at = np.flatnonzero(runs == run)
-        best = gap[:, at].argmin(axis=1)
+        # equal at ten decimals: the first cluster, so that the order of a sum decides nothing
+        best = np.round(gap[:, at], 10).argmin(axis=1)
         winner[:, j] = at[best]
         distance[:, j] = gap[np.arange(len(x)), at[best]] + own
     return names, winner, np.maximum(distance, 0.0)
@@ -292,12 +293,21 @@ def start_centroids(blocks: DataFrame, width: int, restarts: int = RESTARTS) ->
     )
 
 
+def given_centroids(documents: DataFrame, width: int, k: int, key: str = "post_id") -> DataFrame:
+    """The first ``k`` documents of each topic that have a vector, as centroids of one run (numbered ``k``)."""
+    first = top_per_group(documents.where(F.exists("items", lambda i: i["weight"] > 0)), ["topic"], [F.asc(key)], k, "c")
+    weights = F.map_from_arrays("items.idx", "items.weight")
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(weights, i), F.lit(0.0)))
+    return first.select("topic", F.lit(k).alias("run"), (F.col("c") - 1).cast("int").alias("c"), dense.alias("centroid"))
+
+
 def fit(blocks: DataFrame, width: int, restarts: int = RESTARTS, max_iterations: int = MAX_ITERATIONS,
-        tolerance: float = TOLERANCE) -> DataFrame:
+        tolerance: float = TOLERANCE, start: DataFrame | None = None) -> DataFrame:
     """(topic, run, c, centroid) of every run at its end. Runs that have ended take no further part, and blocks of a
-    topic whose runs all have are not read again."""
+    topic whose runs all have are not read again. ``start`` takes the place of drawn seeds; a negative ``tolerance``
+    lets every run take all its passes."""
     bound = stage(variances(blocks, width), "variances")
-    live = stage(start_centroids(blocks, width, restarts), "centroids")
+    live = stage(start_centroids(blocks, width, restarts) if start is None else start, "centroids")
     ended = []
     for iteration in range(max_iterations):
         moved = _moved(live, _totals(blocks, live, width))

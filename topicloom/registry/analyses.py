@@ -37,6 +37,45 @@ def ml1(t):
     )
 
 
+def passes_sql(passes: int, k: int) -> str:
+    """K-means from given centroids, pass by pass: nearest centroid of every document, then means of the members."""
+    steps = [
+        "w AS (SELECT topic, post_id, term, weight AS v FROM weights_v WHERE weight > 0)",
+        "d AS (SELECT topic, post_id, coalesce(own, 0.0) AS own FROM posts_v LEFT JOIN (SELECT topic, post_id, sum(v * v) AS own FROM w GROUP BY 1, 2) o USING (topic, post_id))",
+        f"""s AS (SELECT topic, post_id, r - 1 AS c FROM (SELECT topic, post_id, row_number() OVER (PARTITION BY topic ORDER BY post_id) AS r
+          FROM (SELECT DISTINCT topic, post_id FROM w) x) y WHERE r <= {k})""",
+        "k0 AS (SELECT topic, c FROM s)",
+        "c0 AS (SELECT topic, c, term, v FROM s JOIN w USING (topic, post_id))",
+    ]
+    for i in range(passes + 1):
+        steps.append(f"q{i} AS (SELECT topic, c, coalesce(sq, 0.0) AS sq FROM k0 LEFT JOIN (SELECT topic, c, sum(v * v) AS sq FROM c{i} GROUP BY 1, 2) x USING (topic, c))")
+        steps.append(f"p{i} AS (SELECT w.topic, w.post_id, c.c, sum(w.v * c.v) AS dot FROM w JOIN c{i} c ON c.topic = w.topic AND c.term = w.term GROUP BY 1, 2, 3)")
+        steps.append(f"""a{i} AS (SELECT * FROM (SELECT d.topic, d.post_id, q.c, d.own + q.sq - 2 * coalesce(p.dot, 0.0) AS gap,
+          row_number() OVER (PARTITION BY d.topic, d.post_id ORDER BY round(q.sq - 2 * coalesce(p.dot, 0.0), 10), q.c) AS r
+          FROM d JOIN q{i} q ON q.topic = d.topic LEFT JOIN p{i} p ON p.topic = d.topic AND p.post_id = d.post_id AND p.c = q.c) x WHERE r = 1)""")
+        steps.append(f"n{i} AS (SELECT topic, c, count(*) AS n FROM a{i} GROUP BY 1, 2)")
+        steps.append(f"""c{i + 1} AS (SELECT a.topic, a.c, w.term, sum(w.v) / min(n.n) AS v FROM a{i} a JOIN w ON w.topic = a.topic AND w.post_id = a.post_id
+          JOIN n{i} n ON n.topic = a.topic AND n.c = a.c GROUP BY 1, 2, 3
+          UNION ALL SELECT topic, c, term, v FROM c{i} WHERE NOT EXISTS (SELECT 1 FROM n{i} n WHERE n.topic = c{i}.topic AND n.c = c{i}.c))""")
+    return ", ".join(f"{x.strip()}" for x in steps)
+
+
+GIVEN_K, GIVEN_PASSES = 4, 3
+GIVEN_SQL = f"""SELECT * FROM (WITH {passes_sql(GIVEN_PASSES, GIVEN_K)}
+SELECT topic, CAST(c AS INTEGER) AS c, count(*) AS members, round(sum(greatest(gap, 0.0)), 6) AS sse FROM a{GIVEN_PASSES} GROUP BY 1, 2) g"""
+
+
+@query("ml1_given_centroids", GIVEN_SQL)
+def ml1_given(t):
+    """Three passes of k-means from the first four documents of each topic: members and squared error per cluster."""
+    _, m, blocks = _blocks(t)
+    width = cluster.width_of(blocks)
+    start = cluster.given_centroids(m.documents, width, GIVEN_K)
+    model = cluster.fit(blocks, width, max_iterations=GIVEN_PASSES, tolerance=-1.0, start=start)
+    totals = cluster._totals(blocks, model, width)
+    return totals.select("topic", "c", F.col("n").alias("members"), F.round("sse", 6).alias("sse"))
+
+
 @query("ml2_choose_k")
 def ml2(t):
     _, _, blocks = _blocks(t)
