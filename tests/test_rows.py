@@ -73,6 +73,25 @@ def test_engagement_counts(spark, json, want):
     assert tuple(df.select(payload.engagement_counts(F.col("p")).alias("e")).first().e) == want
 
 
+@pytest.mark.parametrize(
+    "json,want",
+    [
+        ('{"stats": {"liked": true, "commentCount": "7", "shares": 3.9}}', (1, 7, 3)),
+        ('{"stats": {"likes": "3.7", "comments": false, "reposts": null}}', (0, 0, 0)),
+        ('{"counts": {"likes": [1], "reactions": " +4 ", "comments": {"a": 1}}}', (4, 0, 0)),
+        ('{"likes": true, "comments": "2.5", "shares": " 6 "}', (1, 0, 6)),
+        ('{"likes": {"a": true, "b": "2", "c": 2.9, "d": "2.5", "e": " 3", "f": null, "g": [9]}, "comments": 2.9}', (5, 2, 0)),
+        ('{"zLikes": 1, "aLikes": 2, "likes": -5, "comments": 12345678901}', (1, 12345678901, 0)),
+        ('{"stats": "x", "counts": {}, "likes": "", "shares": null}', (0, 0, 0)),
+        ("{}", (0, 0, 0)),
+    ],
+)
+def test_engagement_counts_by_json_type(spark, json, want):
+    df = spark.createDataFrame([(json,)], "j string")
+    counts = payload.typed_engagement_counts(payload.as_map(F.col("j")), F.col("j"))
+    assert tuple(df.select(counts.alias("e")).first().e) == want
+
+
 def test_forecast_and_summary(spark):
     day = dt.date(2024, 1, 1)
     rows = [("a", day + dt.timedelta(weeks=i), 10 + 2 * i) for i in range(30)]

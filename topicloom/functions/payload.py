@@ -120,9 +120,60 @@ def _top_counts(payload: Column) -> Column:
     )
 
 
+def as_typed_map(json: Column) -> Column:
+    """The fields of a JSON object in key order, each a VARIANT that knows its type."""
+    return F.from_json(json, "map<string,variant>")
+
+
+def _number(v: Column) -> Column:
+    """A JSON number without its fraction, true as 1, false as 0; null for anything else."""
+    kind = F.schema_of_variant(v)
+    whole = F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).otherwise(F.try_variant_get(v, "$", "double").cast("bigint"))
+    numeric = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), whole)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint")).otherwise(numeric)
+
+
+def _string_number(v: Column, pattern: str) -> Column:
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.when(text.rlike(pattern), strip(text).try_cast("bigint"))
+
+
+def _typed_nested(payload: Column) -> Column:
+    none = F.array().cast("array<struct<key:string,value:bigint>>")
+
+    def entries(parent: str) -> Column:
+        text = field(payload, parent)
+        value = lambda v: F.coalesce(_number(v), _string_number(v, r"^\s*[+-]?\d+\s*$"))
+        inner = F.map_entries(F.when(text.startswith("{"), as_typed_map(text)))
+        return F.coalesce(F.transform(inner, lambda e: F.struct(F.lower(e["key"]).alias("key"), value(e["value"]).alias("value"))), none)
+
+    return F.concat(*[entries(parent) for parent in COUNT_PARENTS])
+
+
+def _typed_top(typed: Column) -> Column:
+    def value_of(v: Column) -> Column:
+        inner = F.map_values(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")))
+        total = F.aggregate(
+            inner, F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(_number(x), _string_number(x, r"^\d+$"), F.lit(0).cast("bigint"))
+        )
+        return F.coalesce(_number(v), _string_number(v, r"^\s*\d+\s*$"), total)
+
+    return F.transform(F.map_entries(typed), lambda e: F.struct(F.lower(e["key"]).alias("key"), value_of(e["value"]).alias("value")))
+
+
+def typed_engagement_counts(payload: Column, json: Column) -> Column:
+    """``engagement_counts`` by the types of the JSON text: in nested maps true counts as 1, 3.7 as 3 and quoted whole numbers
+    as such, while "3.7" doesn't count; so too at top level, where a map counts as the sum of its values."""
+    return _taken(F.concat(_typed_nested(payload), _typed_top(as_typed_map(json))))
+
+
 def engagement_counts(payload: Column) -> Column:
-    """STRUCT<likes, comments, shares>: first positive hit in key order, nested maps
-    first; a key serves one metric only."""
+    """STRUCT<likes, comments, shares> of a payload whose types are lost: first positive hit in key
+    order, nested maps first; a key serves one metric only. Digits with a fraction count though they may have been quoted."""
+    return _taken(F.concat(_nested_counts(payload), _top_counts(payload)))
+
+
+def _taken(entries: Column) -> Column:
     zero = F.lit(0).cast("bigint")
     start = F.struct(zero.alias("likes"), zero.alias("comments"), zero.alias("shares"))
 
@@ -136,8 +187,5 @@ def engagement_counts(payload: Column) -> Column:
             F.when(shares, e["value"]).otherwise(s["shares"]).alias("shares"),
         )
 
-    counted = let(
-        F.concat(_nested_counts(payload), _top_counts(payload)),
-        lambda entries: F.filter(entries, lambda e: e["value"] > 0),
-    )
+    counted = let(entries, lambda found: F.filter(found, lambda e: e["value"] > 0))
     return F.aggregate(counted, start, take)

@@ -170,6 +170,10 @@ def social_payloads(t):
         F.when(i % 5 == 1, F.struct((i % 4).alias("LIKE"), (i % 6).cast("string").alias("LOVE"))).alias("reactions"),
         F.when(i % 2 == 1, (i % 13).cast("string")).alias("repostCount"),
         F.when(i % 10 == 0, F.array(F.lit("a"), F.lit("b"))).alias("hashtags"),
+        F.when(i % 15 == 2, F.struct(F.lit(True).alias("liked"), F.lit("3.7").alias("commentText"), F.lit(3.7).alias("shareRate"))).alias("engagement"),
+        F.when(i % 15 == 8, True).alias("likeFlag"),
+        F.when(i % 15 == 8, "2.5").alias("commentRatio"),
+        F.when(i % 15 == 8, F.struct(F.lit(True).alias("a"), F.lit("2").alias("b"), F.lit(2.9).alias("c"), F.lit("x").alias("d"), F.lit("2.5").alias("e"))).alias("shareMap"),
     ]
     return t.posts(False, False).select(i, "query", F.to_json(F.struct(*fields)).alias("payload"))
 
@@ -182,9 +186,10 @@ SELECT post_id, query, {strip_sql('content')} AS text,
   strftime(CASE WHEN post_id % 7 <= 3 THEN make_timestamp(({_EPOCH}) * 1000000) WHEN post_id % 7 = 4 THEN make_timestamp(({_EPOCH} - 7200) * 1000000)
     ELSE TIMESTAMP '2024-02-01' END, '%Y-%m-%d %H:%M:%S') AS collected_at,
   CASE WHEN post_id % 3 = 0 AND post_id % 50 > 0 THEN post_id % 50 WHEN post_id % 3 = 1 AND post_id % 40 > 0 THEN post_id % 40
-    WHEN post_id % 5 = 1 THEN post_id % 4 + post_id % 6 ELSE 0 END AS likes,
+    WHEN post_id % 5 = 1 THEN post_id % 4 + post_id % 6 WHEN post_id % 15 IN (2, 8) THEN 1 ELSE 0 END AS likes,
   CASE WHEN post_id % 3 = 0 AND post_id % 9 - 3 > 0 THEN post_id % 9 - 3 WHEN post_id % 2 = 0 THEN post_id % 11 ELSE 0 END AS comments,
-  CASE WHEN post_id % 3 = 1 AND post_id % 8 > 0 THEN post_id % 8 WHEN post_id % 2 = 1 THEN post_id % 13 ELSE 0 END AS shares,
+  CASE WHEN post_id % 3 = 1 AND post_id % 8 > 0 THEN post_id % 8 WHEN post_id % 15 = 2 THEN 3
+    WHEN post_id % 2 = 1 AND post_id % 13 > 0 THEN post_id % 13 WHEN post_id % 15 = 8 THEN 5 ELSE 0 END AS shares,
   CASE WHEN post_id % 10 = 0 THEN 'a, b' ELSE '' END AS hashtags FROM posts_v""")
 
 
@@ -228,7 +233,8 @@ def sc7(t):
 
 @query("sc8_engagement_counts", "SELECT post_id, likes, comments, shares FROM social_v")
 def sc8(t):
-    return _payload_maps(t).select("post_id", payload.engagement_counts(F.col("p")).alias("e")).select("post_id", "e.*")
+    counts = payload.typed_engagement_counts(payload.as_map(F.col("payload")), F.col("payload"))
+    return social_payloads(t).select("post_id", counts.alias("e")).select("post_id", "e.*")
 
 
 # ---- lenient parsing --------------------------------------------------------------

@@ -148,7 +148,7 @@ def social_posts(payloads: DataFrame, collected_at: Column, column: str = "paylo
             P.post_text(p).alias("text"),
             P.post_url(p).alias("url"),
             P.post_time(p, collected_at).alias("collected_at"),
-            P.engagement_counts(p).alias("counts"),
+            P.typed_engagement_counts(p, F.col(column)).alias("counts"),
             P.post_author(p).alias("author"),
             tags.alias("hashtags"),
         )
