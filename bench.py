@@ -30,6 +30,8 @@ HEADLINE = [
     "ag14_job_summary",
     "src4_social_posts",
     "cq1_analyse_by_source",
+    "ml1_given_centroids",
+    "sm2_rolling_usage",
 ]
 
 

@@ -169,8 +169,10 @@ def consistency(documents: DataFrame) -> DataFrame:
     by_sizes = pair_moments(sets.where(F.size("keywords") <= LINEAR)).groupBy("topic", "a", "b").agg(
         F.map_from_entries(F.collect_list(F.struct("t", "moment"))).alias("m")
     )
-    small = by_sizes.select("topic", _jaccard_sum().alias("s"))
-    sums = small.unionByName(larger_pairs(sets)).groupBy("topic").agg(F.sum("s").alias("s"))
+    sums = by_sizes.select("topic", _jaccard_sum().alias("s"))
+    if not sets.where(F.size("keywords") > LINEAR).isEmpty():  # else the index would be empty
+        sums = sums.unionByName(larger_pairs(sets))
+    sums = sums.groupBy("topic").agg(F.sum("s").alias("s"))
     n = F.col("sets").cast("double")
     mean = F.when(F.col("sets") < 2, F.lit(0.0)).otherwise(F.coalesce(F.col("s"), F.lit(0.0)) / (n * (n - 1) / 2))
     return totals.join(sums, "topic", "left").select("topic", "sets", mean.alias("consistency"))

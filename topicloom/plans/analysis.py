@@ -93,7 +93,8 @@ def analyse(posts: DataFrame, history: DataFrame, as_of: Column, arrival: str =
     ``history``: topic_key, trends (see ``latest_trends``). A topic without surviving
     documents yields no row.
     """
-    processed = process(validate_posts(posts, arrival, as_of), clustering)
+    # read several times by the terms, the scores and the gate; validation and its shuffle of the texts run once
+    processed = process(stage(validate_posts(posts, arrival, as_of), "validated"), clustering)
     documents = processed.documents
     lists = trends.trend_lists(processed.trends)
     keywords = processed.top_keywords().groupBy("topic").agg(
