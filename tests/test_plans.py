@@ -54,3 +54,32 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_root(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def test_bucketed_stores_are_read_without_an_exchange(spark, tmp_path):
+    from topicloom.operators import history
+    from topicloom.sources import store
+
+    rows = spark.range(200).selectExpr(
+        "id", "concat('t', id % 7) AS topic", "concat('t', id % 7) AS topic_key", "concat('t', id % 7) AS key",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) AS captured_at", "array(id) AS trends", "cast(id AS string) AS result")
+    at = F.to_timestamp_ntz(F.lit("2024-01-09 00:00:00"))
+    for i in range(2):
+        store.append_bucketed(rows.where(f"id % 2 = {i}"), "plan_runs", f"{tmp_path}/runs", "topic_key", "captured_at", 4)
+        store.append_bucketed(rows.where(f"id % 2 = {i}"), "plan_snapshots", f"{tmp_path}/snapshots", "key", "captured_at", 4)
+    runs = spark.table("plan_runs")
+    latest = history.latest_trends(runs)
+    assert {r.topic_key: r.trends for r in latest.collect()} == {f"t{i % 7}": [i] for i in range(193, 200)}
+    fresh = store.fresh_snapshots(spark.table("plan_snapshots"), at, 864_000)
+    for df in (latest, fresh, history.topic_totals(runs.withColumn("elapsed_secs", F.lit(1.0)).drop("topic").withColumnRenamed("topic_key", "topic"))):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {(r.key, r.id) for r in fresh.collect()}
+    gone = spark.createDataFrame([("t1",)], "key string").withColumn("deleted_at", at)
+    for _ in range(2):
+        held = store.compact_snapshots(spark, "plan_snapshots", f"{tmp_path}/snapshots", at, 864_000, gone, 4)
+        assert {(r.key, r.id) for r in held.collect()} == {w for w in want if w[0] != "t1"}
+    spark.sql("DROP TABLE plan_runs")
+    again = store.open_bucketed(spark, "plan_runs", f"{tmp_path}/runs", runs.schema.toDDL(), "topic_key", "captured_at", 4)
+    assert again.count() == 200 and "Exchange" not in history.latest_trends(again)._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE plan_runs")
+    spark.sql("DROP TABLE plan_snapshots")

@@ -150,7 +150,9 @@ def merge_histories(server: DataFrame, local: DataFrame, limit: int = RECENT_TOP
 
 
 def latest_trends(runs: DataFrame) -> DataFrame:
-    """(topic_key, trends) of the newest snapshot per normalised topic."""
-    return runs.groupBy(topic_key(F.col("topic")).alias("topic_key")).agg(
+    """(topic_key, trends) of the newest snapshot per normalised topic. A ``topic_key`` that the runs carry is used as it
+    is, so that runs bucketed by it need no exchange."""
+    key = F.col("topic_key") if "topic_key" in runs.columns else topic_key(F.col("topic")).alias("topic_key")
+    return runs.groupBy(key).agg(
         F.max_by("trends", F.struct("captured_at", "id")).alias("trends")
     )

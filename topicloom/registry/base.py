@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 INT_COLUMNS = {
     "ag19_score_history": ["back", "pos"],
     "ag2_term_weights": ["tf"],
+    "cq1_analyse_by_source": ["sources"],
     "cq2_market_intel": ["n_forecast"],
     "fl3_minimum_length": ["chars"],
     "jn6_supporting_document": ["trend_rank"],
@@ -30,6 +31,7 @@ INT_COLUMNS = {
     "src2_web_results": ["pos"],
     "src3_news_results": ["pos"],
     "src6_job_feeds": ["pos"],
+    "src7_bucketed_history": ["trends"],
     "src7_latest_history": ["trends"],
     "tk1_top_keywords": ["rank"],
     "tk3_cluster_keywords": ["rank"],

@@ -9,7 +9,7 @@ from topicloom.operators import evolution, explore, history, reports
 from topicloom.operators.ranking import in_order
 from topicloom.registry.base import query
 from topicloom.registry.posts import as_of, stamp
-from topicloom.session import new_folder
+from topicloom.session import new_folder, stage
 from topicloom.sources import store
 
 def cache_as_of():
@@ -124,16 +124,37 @@ def so2(t):
     return history.merge_histories(server, local).select("topic")
 
 
-@query(
-    "src7_latest_history",
-    """SELECT lower(trim(topic)) AS topic_key, arg_max(n, (captured_at, id)) AS trends, arg_max(first_label, (captured_at, id)) AS first_label
-    FROM (SELECT id, topic, captured_at, min_by(label, trend_rank) AS first_label, count(*) AS n FROM lines_v GROUP BY 1, 2, 3) r GROUP BY 1""",
-)
-def src7(t):
-    latest = history.latest_trends(t.run_history())
+LATEST_TRENDS_SQL = """SELECT lower(trim(topic)) AS topic_key, arg_max(n, (captured_at, id)) AS trends, arg_max(first_label, (captured_at, id)) AS first_label
+    FROM (SELECT id, topic, captured_at, min_by(label, trend_rank) AS first_label, count(*) AS n FROM lines_v GROUP BY 1, 2, 3) r GROUP BY 1"""
+
+
+def _flat_trends(latest):
     return latest.select("topic_key", F.size("trends").alias("trends"), F.get("trends", F.lit(0))["label"].alias("first_label"))
 
 
+@query("src7_latest_history", LATEST_TRENDS_SQL)
+def src7(t):
+    return _flat_trends(history.latest_trends(t.run_history()))
+
+
+def _bucketed(t, rows, name: str, key: str, *conditions: str):
+    """(table, folder) of a bucketed table of its own, filled by one append per condition."""
+    path = new_folder(t.spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    for condition in conditions:
+        store.append_bucketed(rows.where(condition), table, path, key, "captured_at", buckets=8)
+    return table, path
+
+
+@query("src7_bucketed_history", LATEST_TRENDS_SQL)
+def src7_bucketed(t):
+    """Two appends to a store bucketed by topic, whose latest trends are read without an exchange."""
+    runs = stage(t.run_history().withColumn("topic_key", text.topic_key(F.col("topic"))), "runs")
+    early = "captured_at < timestamp_ntz'1998-01-01'"
+    table, _ = _bucketed(t, runs, "runs", "topic_key", early, f"NOT {early}")
+    return _flat_trends(history.latest_trends(t.spark.table(table)))
+
+
 @query("snk1_append_runs", "SELECT strftime(captured_at, '%Y-%m') AS captured_month, count(DISTINCT id) AS runs, count(*) AS trends FROM lines_v GROUP BY 1")
 def snk1(t):
     """Two appends, read back."""
@@ -176,28 +197,41 @@ def tk10(t):
     return in_order(usage, history.usage_order())
 
 
-@query(
-    "snk3_snapshot_cache",
-    f"""SELECT key, {_ts()}, result FROM (SELECT s.*, row_number() OVER (PARTITION BY s.key ORDER BY captured_at DESC, id DESC) AS r
+SNAPSHOT_SQL = f"""SELECT key, {_ts()}, result FROM (SELECT s.*, row_number() OVER (PARTITION BY s.key ORDER BY captured_at DESC, id DESC) AS r
       FROM (SELECT 'tl:v1:' || substring(sha256(topic), 1, 24) AS key, id, captured_at, 'sources=' || sources_count AS result FROM runs_v) s
       LEFT JOIN (SELECT 'tl:v1:' || substring(sha256('topic-' || o_custkey), 1, 24) AS key, max(o_orderdate) AS deleted_at FROM orders
         WHERE o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1998-06-30' GROUP BY 1) x ON x.key = s.key
       WHERE captured_at > TIMESTAMP '1998-06-30' - INTERVAL 90 DAYS AND captured_at <= TIMESTAMP '1998-06-30'
-        AND (deleted_at IS NULL OR captured_at > deleted_at)) q WHERE r = 1""",
-)
+        AND (deleted_at IS NULL OR captured_at > deleted_at)) q WHERE r = 1"""
+
+
+@query("snk3_snapshot_cache", SNAPSHOT_SQL)
 def snk3(t):
     path = new_folder(t.spark, "snapshots")
-    key = text.fingerprint(F.col("topic"))
-    result = F.concat(F.lit("sources="), F.col("sources_count").cast("string"))
-    store.append_snapshots(t.runs().select(key.alias("key"), "id", "captured_at", result.alias("result")), path)
-    deleted = t.read("orders").where("o_orderstatus = 'P'").select(
-        text.fingerprint(F.concat(F.lit("topic-"), F.col("o_custkey").cast("string"))).alias("key"),
-        F.col("o_orderdate").alias("deleted_at"),
-    )
-    fresh = store.fresh_snapshots(t.spark.read.parquet(path), cache_as_of(), 90 * store.SNAPSHOT_TTL_SECONDS, deleted)
+    store.append_snapshots(_snapshots(t), path)
+    fresh = store.fresh_snapshots(t.spark.read.parquet(path), cache_as_of(), 90 * store.SNAPSHOT_TTL_SECONDS, _deleted(t))
     return fresh.select("key", stamp("captured_at").alias("captured_at"), "result")
 
 
+def _snapshots(t):
+    result = F.concat(F.lit("sources="), F.col("sources_count").cast("string"))
+    return t.runs().select(text.fingerprint(F.col("topic")).alias("key"), "id", "captured_at", result.alias("result"))
+
+
+def _deleted(t):
+    name = F.concat(F.lit("topic-"), F.col("o_custkey").cast("string"))
+    return t.read("orders").where("o_orderstatus = 'P'").select(text.fingerprint(name).alias("key"), F.col("o_orderdate").alias("deleted_at"))
+
+
+@query("snk3_compacted", SNAPSHOT_SQL)
+def snk3_compacted(t):
+    """A bucketed snapshot store after two compactions holds what the cache would serve, and nothing else."""
+    table, path = _bucketed(t, _snapshots(t), "snapshots", "key", "true")
+    for _ in range(2):
+        held = store.compact_snapshots(t.spark, table, path, cache_as_of(), 90 * store.SNAPSHOT_TTL_SECONDS, _deleted(t), buckets=8)
+    return held.select("key", stamp("captured_at").alias("captured_at"), "result")
+
+
 FRESH_SQL = """SELECT key, result FROM (SELECT 'tl:v1:' || substring(sha256(topic), 1, 24) AS key, 'sources=' || sources_count AS result,
     row_number() OVER (PARTITION BY topic ORDER BY captured_at DESC, id DESC) AS r FROM runs_v
     WHERE captured_at > TIMESTAMP '1998-06-30' - INTERVAL 90 DAYS AND captured_at <= TIMESTAMP '1998-06-30') s WHERE r = 1"""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.operators.ranking import first_per_group
 
 SNAPSHOT_TTL_SECONDS = 86_400
+#: Buckets of a store by key. Part of a table's definition: all its appends and readers share it.
+BUCKETS = 64
 
 
 def _append(rows: DataFrame, at: str, month: str, path: str) -> None:
@@ -64,3 +68,37 @@ def lookup(requests: DataFrame, fresh: DataFrame) -> DataFrame:
     """Requests (key, refresh) with their cached result; ``refresh`` skips the lookup."""
     found = requests.join(fresh.select("key", "result"), "key", "left")
     return found.withColumn("result", F.when(~F.col("refresh"), F.col("result")))
+
+
+# ---- tables bucketed by key ------------------------------------------------------------
+
+
+def append_bucketed(rows: DataFrame, table: str, path: str, key: str, at: str, buckets: int = BUCKETS) -> None:
+    """Append to the table at ``path``, bucketed by ``key`` and sorted by it and time, one file per bucket and append. What
+    groups, ranks or joins by ``key`` then reads it without an exchange."""
+    writer = rows.repartition(buckets, key).write.format("parquet").mode("append").bucketBy(buckets, key).sortBy(key, at)
+    writer.option("path", path).saveAsTable(table)
+
+
+def open_bucketed(spark: SparkSession, table: str, path: str, schema: str, key: str, at: str, buckets: int = BUCKETS) -> DataFrame:
+    """The table, made known to a session that has not written it."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}, {at}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
+def compact_snapshots(spark: SparkSession, table: str, path: str, as_of: Column, ttl_seconds: int = SNAPSHOT_TTL_SECONDS,
+                      tombstones: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Keep what ``fresh_snapshots`` keeps: expired, deleted and superseded snapshots go.
+
+    The rows are written to a folder of their own below ``path``, then the table is pointed there. If that is not
+    reached, the table is as before; run again, it keeps the same rows. Files of the old folder are left to the caller.
+    """
+    fresh = fresh_snapshots(spark.table(table), as_of, ttl_seconds, tombstones)
+    folder, made = f"{path}/compacted-{uuid.uuid4().hex}", f"{table}_{uuid.uuid4().hex}"
+    append_bucketed(fresh, made, folder, "key", "captured_at", buckets)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
+    spark.sql(f"DROP TABLE {made}")  # its files belong to ``table`` now
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
