@@ -24,10 +24,26 @@ UNIQUENESS_BASE = 1.4
 UNIQUENESS_FLOOR = 0.6
 
 
+def overlap(a: Column, b: Column) -> Column:
+    """(both, either): sizes of the intersection and the union of two keyword arrays as sets."""
+    return F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(F.array_union(a, b)).alias("either"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two keyword arrays as sets; 0 when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return let(overlap(a, b), lambda o: F.when(o["either"] == 0, F.lit(0.0)).otherwise(o["both"] / o["either"]))
+
+
+def next_in_rank(trends: Column) -> Column:
+    """Each trend of an array against the next: label, other, both, either."""
+    return F.zip_with(
+        F.slice(trends, F.lit(1), F.greatest(F.size(trends) - 1, F.lit(0))),
+        F.slice(trends, F.lit(2), F.greatest(F.size(trends) - 1, F.lit(0))),
+        lambda a, b: let(
+            overlap(a["keywords"], b["keywords"]),
+            lambda o: F.struct(a["label"].alias("label"), b["label"].alias("other"), o["both"].alias("both"), o["either"].alias("either")),
+        ),
+    )
 
 
 def best_previous(keywords: Column, previous: Column) -> Column:
@@ -104,12 +120,15 @@ def opportunity_reason(growth: Column, unique: Column) -> Column:
     )
 
 
-def _evolution_by_label(label: Column, evolution: Column) -> Column:
-    """The last evolution row of a label; +0% and stable without one."""
-    found = F.filter(evolution, lambda e: e["trend"] == label)
-    return F.struct(
-        F.coalesce(F.try_element_at(found, F.lit(-1))["status"], F.lit("stable")).alias("status"),
-        F.coalesce(F.try_element_at(found, F.lit(-1))["pct"], F.lit(0.0)).alias("pct"),
+def evolution_by_label(label: Column, evolution: Column) -> Column:
+    """(change, status, pct): the last evolution row of a label; +0% and stable without one."""
+    return let(
+        F.try_element_at(F.filter(evolution, lambda e: e["trend"] == label), F.lit(-1)),
+        lambda e: F.struct(
+            F.coalesce(e["change"], F.lit("+0%")).alias("change"),
+            F.coalesce(e["status"], F.lit("stable")).alias("status"),
+            F.coalesce(e["pct"], F.lit(0.0)).alias("pct"),
+        ),
     )
 
 
@@ -118,7 +137,7 @@ def opportunities_of(trends: Column, evolution: Column) -> Column:
 
     def raw(trend: Column, i: Column) -> Column:
         return let(
-            _evolution_by_label(trend["label"], evolution),
+            evolution_by_label(trend["label"], evolution),
             lambda e: let(
                 F.struct(
                     growth_factor(e["status"], e["pct"]).alias("growth"), uniqueness(trend, trends).alias("unique")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.ranking import top_per_group
@@ -17,8 +17,9 @@ MARGIN = 0.08
 
 
 def trailing(series: DataFrame, points: int = TREND_POINTS) -> DataFrame:
-    """Last ``points`` rows of each series; ``back`` is 1 for the newest."""
-    return top_per_group(series, ["topic"], [F.desc("dt")], points, "back")
+    """Last ``points`` rows of each series; ``back`` is 1 for the newest. Of two values for one date the larger counts
+    as the newer."""
+    return top_per_group(series, ["topic"], [F.desc("dt"), F.desc("value")], points, "back")
 
 
 def forecast(series: DataFrame, weeks: int = FORECAST_WEEKS) -> DataFrame:
@@ -55,27 +56,32 @@ def peaks(series: DataFrame) -> DataFrame:
     return series.groupBy("topic").agg(F.date_format(first_best, "yyyy").alias("peak_year"))
 
 
-def summarise(series: DataFrame) -> DataFrame:
-    """(topic, peak_year, avg_last_3m, trend_direction)."""
-    def mean(low: int, high: int):
+def recent_means(series: DataFrame) -> DataFrame:
+    """(topic, n, last_13, last_8, prior_8): means over the newest points, and how many there are of sixteen."""
+    def mean(low: int, high: int) -> Column:
         return F.avg(F.when(F.col("back").between(low, high), F.col("value")))
 
-    ends = (
+    return (
         trailing(series, 2 * HALF)
         .groupBy("topic")
         .agg(
             F.count("*").alias("n"),
-            mean(1, RECENT_POINTS).alias("recent"),
-            mean(1, HALF).alias("late"),
-            mean(HALF + 1, 2 * HALF).alias("early"),
+            mean(1, RECENT_POINTS).alias("last_13"),
+            mean(1, HALF).alias("last_8"),
+            mean(HALF + 1, 2 * HALF).alias("prior_8"),
         )
     )
+
+
+def summarise(series: DataFrame) -> DataFrame:
+    """(topic, peak_year, avg_last_3m, trend_direction)."""
+    late, early = F.col("last_8"), F.col("prior_8")
     direction = (
         F.when(F.col("n") < 2 * HALF, "stable")
-        .when(F.col("late") > F.col("early") * (1 + MARGIN), "rising")
-        .when(F.col("late") < F.col("early") * (1 - MARGIN), "falling")
+        .when(late > early * (1 + MARGIN), "rising")
+        .when(late < early * (1 - MARGIN), "falling")
         .otherwise("stable")
     )
-    return peaks(series).join(ends, "topic").select(
-        "topic", "peak_year", F.col("recent").cast("int").alias("avg_last_3m"), direction.alias("trend_direction")
+    return peaks(series).join(recent_means(series), "topic").select(
+        "topic", "peak_year", F.col("last_13").cast("int").alias("avg_last_3m"), direction.alias("trend_direction")
     )

@@ -321,17 +321,7 @@ def jn4(t):
   WHERE c.snapshot = 1 AND p.snapshot = 1""")
 def so3(t):
     """Each trend against the next in rank."""
-    steps = F.zip_with(
-        "trends",
-        F.slice("trends", 2, 12),
-        lambda a, b: F.struct(
-            a["label"].alias("label"),
-            b["label"].alias("other"),
-            F.size(F.array_intersect(a["keywords"], b["keywords"])).alias("both"),
-            F.size(F.array_union(a["keywords"], b["keywords"])).alias("either"),
-        ),
-    )
-    return t.trend_pairs().select("topic", F.inline(steps)).where("other IS NOT NULL")
+    return t.trend_pairs().select("topic", F.inline(evolution.next_in_rank(F.col("trends"))))
 
 
 @query(
@@ -347,19 +337,9 @@ def jn1(t):
     """Trends joined with the last evolution row of their label."""
     runs = evolution.trend_evolution(t.trend_pairs())
     found = F.transform(
-        "trends",
-        lambda x: F.struct(
-            x["label"].alias("label"),
-            F.try_element_at(F.filter("evolution", lambda e: e["trend"] == x["label"]), F.lit(-1)).alias("e"),
-        ),
-    )
-    rows = runs.select("topic", F.inline(found))
-    return rows.select(
-        "topic",
-        "label",
-        F.coalesce("e.change", F.lit("+0%")).alias("change"),
-        F.coalesce("e.status", F.lit("stable")).alias("status"),
+        "trends", lambda x: F.struct(x["label"].alias("label"), evolution.evolution_by_label(x["label"], F.col("evolution")).alias("e"))
     )
+    return runs.select("topic", F.inline(found)).select("topic", "label", "e.change", "e.status")
 
 
 @query("ag17_opportunities", "SELECT topic, label AS trend, opportunity_score, reason FROM opportunity_v")

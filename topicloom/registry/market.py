@@ -60,12 +60,8 @@ def wn5(t):
 @query("wn6_recent_means", """SELECT topic, round(avg(value) FILTER (back <= 13), 6) AS last_13, round(avg(value) FILTER (back <= 8), 6) AS last_8,
   round(avg(value) FILTER (back BETWEEN 9 AND 16), 6) AS prior_8 FROM back_v GROUP BY 1""")
 def wn6(t):
-    def mean(low, high, name):
-        return F.round(F.avg(F.when(F.col("back").between(low, high), F.col("value"))), 6).alias(name)
-
-    return series.trailing(t.timeline(), 16).groupBy("topic").agg(
-        mean(1, 13, "last_13"), mean(1, 8, "last_8"), mean(9, 16, "prior_8")
-    )
+    means = [F.round(c, 6).alias(c) for c in ("last_13", "last_8", "prior_8")]
+    return series.recent_means(t.timeline()).select("topic", *means)
 
 
 @query("wn7_peak_year", "SELECT topic, peak_year FROM summary_v")
