@@ -83,3 +83,27 @@ def test_bucketed_stores_are_read_without_an_exchange(spark, tmp_path):
     assert again.count() == 200 and "Exchange" not in history.latest_trends(again)._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE plan_runs")
     spark.sql("DROP TABLE plan_snapshots")
+
+
+def test_stores_are_pruned_by_month_and_topic(spark, tmp_path):
+    from topicloom.sources import store
+
+    rows = spark.range(400).selectExpr("id", "concat('t', id % 5) AS topic", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id AS int)) AS captured_at")
+    store.append_runs(rows, f"{tmp_path}/runs")
+    stored = store.read_runs(spark, f"{tmp_path}/runs")
+    low = F.to_timestamp_ntz(F.lit("2024-11-20 00:00:00"))
+    recent = store.since(stored, "captured_at", low).where("topic = 't1'")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else the filters are cut short in the plan's text
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "captured_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(topic,t1)" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert recent.count() == rows.where((F.col("captured_at") >= low) & (F.col("topic") == "t1")).count()
+    kinds = spark.createDataFrame([(f"t{i}", i) for i in range(5)], "topic string, n int")
+    kinds.write.parquet(f"{tmp_path}/windows")
+    windows = spark.read.parquet(f"{tmp_path}/windows").where("n < 2").select(
+        "topic", F.to_timestamp_ntz(F.lit("2024-03-10 00:00:00")).alias("since"), F.to_timestamp_ntz(F.lit("2024-04-02 00:00:00")).alias("until")
+    )
+    found = store.runs_in_windows(stored, windows)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+    want = rows.where("captured_at >= timestamp_ntz'2024-03-10' AND captured_at <= timestamp_ntz'2024-04-02' AND topic IN ('t0', 't1')")
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in want.collect())

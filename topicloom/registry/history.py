@@ -72,9 +72,30 @@ def tk8(t):
     "SELECT 'run' AS kind, id FROM runs_v WHERE topic = 'topic-7' UNION ALL SELECT 'call', id FROM api_usage_v WHERE logged_at >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS",
 )
 def fl9(t):
-    runs = t.runs(counts=False).where("topic = 'topic-7'").select(F.lit("run").alias("kind"), "id")
-    calls = t.api_usage().where(F.col("logged_at") >= as_of() - F.expr("INTERVAL 7 DAYS"))
-    return runs.unionByName(calls.select(F.lit("call").alias("kind"), "id"))
+    """From the stores: runs by a pushed topic, calls by their month's folder."""
+    runs, calls = new_folder(t.spark, "runs"), new_folder(t.spark, "usage")
+    store.append_runs(t.runs(counts=False), runs)
+    store.append_usage(t.api_usage(), calls)
+    of_topic = store.read_runs(t.spark, runs).where("topic = 'topic-7'").select(F.lit("run").alias("kind"), "id")
+    recent = store.since(store.read_usage(t.spark, calls), "logged_at", as_of() - F.expr("INTERVAL 7 DAYS"))
+    return of_topic.unionByName(recent.select(F.lit("call").alias("kind"), "id"))
+
+
+@query(
+    "fl9_runs_in_windows",
+    """SELECT id, topic FROM runs_v JOIN (SELECT 'topic-' || c_custkey AS topic, TIMESTAMP '1996-01-15' + to_days(CAST(c_custkey % 40 AS INTEGER)) AS since
+      FROM customer WHERE c_custkey % 3 = 0) w USING (topic) WHERE captured_at >= since AND captured_at <= since + INTERVAL 60 DAYS""",
+)
+def fl9_windows(t):
+    """Runs of a third of the customers' topics, each in sixty days of its own."""
+    path = new_folder(t.spark, "runs")
+    store.append_runs(t.runs(counts=False), path)
+    start = F.to_timestamp_ntz(F.lit("1996-01-15 00:00:00")) + F.expr("make_dt_interval(cast(c_custkey % 40 as int))")
+    windows = t.read("customer").where("c_custkey % 3 = 0").select(
+        F.concat(F.lit("topic-"), F.col("c_custkey").cast("string")).alias("topic"), start.alias("since")
+    )
+    windows = windows.withColumn("until", F.col("since") + F.expr("INTERVAL 60 DAYS"))
+    return store.runs_in_windows(store.read_runs(t.spark, path), windows).select("id", "topic")
 
 
 @query(

@@ -30,6 +30,26 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _month(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM")
+
+
+def since(stored: DataFrame, at: str, low: Column) -> DataFrame:
+    """Stored rows from ``low`` on. Only the folders of its month and later ones are read."""
+    month = next(c for c in ("captured_month", "logged_month") if c in stored.columns)
+    return stored.where((F.col(month) >= _month(low)) & (F.col(at) >= low))
+
+
+def runs_in_windows(stored: DataFrame, windows: DataFrame) -> DataFrame:
+    """Stored runs of each window (topic, since, until; both ends count). Windows are joined by the months they reach, so the
+    months that a selection of windows needs are found at run time and the other folders aren't read."""
+    first = F.date_trunc("month", "since")
+    months = windows.withColumn("captured_month", F.explode(F.sequence(first, F.col("until"), F.expr("INTERVAL 1 MONTH"))))
+    months = months.withColumn("captured_month", _month(F.col("captured_month")))
+    found = stored.join(months, ["captured_month", "topic"])
+    return found.where((F.col("captured_at") >= F.col("since")) & (F.col("captured_at") <= F.col("until")))
+
+
 def append_usage(log: DataFrame, path: str) -> None:
     _append(log, "logged_at", "logged_month", path)
 
