@@ -45,15 +45,16 @@ def collect(topics: DataFrame, web: DataFrame, news: DataFrame, fallback: DataFr
         return validate_posts(placed, "_place", as_of, within=["topic"]).drop("_place")
 
     expanded = ops.expand_queries(topics)
-    first = wave(expanded)
+    # each of these is read by several branches below
+    first = stage(wave(expanded), "first-wave")
     thin = stage(ops.retry_topics(topics, validated(ops.distinct_contents(first, arrival, "topic"))), "thin-topics")
     broad = ops.broaden_queries(expanded.join(thin, "topic", "left_semi"))
     queries = expanded.join(thin, "topic", "left_anti").unionByName(broad)
-    base = first.join(thin, "topic", "left_anti").unionByName(wave(broad), allowMissingColumns=True)
+    base = stage(first.join(thin, "topic", "left_anti").unionByName(wave(broad), allowMissingColumns=True), "collected")
 
     leading = queries.where(F.col("ord") < ops.ENRICH_QUERIES)
     chosen = ops.first_provider(ops.route_items(ops.in_region(social, region), leading))
-    extra = ops.cap_per_query(ops.since(chosen, timeline, as_of), leading, social_total, arrival).drop("tag", "provider_rank")
+    extra = stage(ops.cap_per_query(ops.since(chosen, timeline, as_of), leading, social_total, arrival).drop("tag", "provider_rank"), "enrichment")
     groups = ops.merge_enrichment(
         ops.distinct_contents(base, arrival, "query"), ops.distinct_contents(extra, arrival, "query"), arrival
     )

@@ -48,7 +48,7 @@ def wn1_name(t):
     FROM (SELECT id, topic, captured_at, min_by(label, trend_rank) AS first_label, count(*) AS n FROM lines_v GROUP BY 1, 2, 3) r""",
 )
 def wn2(t):
-    runs = evolution.previous_snapshot(t.run_history())
+    runs = evolution.previous_snapshot(stage(t.run_history(), "runs"))  # read twice
     return runs.select(
         "id",
         "topic",
