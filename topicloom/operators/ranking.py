@@ -41,3 +41,11 @@ def in_order(df: DataFrame, order: list[Column], position: str = "position") ->
     parts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
     place = F.col("_before") + F.col("_id").bitwiseAND(F.lit(low)) + 1
     return placed.join(parts, "_part").withColumn(position, place).drop("_part", "_id", "_before")
+
+
+def ranked_in_groups(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """``df`` with each row's 1-based place in its group under ``order``: its place among all rows less that of the group's
+    first. A group of any size is spread over the cluster, and no array or window holds it."""
+    placed = in_order(df, [*[F.col(k) for k in keys], *order], "_place")
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return placed.join(first, keys).withColumn(rank, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")

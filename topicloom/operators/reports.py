@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import decimal_text, preview
+from topicloom.operators.ranking import ranked_in_groups
 
 PAGE_SPAN = 1000
 
@@ -38,6 +39,25 @@ def nested_results(queries: DataFrame, posts: DataFrame, arrival: str = "post_id
     )
 
 
+def ranked_results(queries: DataFrame, posts: DataFrame, arrival: str = "post_id") -> DataFrame:
+    """(ord, query, rank, arrival, source, url, content_preview, collected_at, sentiment, metadata): one row per result of a
+    query, ranked by arrival; a query without results has one row without a rank. ``queries`` may carry a topic, by which
+    results are then kept apart. The shape doesn't depend on how arrival numbers are dealt."""
+    keys = [c for c in ("topic", "query") if c in queries.columns]
+    results = posts.select(
+        *keys,
+        F.col(arrival).alias("arrival"),
+        "source",
+        "url",
+        preview(F.col("content"), 240).alias("content_preview"),
+        "collected_at",
+        "sentiment",
+        F.struct("likes", "comments", "shares").alias("metadata"),
+    )
+    ranked = ranked_in_groups(results, keys, [F.col("arrival")])
+    return queries.select(*keys, "ord").join(ranked, keys, "left").select(*keys, "ord", "rank", *results.columns[len(keys):])
+
+
 def _keywords(trend: Column) -> Column:
     few = F.slice(trend["keywords"], 1, 5)
     return F.when(F.size(few) > 0, F.concat_ws(", ", few)).otherwise(F.lit("—"))

@@ -94,7 +94,11 @@ def analyse(posts: DataFrame, history: DataFrame, as_of: Column, arrival: str =
     documents yields no row.
     """
     # read several times by the terms, the scores and the gate; validation and its shuffle of the texts run once
-    processed = process(stage(validate_posts(posts, arrival, as_of), "validated"), clustering)
+    return report(process(stage(validate_posts(posts, arrival, as_of), "validated"), clustering), history)
+
+
+def report(processed: Processed, history: DataFrame) -> DataFrame:
+    """The rows of ``analyse`` for processed posts."""
     documents = processed.documents
     lists = trends.trend_lists(processed.trends)
     keywords = processed.top_keywords().groupBy("topic").agg(

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from topicloom.functions import text
 from topicloom.functions import wordlists as w
 from topicloom.functions.lenient import expand_topic
 from topicloom.operators import cluster, terms, trends
 from topicloom.operators.history import latest_trends
 from topicloom.operators.ranking import ordered_list
-from topicloom.plans import analysis
-from topicloom.plans.collect import collect
+from topicloom.operators.collect import expand_queries
+from topicloom.plans import analysis, answers
+from topicloom.plans.collect import Collected, collect
 from topicloom.operators.evolution import TREND_TYPE
 from topicloom.registry.base import query
-from topicloom.registry import insights as _insights  # noqa: F401  (its SQL blocks)
+from topicloom.registry import history as _history, insights as _insights  # noqa: F401  (their SQL blocks)
 from topicloom.registry.posts import as_of, strip_sql
 from topicloom.registry.sqltext import BLOCKS, block, two_pass
 from topicloom.session import stage
@@ -166,22 +168,49 @@ SELECT topic, string_agg(label || ':' || opportunity_score || ':' || reason, ';
     SELECT c.topic, c.label, c.trend_rank, c.score, greatest(0.6, 1.4 - coalesce(avg(len(list_intersect(c.keywords, o.keywords))
       / CAST(len(list_distinct(list_concat(c.keywords, o.keywords))) AS DOUBLE)), 0)) AS u
     FROM clustertrend_v c LEFT JOIN clustertrend_v o ON o.topic = c.topic AND o.label <> c.label GROUP BY 1, 2, 3, 4) a) b) d) e GROUP BY 1""")
-CQ1_SQL = two_pass(
-    """
+
+
+def analysis_sql(evolution: str, opportunities: str) -> str:
+    """One row per topic; the arguments give (topic, trend_evolution) and (topic, opportunity_scores)."""
+    return f"""
 SELECT topic, n_docs AS sources_analysed, top_keywords, trends, trend_evolution, opportunity_scores, summary, key_takeaways, confidence,
   CASE WHEN overall_score > 0.08 THEN 'positive' WHEN overall_score < -0.08 THEN 'negative' ELSE 'neutral' END AS overall_label, overall_score, sources
 FROM sizes_v
 JOIN (SELECT topic, string_agg(keyword, ', ' ORDER BY place) AS top_keywords FROM (
     SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place) AS r FROM (SELECT topic, keyword, min(trend_rank * 1000 + pos) AS place FROM (
       SELECT topic, trend_rank, unnest(keywords) AS keyword, generate_subscripts(keywords, 1) AS pos FROM clustertrend_v) u GROUP BY 1, 2) g) q WHERE r <= 10 GROUP BY 1) k USING (topic)
-JOIN (SELECT topic, string_agg(label || ':' || score, '; ' ORDER BY trend_rank) AS trends,
-    string_agg(label || ':+100%:new', '; ' ORDER BY trend_rank) AS trend_evolution FROM clustertrend_v GROUP BY 1) t USING (topic)
-JOIN cq1opp_v USING (topic) JOIN (SELECT topic, summary, key_takeaways, confidence FROM insight_v) i USING (topic)
+JOIN (SELECT topic, string_agg(label || ':' || score, '; ' ORDER BY trend_rank) AS trends FROM clustertrend_v GROUP BY 1) t USING (topic)
+JOIN ({evolution}) e USING (topic)
+JOIN ({opportunities}) o USING (topic) JOIN (SELECT topic, summary, key_takeaways, confidence FROM insight_v) i USING (topic)
 JOIN (SELECT topic, round(CAST(sum(CAST(round(score * 1000) AS BIGINT)) AS DOUBLE) / count(*) / 1000, 3) AS overall_score, count(DISTINCT source) AS sources
-  FROM posts_v JOIN sentiment_v USING (post_id) GROUP BY 1) s USING (topic)""",
+  FROM posts_v JOIN sentiment_v USING (post_id) GROUP BY 1) s USING (topic)"""
+
+
+CQ1_SQL = two_pass(
+    analysis_sql("SELECT topic, string_agg(label || ':+100%:new', '; ' ORDER BY trend_rank) AS trend_evolution FROM clustertrend_v GROUP BY 1", "SELECT * FROM cq1opp_v"),
     VALIDATED,
 )
 
+# The analysis against trends that were found the same way on half of the posts.
+WITH_HISTORY = analysis_sql(
+    "SELECT topic, string_agg(label || ':' || change || ':' || status, '; ' ORDER BY trend_rank) AS trend_evolution FROM evolution_v GROUP BY 1",
+    "SELECT topic, string_agg(label || ':' || opportunity_score || ':' || reason, '; ' ORDER BY opportunity_score DESC, trend_rank) AS opportunity_scores FROM opportunity_v GROUP BY 1",
+)
+HISTORY_BLOCKS = {
+    "half_v": two_pass("SELECT topic, label, keywords, score, trend_rank FROM clustertrend_v", f"SELECT * FROM ({BLOCKS['posts_v']}) whole WHERE post_id % 2 = 0"),
+    "trends_v": """SELECT topic, label, keywords, score, trend_rank, 1 AS snapshot FROM clustertrend_v
+      UNION ALL SELECT topic, label, keywords, score, trend_rank, 0 AS snapshot FROM half_v""",
+    # Trends of one topic may share a label here, so they are told apart by rank; growth is that of a label's last trend.
+    "match_v": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, trend_rank ORDER BY overlap DESC, p_rank) AS r FROM pair_v) q
+      WHERE r = 1 AND overlap >= 0.2""",
+    "evolution_v": BLOCKS["evolution_v"].replace("m.label = c.label", "m.trend_rank = c.trend_rank"),
+    "unique_v": BLOCKS["unique_v"].replace("SELECT c.topic, c.label,", "SELECT c.topic, c.label, c.trend_rank,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3"),
+    "grown_v": """SELECT e.* REPLACE (g.status AS status, g.pct0 AS pct0) FROM evolution_v e
+      JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic, label ORDER BY trend_rank DESC) AS r FROM evolution_v) x WHERE r = 1) g
+      ON g.topic = e.topic AND g.label = e.label""",
+    "opportunity_v": BLOCKS["opportunity_v"].replace("FROM evolution_v e JOIN unique_v u ON u.topic = e.topic AND u.label = e.label", "FROM grown_v e JOIN unique_v u ON u.topic = e.topic AND u.trend_rank = e.trend_rank"),
+}
+
 
 @query("cq1_analyse_by_source", CQ1_SQL)
 def cq1_by_source(t):
@@ -189,18 +218,108 @@ def cq1_by_source(t):
     return _flat(analysis.analyse(t.posts(), _no_history(t), as_of(), clustering=analysis.column_clusters("source")))
 
 
-@query("cq1_analyse_with_history")
+def stored_runs(t):
+    """Runs whose trends were found on half of the posts, with their source as the cluster."""
+    earlier = analysis.process(t.posts().where("post_id % 2 = 0"), analysis.column_clusters("source"))
+    return trends.trend_lists(earlier.trends).select(F.lit(1).alias("id"), "topic", as_of().alias("captured_at"), "trends")
+
+
+@query("cq1_analyse_with_history", two_pass(WITH_HISTORY, VALIDATED, HISTORY_BLOCKS))
 def cq1_history(t):
     """As above, against stored runs whose trends were found the same way on half of the posts."""
-    posts = t.posts()
-    earlier = analysis.process(posts.where("post_id % 2 = 0"), analysis.column_clusters("source"))
-    stored = trends.trend_lists(earlier.trends).select(
-        F.lit(1).alias("id"), "topic", as_of().alias("captured_at"), "trends"
-    )
-    rows = analysis.analyse(posts, latest_trends(stored), as_of(), clustering=analysis.column_clusters("source"))
+    rows = analysis.analyse(t.posts(), latest_trends(stored_runs(t)), as_of(), clustering=analysis.column_clusters("source"))
     return _flat(rows)
 
 
+def _requests(t):
+    """Every language and every region; one language asks for a refresh. No post belongs to a region."""
+    languages = t.read("documents").select(F.col("lang").alias("topic")).distinct()
+    regions = t.read("region").select(F.trim("r_name").alias("topic"))
+    return languages.unionByName(regions).where("topic IS NOT NULL").withColumn("refresh", F.col("topic") == "en")
+
+
+def _answers(t):
+    """Stored answers: fresh ones for two languages and every other region, old ones for the other regions."""
+    requests = _requests(t)
+    topics = requests.select("topic")
+    numbers = t.read("region").select(F.trim("r_name").alias("topic"), "r_regionkey")
+    age = F.when((F.col("r_regionkey") % 2 == 0) | F.col("topic").isin("de", "en"), F.expr("INTERVAL 1 HOUR")).when(
+        F.col("r_regionkey") % 2 == 1, F.expr("INTERVAL 72 HOURS")
+    )
+    snapshots = topics.join(numbers, "topic", "left").select(
+        F.lit(1).alias("id"),
+        text.fingerprint(F.col("topic")).alias("key"),
+        (as_of() - age).alias("captured_at"),
+        F.to_json(F.struct("topic", F.lit(7).alias("sources_analysed"))).alias("result"),
+    )
+    queries = expand_queries(topics)
+    place = (F.col("post_id") % 3).cast("int")  # the fourth query finds nothing
+    groups = t.posts().withColumn("query", F.get(expand_topic(F.col("topic")), place))
+    found = Collected(queries, t.posts(), groups, topics.limit(0))
+
+    def build():
+        return answers.answer(
+            requests, found, stored_runs(t), snapshots.where("captured_at IS NOT NULL"), as_of(), clustering=analysis.column_clusters("source")
+        )
+
+    return answers.write_answers(t.spark, build)
+
+
+REQUESTS_SQL = f"""(SELECT topic, coalesce(topic <> 'en' AND (topic = 'de' OR r_regionkey % 2 = 0), FALSE) AS cached, r_regionkey IS NOT NULL AS region FROM (
+    SELECT DISTINCT lang AS topic, NULL AS r_regionkey FROM documents WHERE lang IS NOT NULL UNION ALL SELECT trim(r_name), r_regionkey FROM region) q) r"""
+QUERY_LIST = " || '; ' || ".join(f"topic || ' {s}'" for s in w.QUERY_SUFFIXES)
+
+
+@query(
+    "cq1_answers",
+    two_pass(
+        f"""SELECT r.topic, cached, CASE WHEN region AND NOT cached THEN '{answers.NO_DATA}' END AS error, CASE WHEN NOT region AND NOT cached THEN 'broad' END AS query_type,
+      CASE WHEN NOT region AND NOT cached THEN {QUERY_LIST.replace('topic', 'r.topic')} ELSE '' END AS queries, CASE WHEN cached THEN 7 ELSE sources_analysed END AS sources_analysed,
+      CASE WHEN cached OR region THEN '' ELSE top_keywords END AS top_keywords, CASE WHEN cached OR region THEN '' ELSE trend_evolution END AS trend_evolution,
+      CASE WHEN cached OR region THEN '' ELSE opportunity_scores END AS opportunity_scores, CASE WHEN NOT cached THEN summary END AS summary,
+      CASE WHEN NOT cached THEN overall_score END AS overall_score, NOT cached AND NOT region AS stored
+    FROM {REQUESTS_SQL} LEFT JOIN ({WITH_HISTORY}) a ON a.topic = r.topic""",
+        VALIDATED,
+        HISTORY_BLOCKS,
+    ),
+)
+def cq1_answers(t):
+    """Requests answered from the store or by analysis, with errors, and whether the answer reads back from the snapshots."""
+    made = _answers(t)
+    shape = made.answers.schema["answer"].dataType
+    again = made.snapshots.join(made.answers.select("key", "topic", "answer"), "key").where(F.from_json("result", shape)["trends"] == F.col("answer.trends"))
+    stored = made.runs.select("topic").join(again.select("topic"), "topic").withColumn("stored", F.lit(True))
+    got = made.answers.join(stored, "topic", "left")
+
+    def joined(column: str, *fields: str):
+        return F.concat_ws("; ", F.transform(F.col("answer")[column], lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])))
+
+    return got.select(
+        "topic", "cached", "error", F.col("answer.query_intelligence.query_type").alias("query_type"),
+        F.concat_ws("; ", "answer.queries").alias("queries"), "answer.sources_analysed", F.concat_ws(", ", "answer.top_keywords").alias("top_keywords"),
+        joined("trend_evolution", "trend", "change", "status").alias("trend_evolution"),
+        joined("opportunity_scores", "trend", "opportunity_score", "reason").alias("opportunity_scores"),
+        F.col("answer.insights.summary").alias("summary"), F.col("answer.sentiment_summary.overall_score").alias("overall_score"),
+        F.coalesce("stored", F.lit(False)).alias("stored"),
+    )
+
+
+@query(
+    "cq1_query_results",
+    f"""SELECT r.topic, ord, r.topic || ' ' || suffix AS query, rank, post_id AS arrival, source, url, preview AS content_preview, label AS sentiment, likes
+    FROM {REQUESTS_SQL} CROSS JOIN (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(w.QUERY_SUFFIXES))}) s(ord, suffix)
+    LEFT JOIN (SELECT p.*, s.label, p.post_id % 3 AS place, row_number() OVER (PARTITION BY topic, p.post_id % 3 ORDER BY p.post_id) AS rank,
+      CASE WHEN length(content) > 240 THEN substring(content, 1, 240) || '...' ELSE content END AS preview
+      FROM posts_v p JOIN sentiment_v s USING (post_id)) x ON x.topic = r.topic AND x.place = ord WHERE NOT cached""",
+)
+def cq1_query_results(t):
+    """Results of every query of the topics that were analysed, ranked by arrival."""
+    return _answers(t).results.select(
+        "topic", "ord", "query", F.col("rank").cast("bigint").alias("rank"), "arrival", "source", "url", "content_preview",
+        F.col("sentiment.label").alias("sentiment"), F.col("metadata.likes").alias("likes"),
+    )
+
+
 def _flat(rows):
     def joined(column: str, *fields: str):
         return F.concat_ws("; ", F.transform(column, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])))

@@ -18,6 +18,8 @@ INT_COLUMNS = {
     "ag19_score_history": ["back", "pos"],
     "ag2_term_weights": ["tf"],
     "cq1_analyse_by_source": ["sources"],
+    "cq1_analyse_with_history": ["sources"],
+    "cq1_query_results": ["ord"],
     "cq2_market_intel": ["n_forecast"],
     "fl3_minimum_length": ["chars"],
     "jn6_supporting_document": ["trend_rank"],

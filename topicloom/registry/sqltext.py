@@ -308,8 +308,8 @@ SELECT t.topic, t.cluster, coalesce(label, 'Emerging Topic') AS label, keywords,
 # ---- the full analysis: gate in a first pass, everything else over the survivors -----
 
 
-def two_pass(body: str, posts: str | None = None) -> str:
-    """``body`` over the posts that survive the engagement gate.
+def two_pass(body: str, posts: str | None = None, blocks: dict[str, str] | None = None) -> str:
+    """``body`` over the posts that survive the engagement gate; ``blocks`` replaces blocks of the second pass.
 
     The blocks of the first pass get a suffix; the second pass reads its posts and their
     scores from the first.
@@ -324,5 +324,6 @@ def two_pass(body: str, posts: str | None = None) -> str:
         "posts_v": "SELECT post_id, topic, query, source, content, url, collected_at, likes, comments, shares, engagement_score"
         " FROM postscore_v_1 WHERE engagement_score >= 5.0 OR (source = 'linkedin' AND likes + comments + shares > 0)",
         "postscore_v": "SELECT * FROM posts_v",
+        **(blocks or {}),
     }
     return oracle(body, {**earlier, **later})

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,8 +47,28 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folder that owns what is staged now, if a run has one.
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_OWNER.get() or shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """What is staged inside lies in one folder of the shared one, and that folder goes at the end, after an error too.
+
+    Results that read staged tables must be written elsewhere before the end. An inner run keeps to its own folder.
+    """
+    folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _OWNER.set(folder)
+    try:
+        yield folder
+    finally:
+        _OWNER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
