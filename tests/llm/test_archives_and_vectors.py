@@ -107,6 +107,32 @@ def test_neighbours_are_exact(spark, monkeypatch):
     assert neighbours.nearest(_vectors(spark, [])).collect() == []
 
 
+def test_neighbours_meet_in_a_grid(spark, monkeypatch):
+    """Several blocks and slices; no row of vectors passes the driver."""
+    pick = np.random.default_rng(3)
+    rows = [(i, pick.normal(size=4).round(1).tolist()) for i in range(600)]
+    table = _vectors(spark, rows).repartition(5)
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 200)
+    kind = type(table)
+    collect = kind.collect
+
+    def small(df):
+        assert "embedding" not in df.columns
+        return collect(df)
+
+    with monkeypatch.context() as driver:
+        driver.setattr(kind, "collect", small)
+        for name in ("toArrow", "toPandas", "toLocalIterator"):
+            driver.setattr(kind, name, None)
+        found = neighbours.nearest(table, 3, 20)
+        got = sorted(tuple(r) for r in found.collect())
+    assert got == _brute(rows, 3, 20)
+    assert "embedding" not in found._jdf.queryExecution().toString()  # what is shuffled are heaps
+    # one block, all slices in turn, give the same heaps as one slice
+    monkeypatch.setattr(neighbours, "WAVES", 0)
+    assert sorted(tuple(r) for r in neighbours.nearest(table, 3, 20).collect()) == got
+
+
 def test_bounds_hold():
     pick = np.random.default_rng(1)
     for scale in (1e-30, 1.0, 1e20):

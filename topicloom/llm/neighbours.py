@@ -6,8 +6,11 @@ whose least possible distance is beyond the k-th best found so far, or beyond th
 the others are computed from the original vectors in double precision and merged into the query's heap. A
 task keeps k candidates per query, and the last step ranks those of all tasks.
 
-Queries are dealt by hash to groups of at most about ``GROUP_BYTES``, found by counting; each group is
-broadcast and meets every candidate where it lies. Candidates are not shuffled.
+The vectors are written once to the shared folder, and the queries again, dealt by hash to blocks of about ``GROUP_BYTES``. A
+grid of tasks then joins blocks of queries with slices of the candidates: a task reads one block and streams the files of one
+slice past it, so it holds a block, a batch and k candidates per query. Blocks and slices are found by counting; there are
+as many slices as keep the machines busy, and enough that none is much above ``SLICE_BYTES``. No vector passes the driver, none is
+broadcast, and only heaps are shuffled.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 without vec_id. Vectors of another dimension than a query's are no candidates for it. Rows that repeat a
@@ -23,11 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import filesystem, new_folder
+
 K, MODULUS = 10, 100
-GROUP_BYTES = 16 << 20
+GROUP_BYTES, SLICE_BYTES = 16 << 20, 4 << 30
+#: Tasks per core, while there are files enough.
+WAVES = 3
+#: Cells beyond this number share tasks.
+MOST_TASKS = 100_000
 #: Queries by candidates of a tile.
 TILE_QUERIES, TILE_ROWS = 1024, 4096
 FOUND = "query_id long, vec_id long, score double"
@@ -126,37 +137,65 @@ def usable(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.nd
             yield numbers[at[good]], rows[good]
 
 
+def vectors_of(folder: str, piece: int = 0, pieces: int = 1, tile: int = TILE_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of every ``pieces``-th Parquet file of a folder, in batches of at most ``tile`` rows; none if there is no such folder."""
+    store, path = filesystem(folder)
+    files = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    for name in sorted(f.path for f in files if f.path.endswith(".parquet"))[piece::pieces]:
+        with store.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(tile, columns=["vec_id", "embedding"]):
+                yield from usable(batch.column(0), batch.column(1))
+
+
+def block_of(folder: str, number: int) -> dict[int, Block]:
+    """The queries of a block by dimension."""
+    parts: dict[int, list] = {}
+    for ids, matrix in vectors_of(f"{folder}/block={number}"):
+        parts.setdefault(matrix.shape[1], []).append((ids, matrix))
+    return {size: Block(*(np.concatenate(c) for c in zip(*found, strict=True))) for size, found in parts.items()}
+
+
+def searched(cells: Iterator[int], queries: str, rows: str, slices: int, k: int, tile: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each query of a cell's block among the candidates of its slice."""
+    for cell in cells:
+        block, piece = divmod(cell, slices)
+        heaps = {size: Heaps(found, k) for size, found in block_of(queries, block).items()}
+        for ids, matrix in vectors_of(rows, piece, slices, tile) if heaps else ():
+            if matrix.shape[1] in heaps:
+                heaps[matrix.shape[1]].meet(Block(ids, matrix))
+        for held in heaps.values():
+            triples = [(q, i, d) for q, best in zip(held.queries.ids.tolist(), held.held, strict=True) for d, i in best]
+            if triples:
+                columns = zip(zip(*triples, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, k: int = K, modulus: int = MODULUS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose vec_id is divisible by ``modulus``."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    queries = rows.filter(F.col("vec_id") % modulus == 0).filter(F.size("embedding") > 0)
-    size = queries.agg(F.sum(8 * F.size("embedding") + 8)).first()[0] or 0
-    groups = 1 + size // GROUP_BYTES
-    found = None
-    for group in range(groups):
-        mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == group)
-        # the least of rows with one id, among those that take part
-        whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        good = mine.filter(whole & F.exists("embedding", lambda x: x != 0))
-        held = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow().combine_chunks()
-        blocks = list(usable(held["vec_id"].combine_chunks(), held["embedding"].combine_chunks())) if held.num_rows else []
-        sent = rows.sparkSession.sparkContext.broadcast(blocks)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            heaps = {b[1].shape[1]: Heaps(Block(*b), k) for b in sent.value}
-            for batch in batches:
-                for ids, matrix in usable(batch.column(0), batch.column(1)):
-                    for first in range(0, len(ids) if matrix.shape[1] in heaps else 0, TILE_ROWS):
-                        heaps[matrix.shape[1]].meet(Block(ids[first : first + TILE_ROWS], matrix[first : first + TILE_ROWS]))
-            for held in heaps.values():
-                triples = [(q, i, d) for q, best in zip(held.queries.ids.tolist(), held.held, strict=True) for d, i in best]
-                if triples:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*triples, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)],
-                        ["query_id", "vec_id", "score"],
-                    )
-
-        part = rows.mapInArrow(search, FOUND)
-        found = part if found is None else found.unionByName(part)
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.filter(F.col("vec_id").isNotNull() & whole & F.exists("embedding", lambda x: x != 0))
+    folder = new_folder(spark, "vectors")
+    rows.write.parquet(f"{folder}/rows")
+    held = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    asked, weight = F.col("vec_id") % modulus == 0, 8 * F.size("embedding") + 8
+    size, size_asked = held.agg(F.sum(weight), F.sum(F.when(asked, weight))).first()
+    blocks = 1 + (size_asked or 0) // GROUP_BYTES
+    busy = -(-WAVES * spark.sparkContext.defaultParallelism // blocks)
+    slices = max(1, min(len(held.inputFiles()), max(busy, 1 + (size or 0) // SLICE_BYTES)))
+    # the least of rows with one id
+    queries = held.filter(asked).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    queries.repartition("block").write.partitionBy("block").parquet(f"{folder}/queries")
+
+    tile = TILE_ROWS
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = (i for batch in batches for i in batch.column(0).to_pylist())
+        return searched(cells, f"{folder}/queries", f"{folder}/rows", slices, k, tile)
+
+    cells = blocks * slices
+    found = spark.range(0, cells, 1, min(cells, MOST_TASKS)).mapInArrow(search, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
