@@ -45,6 +45,13 @@ def open_requests(requests: DataFrame, snapshots: DataFrame, as_of: Column) -> D
     return store.lookup(keyed.select("topic", "refresh", "key"), store.fresh_snapshots(snapshots, as_of))
 
 
+def query_results(collected: Collected, topics: DataFrame, arrival: str = "post_id") -> DataFrame:
+    """Ranked results of every query of ``topics``."""
+    queries = collected.queries.join(topics, "topic", "left_semi")
+    groups = collected.groups.join(topics, "topic", "left_semi")
+    return reports.ranked_results(queries, groups.withColumn("sentiment", sentiment(F.col("content"))), arrival)
+
+
 def answer(requests: DataFrame, collected: Collected, runs: DataFrame, snapshots: DataFrame, as_of: Column,
            arrival: str = "post_id", clustering: Clustering | None = None) -> Answers:
     """Requests (topic, refresh) answered from the store where it holds a fresh result, else by analysis.
@@ -88,12 +95,10 @@ def answer(requests: DataFrame, collected: Collected, runs: DataFrame, snapshots
     )
     fresh = made.select("topic", "key", F.lit(False).alias("cached"), "error", F.when(F.col("error").isNull(), F.col("answer")).alias("answer"))
 
-    groups = collected.groups.join(topics, "topic", "left_semi")
-    results = reports.ranked_results(queries, groups.withColumn("sentiment", sentiment(F.col("content"))), arrival)
     good = made.where("error IS NULL")
     return Answers(
         answers=kept.unionByName(fresh),
-        results=results,
+        results=query_results(collected, topics, arrival),
         documents=processed.documents,
         runs=good.select(
             "topic", as_of.alias("captured_at"), F.col("answer.sources_analysed").alias("sources_count"), "answer.trends", "answer.insights"

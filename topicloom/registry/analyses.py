@@ -238,8 +238,8 @@ def _requests(t):
     return languages.unionByName(regions).where("topic IS NOT NULL").withColumn("refresh", F.col("topic") == "en")
 
 
-def _answers(t):
-    """Stored answers: fresh ones for two languages and every other region, old ones for the other regions."""
+def _inputs(t):
+    """Requests, what was collected, and stored answers: fresh ones for two languages and every other region, old ones for the other regions."""
     requests = _requests(t)
     topics = requests.select("topic")
     numbers = t.read("region").select(F.trim("r_name").alias("topic"), "r_regionkey")
@@ -256,13 +256,13 @@ def _answers(t):
     place = (F.col("post_id") % 3).cast("int")  # the fourth query finds nothing
     groups = t.posts().withColumn("query", F.get(expand_topic(F.col("topic")), place))
     found = Collected(queries, t.posts(), groups, topics.limit(0))
+    return requests, found, snapshots.where("captured_at IS NOT NULL")
 
-    def build():
-        return answers.answer(
-            requests, found, stored_runs(t), snapshots.where("captured_at IS NOT NULL"), as_of(), clustering=analysis.column_clusters("source")
-        )
 
-    return answers.write_answers(t.spark, build)
+def _answers(t):
+    requests, found, snapshots = _inputs(t)
+    clusters = analysis.column_clusters("source")
+    return answers.write_answers(t.spark, lambda: answers.answer(requests, found, stored_runs(t), snapshots, as_of(), clustering=clusters))
 
 
 REQUESTS_SQL = f"""(SELECT topic, coalesce(topic <> 'en' AND (topic = 'de' OR r_regionkey % 2 = 0), FALSE) AS cached, r_regionkey IS NOT NULL AS region FROM (
@@ -314,7 +314,9 @@ def cq1_answers(t):
 )
 def cq1_query_results(t):
     """Results of every query of the topics that were analysed, ranked by arrival."""
-    return _answers(t).results.select(
+    requests, found, snapshots = _inputs(t)
+    todo = answers.open_requests(requests, snapshots, as_of()).where("result IS NULL").select("topic").distinct()
+    return answers.query_results(found, todo).select(
         "topic", "ord", "query", F.col("rank").cast("bigint").alias("rank"), "arrival", "source", "url", "content_preview",
         F.col("sentiment.label").alias("sentiment"), F.col("metadata.likes").alias("likes"),
     )
