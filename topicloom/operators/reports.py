@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.text import decimal_text, preview
 from topicloom.operators.ranking import ranked_in_groups
+from topicloom.session import stage
 
 PAGE_SPAN = 1000
 
@@ -44,7 +45,7 @@ def ranked_results(queries: DataFrame, posts: DataFrame, arrival: str = "post_id
     query, ranked by arrival; a query without results has one row without a rank. ``queries`` may carry a topic, by which
     results are then kept apart. The shape doesn't depend on how arrival numbers are dealt."""
     keys = [c for c in ("topic", "query") if c in queries.columns]
-    results = posts.select(
+    made = posts.select(
         *keys,
         F.col(arrival).alias("arrival"),
         "source",
@@ -54,6 +55,7 @@ def ranked_results(queries: DataFrame, posts: DataFrame, arrival: str = "post_id
         "sentiment",
         F.struct("likes", "comments", "shares").alias("metadata"),
     )
+    results = stage(made, "results")  # the sort reads its input twice
     ranked = ranked_in_groups(results, keys, [F.col("arrival")])
     return queries.select(*keys, "ord").join(ranked, keys, "left").select(*keys, "ord", "rank", *results.columns[len(keys):])
 
