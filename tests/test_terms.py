@@ -142,3 +142,54 @@ def test_keyword_counts_in_one_pass(spark):
 
     got = [r.c for r in df.select(occurrence_counts(F.lower("text"), F.col("terms")).alias("c")).collect()]
     assert got == [[2, 1, 2, 2], None, [], [0]]
+
+
+def tied_corpus():
+    """Topics whose 250th term is tied: with few words behind it, with more than the list holds, and with words that occur once."""
+    rng = random.Random(5)
+    few = [f"w{i:03d}x" for i in range(300)]
+    many = [f"v{i:04d}x" for i in range(1200)]
+    rows = [("few", " ".join(rng.choice(few[:260]) for _ in range(90))) for _ in range(12)] + [("few", " ".join(few[::-1]))]
+    rows += [("many", " ".join(many[i : i + 2] * 3)) for i in range(0, 1200, 2)]
+    rows += [("many", "zz-top aaa-bar " * 5)] + [("once", " ".join(many[::-1])), (None, "solar wind solar wind"), ("none", None)]
+    return [(i, t, c) for i, (t, c) in enumerate(rows)]
+
+
+def test_vocabulary_with_ties_equals_brute_force(spark):
+    want = defaultdict(Counter)
+    for _, topic, text in tied_corpus():
+        kept = [t for t in TOKEN.findall(text or "") if t not in set(stop_words())]
+        want[topic] += Counter(kept + [f"{a} {b}" for a, b in zip(kept, kept[1:])])
+    df = spark.createDataFrame(tied_corpus(), "post_id long, topic string, content string")
+    for most in (250, 40):
+        got = defaultdict(dict)
+        for r in terms.vocabulary(df, most).collect():
+            got[r.topic][r.idx] = (r.term, r.total)
+        best = {k: sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:most] for k, c in want.items() if c}
+        assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == best
+    assert any(" " in t for t, _ in best["many"])
+
+
+def test_counts_run_python_once(spark):
+    """A filter on what Python counts was planned with a second run of the Python code."""
+    posts = frame(spark)
+    counts = terms.document_counts(posts, stage(terms.vocabulary(posts), "vocabulary"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") + plan.count("MapInArrow") == 1
+
+
+def test_parts_of_counts_are_passed_on_before_they_grow(monkeypatch):
+    import pyarrow as pa
+
+    from topicloom.functions import patterns
+
+    monkeypatch.setattr(patterns, "HELD_COUNTS", 10)
+    texts = [" ".join(f"word{i}x{j}" for j in range(6)) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"topic": ["a"] * 50, "low": texts})
+    parts = list(patterns.token_totals(["word0x0"])(iter([batch, batch])))
+    assert max(p.num_rows for p in parts) <= 15
+    total = Counter()
+    for p in parts:
+        for r in p.to_pylist():
+            total[r["term"]] += r["total"]
+    assert total == Counter({w: 2 for t in texts for w in t.split() if w != "word0x0"})
