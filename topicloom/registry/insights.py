@@ -8,6 +8,7 @@ from topicloom.operators import engagement, insights, similarity, terms, trends
 from topicloom.operators.ranking import ordered_list
 from topicloom.registry.base import query
 from topicloom.registry.sqltext import block
+from topicloom.session import stage
 
 # Documents here are all posts with their score and keywords; clusters are their sources.
 
@@ -68,7 +69,8 @@ class Parts:
     """Documents and by-source trends of all posts."""
 
     def __init__(self, t):
-        self.posts = t.posts()
+        # read by every part; staged, so that the texts are joined with their pages and events once
+        self.posts = stage(t.posts(), "posts")
         self.model = terms.TermModel(self.posts.select("topic", "post_id", "content", "source"))
 
     def trends(self):
