@@ -193,3 +193,19 @@ def test_parts_of_counts_are_passed_on_before_they_grow(monkeypatch):
         for r in p.to_pylist():
             total[r["term"]] += r["total"]
     assert total == Counter({w: 2 for t in texts for w in t.split() if w != "word0x0"})
+
+
+def test_plain_terms_are_counted_from_tokens():
+    from topicloom.functions.patterns import Automaton, Vocabulary, tokens_of
+
+    rng = random.Random(11)
+    stops = frozenset(["the", "top-up"])
+    listed = ["aab", "aba", "the", "aab aba", "aab-aba", "aab-", "aab", "", "ab", "\u00e9ab", "aab\u00e9", "top", "top-up", "up aab", "aab the"]
+    one, whole = Vocabulary(listed, stops), Automaton(listed)
+    assert set(one.rest.number) == {"the", "aab aba", "aab-aba", "aab-", "ab", "\u00e9ab", "aab\u00e9", "top-up", "up aab", "aab the"}
+    parts = ["aab", "aba", "the", "ab", "top", "up", "\u00e9", "_", "7", "-", "-", " ", " ", "\u00a0", "\u2028", "\x1f", ".", "\u0301"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        tokens = [t for t in re.findall(r"\b[a-z][a-z0-9\-]{2,}\b", text) if t not in stops]
+        assert tokens_of(text, stops) == tokens
+        assert one.counts(text, tokens) == (whole.token_counts(tokens), {i: n for i, n in enumerate(whole.whole_words(text)) if n})
