@@ -159,3 +159,20 @@ def test_seeds_come_from_all_documents(spark):
     assert len(labels) == 3000
     rare = {r.cluster for r in labels if r.post_id % 1000 == 7}
     assert len(rare) == 1 and all(r.cluster not in rare for r in labels if r.post_id % 1000 != 7)
+
+
+def test_nearest_rows_lie_together():
+    """Centroids of all runs are compared row by row; equal at ten decimals, the first of a run wins."""
+    rng = np.random.default_rng(5)
+    x, centroids = rng.random((40, 6)), rng.random((9, 6))
+    centroids[4] = centroids[3] + 1e-13
+    centroids[8] = np.nan
+    runs = np.array([203, 3, 203, 3, 3, 104, 104, 104, 7])
+    names, winner, distance = cluster._nearest(x, centroids, runs)
+    assert names.tolist() == [3, 7, 104, 203] and winner.shape == distance.shape == (4, 40)
+    for j, run in enumerate(names):
+        at = np.flatnonzero(runs == run)
+        gaps = ((x[:, None, :] - centroids[at][None]) ** 2).sum(axis=2)
+        assert winner[j].tolist() == at[np.round(gaps, 10).argmin(axis=1)].tolist()
+        assert np.allclose(distance[j], gaps.min(axis=1), equal_nan=True)
+    assert cluster._nearest(np.zeros((0, 6)), centroids[:4], runs[:4])[1].shape == (2, 0)
