@@ -8,6 +8,8 @@ executor or driver leaves the same rows.
 from __future__ import annotations
 
 import datetime as dt
+import struct
+from collections import defaultdict
 from contextlib import contextmanager
 
 import pandas as pd
@@ -59,37 +61,91 @@ def _millis(at: dt.datetime) -> int:
     return int(at.timestamp() * 1000)
 
 
+#: Groups of content hashes. State is kept by group, so a checkpoint holds for one number only.
+HASH_GROUPS = 4096
+#: A hash that has been seen, and the millisecond at which it is forgotten.
+SEEN = struct.Struct("<32sq")
+
+
 class FirstOfContent(StatefulProcessor):
     """Emits the first post of a content hash: the earliest of the batch in which the hash is new. The hash is forgotten
-    by a timer, when the watermark has passed its post by ``delay``."""
+    by a timer, when the watermark has passed its post by ``delay``.
+
+    Posts come by group of hashes, since calls to the state store for each hash take far longer than its rows. What a
+    group has seen lies in slots, by when it is forgotten, a quarter of ``delay`` to a slot, and each slot in parts. A batch
+    writes its new hashes as one more part, joined with those before it that are no larger, so a hash is written again as
+    often as the slot's size doubles. A slot has a timer at the time its next hash is forgotten, and goes with the last.
+    """
 
     def __init__(self, delay: str, order: list[str]):
         self.delay_ms = int(pd.Timedelta(delay).total_seconds() * 1000)
+        self.slot_ms = max(1, self.delay_ms // 4)
         self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "millis long")
+        self.seen = handle.getMapState("seen", "slot long, part int", "hashes binary")
 
     def handleInputRows(self, key, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
-        held = self.seen.get()
-        # timers go off after a batch's rows, so what they are about to forget doesn't count
-        if held is not None and held[0] + self.delay_ms >= mark:
-            return
-        timely = (r for r in rows if _millis(r["collected_at"]) >= mark)
-        first = min(timely, key=lambda r: tuple(r[c] for c in self.order), default=None)
-        if first is None:
+        first = {}
+        for r in rows:
+            at = _millis(r["collected_at"])
+            if at < mark:
+                continue
+            text, rank = r["content_hash"], tuple(r[c] for c in self.order)
+            held = first.get(text)
+            if held is None or rank < held[0]:
+                first[text] = (rank, at + self.delay_ms, r)
+        if not first:
             return
-        if held is not None:
-            self.handle.deleteTimer(held[0] + self.delay_ms)
-        at = _millis(first["collected_at"])
-        self.seen.update((at,))
-        self.handle.registerTimer(at + self.delay_ms)
-        yield first
+        slots = self._slots()
+        # timers go off after a batch's rows, so what they are about to forget doesn't count
+        known = {slot: {h: t for hashes in parts.values() for h, t in SEEN.iter_unpack(hashes) if t >= mark} for slot, parts in slots.items()}
+        posts, added = [], defaultdict(dict)
+        for text, (_, until, post) in first.items():
+            name = bytes.fromhex(text)
+            if not any(name in hashes for hashes in known.values()):
+                added[until // self.slot_ms][name] = until
+                posts.append(post)
+        for slot, new in added.items():
+            self._add(slot, slots.get(slot, {}), new)
+            soonest = min(new.values())
+            if not any(mark < t <= soonest for t in known.get(slot, {}).values()):
+                self.handle.registerTimer(soonest)
+        yield from posts
+
+    def _slots(self) -> dict[int, dict[int, bytes]]:
+        slots = defaultdict(dict)
+        for (slot, part), (hashes,) in self.seen.iterator():
+            slots[slot][part] = hashes
+        return slots
+
+    def _add(self, slot: int, parts: dict[int, bytes], new: dict[bytes, int]) -> None:
+        hashes = b"".join(SEEN.pack(*h) for h in new.items())
+        into = max(parts, default=-1) + 1
+        for part in sorted(parts, reverse=True):
+            if len(parts[part]) > len(hashes):
+                break
+            hashes += parts[part]
+            if into in parts:
+                self.seen.removeKey((slot, into))
+            into = part
+        self.seen.updateValue((slot, into), (hashes,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.seen.clear()
+        mark, slot = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() // self.slot_ms
+        parts = self._slots()[slot]
+        left = {part: [h for h in SEEN.iter_unpack(hashes) if h[1] > mark] for part, hashes in parts.items()}
+        soonest = min((t for hashes in left.values() for _, t in hashes), default=None)
+        for part, hashes in parts.items():
+            if soonest is None:
+                self.seen.removeKey((slot, part))
+            # those of before the watermark count no more wherever they lie; those of its millisecond still would
+            elif any(t == mark for _, t in SEEN.iter_unpack(hashes)):
+                self.seen.updateValue((slot, part), (b"".join(SEEN.pack(*h) for h in left[part]),))
+        if soonest is not None and soonest not in set(self.handle.listTimers()):
+            self.handle.registerTimer(soonest)
         yield from ()
 
     def close(self) -> None:
@@ -120,9 +176,10 @@ def distinct_posts(arriving: DataFrame, delay: str = "1 day", arrival: str = "po
     be older. Rows behind the watermark and rows without a time are dropped.
     """
     posts = usable_posts(arriving.where(F.col("collected_at").isNotNull())).withColumn("content_hash", content_hash(F.col("content"), F.col("url")))
+    grouped = posts.withColumn("_group", F.pmod(F.xxhash64("content_hash"), F.lit(HASH_GROUPS)).cast("int"))
     return (
-        posts.withWatermark("collected_at", delay)
-        .groupBy("content_hash")
+        grouped.withWatermark("collected_at", delay)
+        .groupBy("_group")
         .transformWithState(FirstOfContent(delay, ["collected_at", arrival]), posts.schema, "Append", "EventTime")
     )
 
